@@ -39,7 +39,7 @@ def prepare_replay(msgs: DataFrame, cfg: Settings = CFG, encoder=None) -> DataFr
     return message_features(d, cfg, encoder)
 
 
-def message_features(d: DataFrame, cfg: Settings = CFG, encoder=None) -> DataFrame:
+def message_features(d: DataFrame, cfg: Settings = CFG, encoder=None, keep: list[str] | None = None) -> DataFrame:
     d = d.withColumn("content", T.sanitize_for_storage(F.col("text"), cfg.max_chunk_chars))
     store = (F.col("role") == "user") | ~T.is_hedge(F.col("text"))
     return d.select(
@@ -48,7 +48,7 @@ def message_features(d: DataFrame, cfg: Settings = CFG, encoder=None) -> DataFra
         X.embed_text(F.col("content"), encoder, cfg.embedding_dims).alias("vec"),
         T.vocab_matches(F.col("content")).alias("has_term"), T.info_density(F.col("content")).alias("density"),
         T.words4(F.col("content")).alias("words"), R.route(F.col("text"))["score"].alias("route_score"),
-        T.content_key(F.col("content")).alias("key"),
+        T.content_key(F.col("content")).alias("key"), *(keep or []),
     )
 
 

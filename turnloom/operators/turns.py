@@ -55,10 +55,10 @@ def answer_map(msgs: DataFrame, cfg: Settings = CFG) -> DataFrame:
 
 def answered_turns(msgs: DataFrame, cfg: Settings = CFG) -> DataFrame:
     """Each user message with the answer its query got the first time."""
-    m = answer_map(msgs, cfg).select("conv_id", "query_key", "answer")
+    m = answer_map(msgs, cfg).select("conv_id", "query_key", F.col("turn").alias("first_turn"), "answer")
     q = user_turns(msgs, cfg).withColumn("query_key", F.md5("text"))
     return q.join(m, ["conv_id", "query_key"], "left").select(
-        "conv_id", "turn", "user_turn", F.col("text").alias("query"), "answer"
+        "conv_id", "turn", "user_turn", "first_turn", F.col("text").alias("query"), "answer"
     )
 
 
