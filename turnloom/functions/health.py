@@ -45,7 +45,7 @@ def pes(
 ) -> Column:
     """Weighted mean of the components that are present; weights of absent ones drop out.
 
-    struct(composite, band, action, breakdown, active).
+    struct(composite, raw, band, action, breakdown, active); ``raw`` is unrounded.
     """
     null = F.lit(None).cast("double")
     p, r, l, t, b, u, n = (null if x is None else x for x in (precision, routing, latency_ms, tps, baseline_tps, used, total))
@@ -69,6 +69,7 @@ def pes(
     )
     return F.struct(
         F.round(raw, 2).alias("composite"),
+        raw.alias("raw"),
         band.alias("band"),
         action.alias("action"),
         breakdown.alias("breakdown"),

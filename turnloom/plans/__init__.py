@@ -1 +1 @@
-
+"""Registered queries by subject."""
