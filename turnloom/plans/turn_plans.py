@@ -321,9 +321,7 @@ def _predict_router(s, d):
     return tidy(L.predict_router(L.train_router(f), f).select("conv_id", "turn", "optimal_route", "predicted_route"))
 
 
-ORACLES["predict_router"] = """SELECT conv_id, turn, CASE WHEN length(text) > 400 THEN 'escalation' WHEN length(text) > 150 THEN 'medium' ELSE 'ultra_small' END AS optimal_route,
-CASE WHEN length(text) > 400 THEN 'escalation' WHEN length(text) > 150 THEN 'medium' ELSE 'ultra_small' END AS predicted_route FROM conversations WHERE role = 'user'"""
-del ORACLES["predict_router"]  # bin edges of the tree are learned, so no SQL twin
+# the tree learns its split points, so there is no SQL twin
 
 # ------------------------------------------------------------------ reply gate
 _GATE = f"""WITH {ANSWERS},
