@@ -44,10 +44,10 @@ def event_counts(df: DataFrame) -> DataFrame:
     cells = F.array_compact(
         F.array(
             F.struct(F.lit("component").alias("dimension"), F.col("component").alias("value")),
-            F.struct(F.lit("event"), F.col("event_type")),
+            F.struct(F.lit("event").alias("dimension"), F.col("event_type").alias("value")),
             F.when(
                 (F.col("event_type") == "task_classified") & (F.size("payload") > 0),
-                F.struct(F.lit("route"), F.try_element_at("payload", F.lit("routed_to"))),
+                F.struct(F.lit("route").alias("dimension"), F.try_element_at("payload", F.lit("routed_to")).alias("value")),
             ),
         )
     )

@@ -156,14 +156,15 @@ def p8_routing(labels: DataFrame, msgs: DataFrame, cfg: Settings = CFG) -> DataF
 
 
 # ---------------------------------------------------------------------- sweeps
-def p4_decay_sweep(msgs: DataFrame, enc: DataFrame, cfg: Settings = CFG, candidates_: list[float] = V.DECAY_CANDIDATES, domain=None) -> DataFrame:
+def p4_decay_sweep(msgs: DataFrame, enc: DataFrame, cfg: Settings = CFG, candidates_: list[float] = V.DECAY_CANDIDATES, domain=None, min_share: float = 1.0
+) -> DataFrame:
     """Fact survival per decay multiplier and domain at a fixed budget; all multipliers share one candidate join.
 
-    A turn counts when all its facts were said before.
+    A turn counts when ``min_share`` of its facts (all by default) were said before.
     """
     f = with_facts(answered_turns(msgs, cfg)).where(F.size("facts") > 0)
     known = known_facts(f, first_seen(msgs, T.diagnostic_terms(F.col("text")))).where(F.size("stated") > 0)
-    f = f.join(known, ["conv_id", "turn"]).where(F.size("stated") == F.size("facts"))
+    f = f.join(known, ["conv_id", "turn"]).where(F.size("stated") >= F.size("facts") * min_share)
     cfg = replace(cfg, fixed_budget=cfg.fixed_budget or 1000)
     ctx = assembled_terms(enc, cfg, [{"arm": str(m), "multiplier": m} for m in candidates_])
     j = f.join(ctx, ["conv_id", "user_turn"]).withColumn("domain", F.lit("all") if domain is None else domain)
@@ -203,7 +204,7 @@ def ablation_rows(enc: DataFrame, cfg: Settings = CFG) -> DataFrame:
     arms = [{"arm": name, **{k: False for k in off if k != "remembrance"}} for name, off in V.ABLATION_ARMS]
     a = assemble(enc, cfg, arms, encoded=True)
     score = H.pes(used=F.col("used_tokens"), total=F.col("budget"))
-    return a.select("conv_id", "q_turn", "arm", "used_tokens", "budget", score["composite"].alias("pes"))
+    return a.select("conv_id", "q_turn", "arm", "used_tokens", "budget", score["raw"].alias("pes"))
 
 
 # ----------------------------------------------------------- duplicate policies
@@ -227,10 +228,11 @@ def fact_cost(selected: DataFrame, facts: DataFrame) -> DataFrame:
     return g.select("conv_id", "user_turn", (F.col("any_cover") | full).alias("hit"), cost.cast("long").alias("fact_tokens"))
 
 
-def policy_rows(msgs: DataFrame, enc: DataFrame, policy: str, cfg: Settings = CFG) -> DataFrame:
+def policy_rows(msgs: DataFrame, enc: DataFrame, policy: str, cfg: Settings = CFG, min_share: float = 1.0) -> DataFrame:
+    """Per fact turn under one keep policy: facts carried, their token cost and the merges seen."""
     f = with_facts(answered_turns(msgs, cfg)).where(F.size("facts") > 0)
     known = known_facts(f, first_seen(msgs, T.diagnostic_terms(F.col("text"))))
-    f = f.join(known, ["conv_id", "turn"]).where(F.size("stated") == F.size("facts")).select("conv_id", "user_turn", "facts")
+    f = f.join(known, ["conv_id", "turn"]).where(F.size("stated") >= F.size("facts") * min_share).select("conv_id", "user_turn", "facts")
     a = assemble(enc, cfg, policy=policy, encoded=True)
     pos = a.select("conv_id", F.col("q_turn").alias("user_turn"), F.explode("selected").alias("seq"))
     sel = pos.join(enc.select("conv_id", "seq", "tokens", T.diagnostic_terms(F.col("content")).alias("terms")), ["conv_id", "seq"])
@@ -470,13 +472,13 @@ def e2e_turns(assembled: DataFrame) -> DataFrame:
     """Per-turn rows of an end-to-end report; health counts the budget use, the one measure batch rows have."""
     util = F.col("used_tokens") / F.greatest("budget", F.lit(1))
     score = H.pes(used=F.col("used_tokens"), total=F.col("budget"))
-    return assembled.select("conv_id", F.col("q_turn").alias("turn"), "route", "used_tokens", "budget", F.round(util, 3).alias("utilization"), "drift_detected", score["composite"].alias("pes"))
+    return assembled.select("conv_id", F.col("q_turn").alias("turn"), "route", "used_tokens", "budget", util.alias("utilization"), "drift_detected", score["raw"].alias("pes"))
 
 
 def e2e_aggregate(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(
-        F.count("*").alias("user_turns"), F.round(F.avg("utilization"), 3).alias("avg_utilization"), F.round(F.min("pes"), 2).alias("pes_min"),
-        F.round(F.avg("pes"), 2).alias("pes_mean"), F.count_if("drift_detected").alias("drift_events"),
+        F.count("*").alias("user_turns"), F.avg("utilization").alias("avg_utilization"), F.min("pes").alias("pes_min"),
+        F.avg("pes").alias("pes_mean"), F.count_if("drift_detected").alias("drift_events"),
     )
 
 

@@ -358,3 +358,34 @@ ctx1 AS (
 ctx AS (
   SELECT conv_id, q_seq, q_turn, query, route, budget, f.u AS used_tokens, len(f.ids) AS chunks_used, f.seqs AS selected, f.ids AS selected_ids,
          coalesce(top_raw, 0.0) AS top_raw, top_seq, drift_detected, n_candidates, n_survivors FROM ctx1)"""
+
+
+def arms_sql(arms, budget=BUDGET, dup=DUP, stale=STALE, recent=3, m=STORE):
+    """As ``assemble_sql`` for several named arms at once; ``ctx`` has one row per (turn, arm)."""
+    base = {"dedup": True, "drift": True, "decay": True, "drones": True, "adaptive": True, "mult": 1.0, "thr": DRIFT}
+    rows = ", ".join(
+        "(" + ", ".join(lit(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" for v in {"arm": "", **base, **a}.values()) + ")"
+        for a in arms
+    )
+    high = "CASE WHEN adaptive THEN coalesce(high, 0) ELSE 0 END"
+    span = "least(CASE route WHEN 'ultra_small' THEN floor(1000 + 2000 * least(({0}) / 10.0, 1.0)) WHEN 'medium' THEN floor(3000 + 2000 * least(({0}) / 10.0, 1.0)) ELSE floor(4000 + 2000 * least(({0}) / 10.0, 1.0)) END, 6144)"
+    eff_budget = str(budget) if budget is not None else span.format(high)
+    return f"""{cand_sql(m)}, {near_sql(dup, recent)},
+arms(arm, dedup, drift, decay, drones, adaptive, mult, thr) AS (VALUES {rows}),
+q AS (SELECT conv_id, seq AS q_seq, user_turn AS q_turn, content AS query FROM enc WHERE role = 'user'),
+dep AS (SELECT conv_id, q_seq, min(user_turn) AS t0 FROM cand GROUP BY ALL),
+rt AS (SELECT q.*, {s_route_for(s_route_score('q.query', 'coalesce(q.q_turn - d.t0, 0)'))} AS route, coalesce(dr.drift, 0.0) AS dscore, g.g
+  FROM q LEFT JOIN dep d USING (conv_id, q_seq) LEFT JOIN drift dr USING (conv_id, q_seq) LEFT JOIN greedy g USING (conv_id, q_seq)),
+ra AS (SELECT rt.*, a.*, a.drift AND rt.dscore > a.thr AS drift_detected FROM rt, arms a),
+raws AS (SELECT c.*, ra.* EXCLUDE (conv_id, q_seq, q_turn, query, drift), CASE WHEN NOT ra.drones THEN 0.5 WHEN ra.route = 'medium' THEN 0.5 ELSE c.base END AS raw FROM cand c JOIN ra USING (conv_id, q_seq)),
+surv AS (SELECT *, q_turn - greatest(user_turn, CASE WHEN dedup THEN coalesce(list_max(list_transform(list_filter(g.fresh, lambda f: f.s = seq), lambda f: f.t)), 0) ELSE 0 END) AS age
+  FROM raws WHERE NOT dedup OR g IS NULL OR NOT list_contains(g.dead, seq)),
+effs AS (SELECT *, CASE WHEN decay THEN greatest(0.0, raw / pow(mult, least(age / 10.0, 3.0)) * (CASE WHEN drift_detected AND user_turn < q_turn - {recent} THEN 0.1 ELSE 1.0 END)
+  * (CASE WHEN age > {stale} THEN 0.5 ELSE 1.0 END)) ELSE raw END AS eff FROM surv),
+h AS (SELECT conv_id, q_seq, arm, count(*) FILTER (eff > 0.6) AS high, list({{'seq': seq::BIGINT, 'tok': tokens::BIGINT}} ORDER BY eff DESC, seq) AS items FROM effs GROUP BY ALL),
+ctx0 AS (SELECT ra.conv_id, ra.q_seq, ra.q_turn, ra.arm, ({eff_budget})::BIGINT AS budget, h.items FROM ra LEFT JOIN h USING (conv_id, q_seq, arm)),
+ctx1 AS (SELECT *, list_reduce(coalesce(items, []), lambda a, x: CASE WHEN a.u + x.tok <= budget THEN {{'u': a.u + x.tok, 'seqs': list_append(a.seqs, x.seq)}} ELSE a END,
+  {{'u': 0::BIGINT, 'seqs': []::BIGINT[]}}) AS f FROM ctx0),
+ctx AS (SELECT conv_id, q_seq, q_turn, arm, budget, f.u AS used_tokens, f.seqs AS selected FROM ctx1),
+said AS (SELECT c.conv_id, c.q_turn AS user_turn, c.arm, list_distinct(flatten(list({s_terms('e.content')}))) AS ctx_terms
+  FROM (SELECT conv_id, q_turn, arm, unnest(selected) AS seq FROM ctx) c JOIN enc e USING (conv_id, seq) GROUP BY ALL)"""

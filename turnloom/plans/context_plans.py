@@ -14,13 +14,16 @@ from turnloom.operators import metrics as M
 from turnloom.operators import select as S
 from turnloom.operators.replay import prepare_replay, replay_turns
 from turnloom.plans.base import (
-    ANSWERS, BUDGET, DRIFT, DUP, ENC, O, STALE, STORE, assemble_sql, cand_sql, chunk_table, messages, near_sql, s_dot, s_sanitize,
+    ANSWERS, BUDGET, DRIFT, DUP, ENC, MSGS, O, STALE, STORE, arms_sql, assemble_sql, cand_sql, chunk_table, messages, near_sql, s_dot, s_hedge, s_sanitize,
     s_terms, s_words4, settings, tidy,
 )
 from turnloom.session import checkpointed
 
 QUERIES, ORACLES = {}, {}
 
+# ANSWERS and ENC start with the same first table
+_BOTH = ANSWERS + ENC[len(MSGS):]
+
 
 def reg(name, sql=None, **kw):
     def wrap(fn):
@@ -172,8 +175,8 @@ def _format_context(s, d):
     return tidy(x.select("conv_id", "q_seq", F.md5("content").alias("content_md5"), "used_tokens"))
 
 
-@reg("inspect_turn", f"""WITH {ENC}, {assemble_sql()}, r AS (SELECT c.conv_id, c.q_turn, w.seq, w.raw, list_contains(c.selected, w.seq) AS is_selected FROM ctx c JOIN raws w USING (conv_id, q_seq)),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, q_turn, is_selected ORDER BY raw DESC, seq) AS position FROM r)
+@reg("inspect_turn", f"""WITH {ENC}, {assemble_sql()}, cr AS (SELECT c.conv_id, c.q_turn, w.seq, w.raw, list_contains(c.selected, w.seq) AS is_selected FROM ctx c JOIN raws w USING (conv_id, q_seq)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, q_turn, is_selected ORDER BY raw DESC, seq) AS position FROM cr)
 SELECT n.conv_id, n.q_turn, e.chunk_id, round(n.raw, 3) AS raw_score, n.is_selected, n.position,
 CASE WHEN length(e.content) > 200 THEN substr(e.content, 1, 200) || '…' ELSE e.content END AS preview FROM n JOIN enc e USING (conv_id, seq) WHERE is_selected OR position <= 20""")
 def _inspect_turn(s, d):
@@ -341,10 +344,7 @@ def _archive_totals(s, d):
 
 # ------------------------------------------------------------------ pairs and retrieval metrics
 def _pairs_ctes():
-    # ANSWERS brings its own msgs; ENC starts with the same one
-    from turnloom.plans.base import MSGS
-
-    return f"""{ANSWERS}{ENC[len(MSGS):]}, {cand_sql()},
+    return f"""{_BOTH}, {cand_sql()},
 pairs AS (SELECT c.conv_id, c.q_seq, c.q_turn, c.seq, c.base AS score, c.cosine, len(list_intersect(f.facts, {s_terms('e.content')})) > 0 AS relevant
   FROM cand c JOIN facts0 f ON f.conv_id = c.conv_id AND f.user_turn = c.q_turn AND len(f.facts) > 0 JOIN enc e ON e.conv_id = c.conv_id AND e.seq = c.seq WHERE c.role = 'assistant')"""
 
@@ -464,9 +464,7 @@ def _item_sample(s, d):
 
 # ------------------------------------------------------------------ evaluation jobs
 def _diag_ctes():
-    from turnloom.plans.base import MSGS, s_hedge
-
-    return f"""{ANSWERS}{ENC[len(MSGS):]}, {assemble_sql()},
+    return f"""{_BOTH}, {assemble_sql()},
 rseen AS (SELECT conv_id, term, min(turn) AS first_turn FROM (SELECT conv_id, turn, unnest({s_terms('text')}) AS term FROM msgs WHERE role = 'assistant' AND NOT {s_hedge('text')}) GROUP BY ALL),
 rst AS (SELECT f.conv_id, f.turn, list(f.term) AS st FROM (SELECT conv_id, turn, unnest(facts) AS term FROM facts0) f JOIN rseen s USING (conv_id, term) WHERE s.first_turn < f.turn GROUP BY ALL),
 pos AS (SELECT conv_id, q_seq, q_turn, unnest(selected) AS seq, generate_subscripts(selected, 1) AS pos FROM ctx),
@@ -541,44 +539,88 @@ def _paired_ab(s, d):
     return tidy(E.paired_ab(checkpointed(_half(s, d))))
 
 
-@reg("ablation_rows", None)
+_ARMS = [{"arm": name, **{k: False for k in off if k != "remembrance"}} for name, off in V.ABLATION_ARMS]
+_ABL = f"WITH {ENC}, {arms_sql(_ARMS, budget=None)}"
+
+
+@reg("ablation_rows", f"{_ABL} SELECT conv_id, q_turn, arm, used_tokens, budget FROM ctx")
 def _ablation_rows(s, d):
     enc, cfg = _enc(s, d)
     return tidy(E.ablation_rows(enc, cfg).select("conv_id", "q_turn", "arm", "used_tokens", "budget"))
 
 
-@reg("ablation_table", None)
+@reg("ablation_table", f"""{_ABL}, u AS (SELECT arm, used_tokens::DOUBLE / budget AS u FROM ctx),
+m AS (SELECT arm, round(avg(CASE WHEN u < 0.6 THEN u * 100 WHEN u > 0.95 THEN 100 - (u - 0.95) * 1000 ELSE 100 END), 3) AS mean_metric FROM u GROUP BY 1)
+SELECT arm, mean_metric, CASE WHEN arm <> 'full' THEN round((SELECT mean_metric FROM m WHERE arm = 'full') - mean_metric, 3) END AS contribution FROM m""")
 def _ablation_table(s, d):
     enc, cfg = _enc(s, d)
     return tidy(M.ablation_table(E.ablation_rows(enc, cfg)))
 
 
-QUERIES["arm_union"] = QUERIES["ablation_rows"]
+QUERIES["arm_union"], ORACLES["arm_union"] = QUERIES["ablation_rows"], ORACLES["ablation_rows"]
 
 
-@reg("p4_decay_sweep")
+def _p4_sql(mults):
+    arms = [{"arm": str(m), "mult": m} for m in mults]
+    return f"""WITH {_BOTH}, {arms_sql(arms, m=1000)},
+fx AS (SELECT f.conv_id, f.user_turn, f.facts FROM facts0 f JOIN stated s USING (conv_id, turn) WHERE len(f.facts) > 0 AND len(s.stated) >= len(f.facts) * 0.05),
+sw AS (SELECT a.arm::DOUBLE AS multiplier, sum(coalesce(len(list_intersect(f.facts, s.ctx_terms)), 0)) AS found, sum(len(f.facts)) AS expected
+  FROM fx f CROSS JOIN arms a LEFT JOIN said s ON s.conv_id = f.conv_id AND s.user_turn = f.user_turn AND s.arm = a.arm GROUP BY 1)"""
+
+
+@reg("p4_decay_sweep", f"{_p4_sql(V.DECAY_CANDIDATES)} SELECT 'all' AS domain, multiplier, found, expected, found::DOUBLE / expected AS recall FROM sw", d="recall", i="found expected")
 def _p4(s, d):
+    """Facts count from one in twenty said before on, because invented text repeats little."""
     enc, cfg = _enc(s, d, fixed_budget=BUDGET, max_chunks=1000)
-    m = messages(s, d)
-    return tidy(E.p4_decay_sweep(m, enc, cfg, V.DECAY_CANDIDATES))
+    return tidy(E.p4_decay_sweep(messages(s, d), enc, cfg, V.DECAY_CANDIDATES, min_share=0.05))
 
 
-@reg("p4_verdict")
+@reg("p4_verdict", f"""{_p4_sql([1.2, 2.5])}, r AS (SELECT multiplier, found::DOUBLE / expected AS recall FROM sw)
+SELECT 'all' AS domain, max(recall) AS best_recall, min(recall) AS worst_recall, max(multiplier) FILTER (recall >= 0.9 * (SELECT max(recall) FROM r)) AS m90, max(recall) - min(recall) < 0.01 AS flat FROM r""", d="best_recall worst_recall")
 def _p4v(s, d):
     enc, cfg = _enc(s, d, fixed_budget=BUDGET, max_chunks=1000)
-    return tidy(E.p4_verdict(checkpointed(E.p4_decay_sweep(messages(s, d), enc, cfg, [1.2, 2.5]))))
+    return tidy(E.p4_verdict(checkpointed(E.p4_decay_sweep(messages(s, d), enc, cfg, [1.2, 2.5], min_share=0.05))))
+
+
+_FC = f"""WITH {_BOTH}, {{asm}}, fx AS (SELECT f.conv_id, f.user_turn, f.facts FROM facts0 f JOIN stated s USING (conv_id, turn) WHERE len(f.facts) > 0 AND len(s.stated) >= len(f.facts) * 0.05),
+se AS (SELECT c.conv_id, c.q_turn AS user_turn, e.tokens, {s_terms('e.content')} AS terms FROM (SELECT conv_id, q_turn, unnest(selected) AS seq FROM ctx) c JOIN enc e USING (conv_id, seq)),
+pt AS (SELECT f.conv_id, f.user_turn, f.facts, s.tokens, coalesce(list_intersect(f.facts, s.terms), []) AS part FROM fx f LEFT JOIN se s USING (conv_id, user_turn)),
+fc AS (SELECT conv_id, user_turn, bool_or(len(part) = len(facts)) AS any_cover, min(tokens) FILTER (len(part) = len(facts)) AS cover_cost, coalesce(sum(tokens) FILTER (len(part) > 0 AND len(part) < len(facts)), 0) AS part_cost,
+ len(list_distinct(flatten(list(part)))) = max(len(facts)) AS uni FROM pt GROUP BY ALL),
+res AS (SELECT f.conv_id, f.user_turn, any_cover OR uni AS hit, (CASE WHEN any_cover THEN cover_cost WHEN uni THEN part_cost ELSE 0 END)::BIGINT AS fact_tokens, c.n_candidates - c.n_survivors AS merges FROM fc f JOIN ctx c ON c.conv_id = f.conv_id AND c.q_turn = f.user_turn)"""
+
+
+@reg("fact_cost", _FC.replace("{asm}", assemble_sql()) + " SELECT conv_id, user_turn, hit, fact_tokens, merges FROM res")
+def _fact_cost(s, d):
+    enc, cfg = _enc(s, d, fixed_budget=BUDGET)
+    return tidy(E.policy_rows(messages(s, d), enc, "densest", cfg, 0.05).select("conv_id", "user_turn", "hit", "fact_tokens", "merges"))
+
+
+@reg("per_1k", _FC.replace("{asm}", assemble_sql(rank="user_turn")) + " SELECT conv_id, user_turn, CASE WHEN hit AND fact_tokens > 0 THEN 1000.0 / fact_tokens ELSE 0.0 END AS per_1k, merges FROM res", d="per_1k")
+def _per_1k(s, d):
+    enc, cfg = _enc(s, d, fixed_budget=BUDGET)
+    return tidy(E.policy_rows(messages(s, d), enc, "recency", cfg, 0.05).select("conv_id", "user_turn", "per_1k", "merges"))
 
 
 @reg("p9_duplicates")
 def _p9(s, d):
     enc, cfg = _enc(s, d, fixed_budget=BUDGET)
     m = messages(s, d)
-    return tidy(E.p9_duplicates(E.policy_rows(m, enc, "densest", cfg), E.policy_rows(m, enc, "recency", cfg)))
-
-
-@reg("p10_drift")
+    return tidy(E.p9_duplicates(E.policy_rows(m, enc, "densest", cfg, 0.05), E.policy_rows(m, enc, "recency", cfg, 0.05)))
+
+
+@reg("p10_drift", f"""WITH {_BOTH}, useen AS (SELECT conv_id, term, min(turn) AS first_turn FROM (SELECT conv_id, turn, unnest(terms) AS term FROM own) GROUP BY ALL),
+kn AS (SELECT o.conv_id, o.turn, count(*) AS k FROM (SELECT conv_id, turn, unnest(terms) AS term FROM own) o JOIN useen s USING (conv_id, term) WHERE s.first_turn < o.turn GROUP BY ALL),
+st0 AS (SELECT conv_id, min(turn) AS start_turn FROM own WHERE len(terms) > 0 GROUP BY 1),
+sw AS (SELECT o.conv_id, o.turn, o.user_turn, coalesce(st0.start_turn < o.turn, false) AND kn.k IS NULL AS is_switch FROM own o LEFT JOIN kn USING (conv_id, turn) LEFT JOIN st0 USING (conv_id)),
+tss AS (SELECT *, coalesce(user_turn - max(CASE WHEN is_switch THEN user_turn END) OVER (PARTITION BY conv_id ORDER BY user_turn), 99) AS since FROM sw),
+{arms_sql([{"arm": "on", "thr": 0.1}, {"arm": "off", "thr": 0.99}], m=1000, recent=1)},
+fx AS (SELECT f.conv_id, f.user_turn, f.facts FROM facts0 f JOIN tss t USING (conv_id, turn) WHERE len(f.facts) > 0 AND t.since <= 3),
+v AS (SELECT a.arm, sum(coalesce(len(list_intersect(f.facts, s.ctx_terms)), 0)) AS found, sum(len(f.facts)) AS expected FROM fx f CROSS JOIN arms a LEFT JOIN said s ON s.conv_id = f.conv_id AND s.user_turn = f.user_turn AND s.arm = a.arm GROUP BY 1),
+w AS (SELECT max(expected) AS expected, max(found) FILTER (arm = 'on')::DOUBLE / max(expected) AS reset_on_recall, max(found) FILTER (arm = 'off')::DOUBLE / max(expected) AS reset_off_recall FROM v)
+SELECT *, reset_on_recall - reset_off_recall AS improvement, CASE WHEN reset_on_recall - reset_off_recall >= 0.05 THEN 'PASS' ELSE 'FAIL' END AS status FROM w""", d="reset_on_recall reset_off_recall improvement", i="expected")
 def _p10(s, d):
-    enc, cfg = _enc(s, d, fixed_budget=BUDGET, max_chunks=1000)
+    enc, cfg = _enc(s, d, fixed_budget=BUDGET, max_chunks=1000, drift_recent_turns=1)
     return tidy(E.p10_drift(messages(s, d), enc, cfg))
 
 
@@ -621,7 +663,7 @@ count(*) FILTER (NOT ir AND br IS NOT NULL) AS n_crowding, count(*) FILTER (NOT
 
 # ------------------------------------------------------------------ end-to-end reports
 @reg("e2e_report", f"""WITH {ENC}, {assemble_sql()}, e AS (SELECT conv_id, q_turn AS turn, route, used_tokens, budget, used_tokens::DOUBLE / budget AS u, drift_detected FROM ctx)
-SELECT conv_id, turn, route, used_tokens, budget, round(u, 3) AS utilization, drift_detected, round(CASE WHEN u < 0.6 THEN u * 100 WHEN u > 0.95 THEN 100 - (u - 0.95) * 1000 ELSE 100 END, 2) AS pes FROM e""")
+SELECT conv_id, turn, route, used_tokens, budget, round(u, 6) AS utilization, drift_detected, round(CASE WHEN u < 0.6 THEN u * 100 WHEN u > 0.95 THEN 100 - (u - 0.95) * 1000 ELSE 100 END, 6) AS pes FROM e""")
 def _e2e_report(s, d):
     enc, cfg = _enc(s, d, fixed_budget=BUDGET)
     return tidy(E.e2e_turns(A.assemble(enc, cfg, encoded=True)))
@@ -634,8 +676,8 @@ def _e2e_aggregate(s, d):
 
 
 ORACLES["e2e_aggregate"] = f"""WITH {ENC}, {assemble_sql()}, e AS (SELECT conv_id, used_tokens::DOUBLE / budget AS u, drift_detected FROM ctx),
-p AS (SELECT conv_id, round(u, 3) AS util, drift_detected, round(CASE WHEN u < 0.6 THEN u * 100 WHEN u > 0.95 THEN 100 - (u - 0.95) * 1000 ELSE 100 END, 2) AS pes FROM e)
-SELECT conv_id, count(*) AS user_turns, round(avg(util), 3) AS avg_utilization, round(min(pes), 2) AS pes_min, round(avg(pes), 2) AS pes_mean, count(*) FILTER (drift_detected) AS drift_events FROM p GROUP BY 1"""
+p AS (SELECT conv_id, u AS util, drift_detected, CASE WHEN u < 0.6 THEN u * 100 WHEN u > 0.95 THEN 100 - (u - 0.95) * 1000 ELSE 100 END AS pes FROM e)
+SELECT conv_id, count(*) AS user_turns, round(avg(util), 6) AS avg_utilization, round(min(pes), 6) AS pes_min, round(avg(pes), 6) AS pes_mean, count(*) FILTER (drift_detected) AS drift_events FROM p GROUP BY 1"""
 
 
 @reg("emit_turn_events", f"""WITH {ENC}, {assemble_sql()} SELECT conv_id, q_turn AS turn, 'router' AS component, 'task_classified' AS event_type, route AS detail FROM ctx

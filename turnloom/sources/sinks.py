@@ -114,7 +114,10 @@ def write_labels(sets: dict[str, DataFrame], path: str) -> dict[str, int]:
 
 
 def append_history(history: DataFrame, entry: DataFrame, path: str, keep: int = 30) -> None:
-    _append(history, entry, keep).write.mode("overwrite").json(path)
+    """The newest ``keep`` runs as one JSON array, the layout ``read_bench_history`` expects."""
+    newest = _append(history, entry, keep)
+    cells = F.array_sort(F.collect_list(F.struct("timestamp", *[c for c in newest.columns if c != "timestamp"])))
+    newest.agg(F.to_json(cells).alias("value")).write.mode("overwrite").text(path)
 
 
 def resumable_run(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
