@@ -228,9 +228,33 @@ def vocabulary_terms(*names: str, tables: dict | None = None) -> list[str]:
 
 
 def vocabulary_pattern(terms: list[str]) -> str:
+    """Plain alternation, longest term first."""
     return "(?i)" + "|".join(escape(t) for t in terms)
 
 
+def prefix_pattern(terms: list[str]) -> str:
+    """The same matches as ``vocabulary_pattern`` with shared prefixes factored out.
+
+    One branch per next letter instead of one per term; longer continuations
+    come first, so the longest term at a place still wins.
+    """
+
+    def grow(tails: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for t in tails:
+            if t:
+                heads.setdefault(t[0], []).append(t[1:])
+        branches = [escape(h) + grow(ts) for h, ts in heads.items()]
+        if not branches:
+            return ""
+        end = "" in tails
+        if len(branches) == 1 and not end:
+            return branches[0]
+        return "(?:" + "|".join(branches) + (")?" if end else ")")
+
+    return "(?i)" + grow(list(terms))
+
+
 DEFAULT_VOCAB = vocabulary_terms("code", "general")
 
 
@@ -241,7 +265,7 @@ def vocab_matches(c: Column, vocab: list[str] = DEFAULT_VOCAB) -> Column:
 
 def matched_terms(c: Column, vocab: list[str] = DEFAULT_VOCAB) -> Column:
     """Distinct hits as written, longest term first at each place."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(vocabulary_pattern(vocab)), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(prefix_pattern(vocab)), F.lit(0)))
 
 
 def vocab_boost(c: Column, boost: float = 0.15, vocab: list[str] = DEFAULT_VOCAB) -> Column:

@@ -16,6 +16,7 @@ from turnloom.functions import text as T
 from turnloom.functions import vectors as X
 from turnloom.operators.candidates import BLK, candidates, encode_chunks, lend_blocks, near_facts
 from turnloom.operators.select import skip_fill
+from turnloom.session import checkpointed
 
 CFG = Settings()
 
@@ -28,7 +29,8 @@ def _queries(enc: DataFrame) -> DataFrame:
 
 def _pack(cand: DataFrame) -> DataFrame:
     # grouped by (conversation, block, query): the candidate join already clusters by the first two
-    item = F.struct("seq", "chunk_id", "user_turn", "tokens", "base", "exempt")
+    # pos orders equal scores: insertion order in the store, retrieval rank among archive hits
+    item = F.struct("pos", "seq", "chunk_id", "user_turn", "tokens", "base", "exempt")
     return cand.groupBy("conv_id", BLK, "q_seq").agg(F.array_sort(F.collect_list(item)).alias("items")).drop(BLK)
 
 
@@ -50,7 +52,7 @@ def _resolve(q: DataFrame, cfg: Settings, arms: list[dict] | None = None, near:
     Several arms share the scan, the candidate join and the duplicate facts:
     each query row is repeated once per arm only here.
     """
-    item_t = "array<struct<seq:bigint,chunk_id:string,user_turn:int,tokens:int,base:double,exempt:boolean>>"
+    item_t = "array<struct<pos:bigint,seq:bigint,chunk_id:string,user_turn:int,tokens:int,base:double,exempt:boolean>>"
     arms = _arms(cfg, arms)
     d = q.withColumn("items", F.coalesce("items", F.array().cast(item_t)))
     depth = F.coalesce(F.col("q_turn") - F.array_min(F.transform(F.filter("items", lambda x: ~x.exempt), lambda x: x.user_turn)), F.lit(0))
@@ -62,8 +64,8 @@ def _resolve(q: DataFrame, cfg: Settings, arms: list[dict] | None = None, near:
     def raw(x):
         return F.when(~F.col("a.drones"), F.lit(0.5)).when(medium, F.lit(cfg.medium_score)).otherwise(x.base)
 
-    d = d.withColumn("items", F.transform("items", lambda x: F.struct(*[x[n].alias(n) for n in ("seq", "chunk_id", "user_turn", "tokens", "exempt")], raw(x).alias("raw"))))
-    best = F.array_min(F.transform("items", lambda x: F.struct((-x.raw).alias("neg"), F.when(x.exempt, 1).otherwise(0), x.seq.alias("seq"), x.chunk_id.alias("chunk_id"))))
+    d = d.withColumn("items", F.transform("items", lambda x: F.struct(*[x[n].alias(n) for n in ("pos", "seq", "chunk_id", "user_turn", "tokens", "exempt")], raw(x).alias("raw"))))
+    best = F.array_min(F.transform("items", lambda x: F.struct((-x.raw).alias("neg"), F.when(x.exempt, 1).otherwise(0), x.pos.alias("pos"), x.seq.alias("seq"), x.chunk_id.alias("chunk_id"))))
     longs, ints = F.array().cast("array<bigint>"), F.array().cast("array<int>")
     if near:
         dropped = F.when(F.col("a.dedup"), F.coalesce("dropped", longs)).otherwise(longs)
@@ -84,7 +86,7 @@ def _resolve(q: DataFrame, cfg: Settings, arms: list[dict] | None = None, near:
             x.raw, F.col("q_turn") - ref, F.col("a.multiplier"), F.when(old, 0.1).otherwise(1.0), x.exempt, cfg.stale_threshold
         )
         eff = F.when(F.col("a.decay"), aged).otherwise(x.raw)
-        return F.struct((F.lit(0.0) - eff).alias("neg"), F.when(x.exempt, 1).otherwise(0).alias("tier"), x.seq.alias("seq"), x.tokens.alias("tokens"), x.chunk_id.alias("chunk_id"))
+        return F.struct((F.lit(0.0) - eff).alias("neg"), F.when(x.exempt, 1).otherwise(0).alias("tier"), x.pos.alias("pos"), x.seq.alias("seq"), x.tokens.alias("tokens"), x.chunk_id.alias("chunk_id"))
 
     d = d.withColumn("ranked", F.array_sort(F.transform(live, score)))
     high = F.when(F.col("a.adaptive"), F.size(F.filter("ranked", lambda x: -x.neg > 0.6))).otherwise(0)
@@ -122,7 +124,7 @@ def assemble(
     cand = candidates(enc, cfg)
     if active_age is not None:
         cand = cand.where(F.col("user_turn") >= F.col("q_turn") - active_age)
-    packed = _pack(cand.withColumn("exempt", F.lit(False)))
+    packed = _pack(cand.withColumn("exempt", F.lit(False)).withColumn("pos", F.col("seq")))
     q = _queries(enc).join(packed, ["conv_id", "q_seq"], "left")
     near = any(a["dedup"] or a["drift"] for a in _arms(cfg, arms))
     if near:
@@ -179,19 +181,20 @@ def archive_retrieve(queries: DataFrame, chunks: DataFrame, cfg: Settings = CFG,
     return ranked.select("conv_id", "q_seq", "q_turn", "seq", "chunk_id", "user_turn", "tokens", "last_ref", "overlap", "rank")
 
 
-def assemble_with_archive(chunks: DataFrame, cfg: Settings = CFG) -> DataFrame:
+def assemble_with_archive(chunks: DataFrame, cfg: Settings = CFG, encoded: bool = False) -> DataFrame:
     """Assembly over the active store, with archived chunks joining where the gate fires.
 
     Chunks more than ``stale_threshold`` turns old form the archive.  Only the
     gated turns with archive hits go through the second pass; all others keep
     the first result.
     """
-    enc = encode_chunks(chunks, cfg)
+    enc = chunks if encoded else encode_chunks(chunks, cfg)
     age = cfg.stale_threshold
-    first = assemble(enc, cfg, active_age=age, encoded=True)
-    gate = gate_turns(first, chunks, cfg)
+    # the first pass feeds the gate, the second pass and the result, so it is written once
+    first = checkpointed(assemble(enc, cfg, active_age=age, encoded=True))
+    gate = checkpointed(gate_turns(first, chunks, cfg))
     gated = first.join(gate.where("gate_fires").select("conv_id", "q_seq"), ["conv_id", "q_seq"], "left_semi")
-    hits = archive_retrieve(gated.select("conv_id", "q_seq", "q_turn", "query"), chunks, cfg, older_than=age)
+    hits = checkpointed(archive_retrieve(gated.select("conv_id", "q_seq", "q_turn", "query"), chunks, cfg, older_than=age))
     vecs = enc.select("conv_id", "seq", "vec", "norm", "has_term", T.info_density(F.col("content")).alias("density"))
     extras = hits.join(vecs, ["conv_id", "seq"])
     # the second pass scores the store again with the archive hits beside it
@@ -202,7 +205,9 @@ def assemble_with_archive(chunks: DataFrame, cfg: Settings = CFG) -> DataFrame:
     boost = F.when(F.col("has_term"), F.lit(cfg.vocab_boost)).otherwise(F.lit(0.0))
     more = extras.join(qv, ["conv_id", "q_seq"]).withColumn("base", cos + boost)
     cols = ["conv_id", "q_seq", "seq", "chunk_id", "user_turn", "tokens", "base"]
-    both = again.select(*cols, F.lit(False).alias("exempt")).unionByName(more.select(*cols, F.lit(True).alias("exempt")))
+    both = again.select(*cols, F.lit(False).alias("exempt"), F.col("seq").alias("pos")).unionByName(
+        more.select(*cols, F.lit(True).alias("exempt"), F.col("rank").cast("long").alias("pos"))
+    )
     packed = _pack(both.withColumn(BLK, F.lit(0)))
     q = _queries(enc).join(packed, ["conv_id", "q_seq"])
     q = q.join(near_facts(enc, cfg, active_age=age, extras=extras), ["conv_id", "q_seq"], "left")

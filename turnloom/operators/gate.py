@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnloom.config import Settings
 from turnloom.functions import text as T
+from turnloom.operators.metrics import one_row_join
 from turnloom.operators.turns import answer_map
 
 CFG = Settings()
@@ -153,8 +154,7 @@ def gate_ab(decisions: DataFrame) -> DataFrame:
         F.count_if(F.col("decision").isin("accept", "flag")).alias("stored_b"),
         F.count_if(F.col("rule_hedge") & F.col("decision").isin("accept", "flag")).alias("refusals_b"),
     )
-    # both sides are single rows
-    j = f.withColumn("_k", F.lit(1)).join(s.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    j = one_row_join(f, s)
     den = F.greatest("imprint_facts_total", F.lit(1))
     j = j.withColumn("ingestion_a", F.col("hit_a") / den).withColumn("ingestion_b", F.col("hit_b") / den)
     ok = (F.col("imprint_facts_total") > 0) & (F.col("ingestion_b") >= F.col("ingestion_a")) & (F.col("refusals_b") <= 0)

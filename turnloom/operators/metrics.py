@@ -13,12 +13,17 @@ from turnloom.operators.ordered import exact_quantiles, ranged_running_sum
 KS = [1, 3, 5, 8, 10]
 
 
+def row_value(one_row: DataFrame) -> Column:
+    """The columns of a one-row frame as a struct, through a scalar subquery."""
+    return one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("s")).scalar()
+
+
 def one_row_join(*frames: DataFrame) -> DataFrame:
-    """Join single-row aggregates side by side."""
-    out = frames[0].withColumn("_one", F.lit(1))
+    """Single-row aggregates side by side."""
+    out = frames[0]
     for f in frames[1:]:
-        out = out.join(f.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+        out = out.withColumn("_s", row_value(f)).select("*", "_s.*").drop("_s")
+    return out
 
 
 def ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:
@@ -72,7 +77,7 @@ def threshold_curve(pairs: DataFrame, order: list[str], floor: float = 0.90) ->
         {"seen": F.lit(1), "seen_rel": F.when(F.col("relevant"), 1).otherwise(0)},
     )
     tot = pairs.agg(F.count("*").alias("n"), F.count_if("relevant").alias("n_rel"))
-    j = cum.withColumn("_one", F.lit(1)).join(F.broadcast(tot.withColumn("_one", F.lit(1))), "_one")
+    j = cum.withColumn("_t", row_value(tot)).select("*", "_t.*")
     # rows from this one upward are predicted relevant
     tp = F.col("n_rel") - F.col("seen_rel") + F.when(F.col("relevant"), 1).otherwise(0)
     above = F.col("n") - F.col("seen") + 1
@@ -253,7 +258,7 @@ def ablation_table(rows: DataFrame, key: str = "pes") -> DataFrame:
     """Mean metric per arm and what the full arm gains over it."""
     m = rows.groupBy("arm").agg(F.round(F.avg(key), 3).alias("mean_metric"))
     full = m.where(F.col("arm") == "full").select(F.col("mean_metric").alias("full_metric"))
-    j = m.withColumn("_one", F.lit(1)).join(F.broadcast(full.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+    j = m.withColumn("full_metric", full.scalar())
     gain = F.when(F.col("arm") != "full", F.col("full_metric") - F.col("mean_metric"))
     return j.select("arm", "mean_metric", F.round(gain, 3).alias("contribution"))
 
@@ -290,9 +295,9 @@ def win_buckets(rows: DataFrame, a: str = "a_full", b: str = "b_full") -> DataFr
 
 def run_compare(runs: DataFrame, order: str, metrics: list[str], margin: float = 1.0) -> DataFrame:
     """Headline metrics of each run against the first one; a drop beyond ``margin`` points is a regression."""
-    first = runs.orderBy(order).limit(1).select(*[F.col(m).alias(f"_b_{m}") for m in metrics], F.lit(1).alias("_one"))
+    first = runs.orderBy(order).limit(1).select(*[F.col(m).alias(f"_b_{m}") for m in metrics])
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.col(f"_b_{m}").cast("double").alias("base")) for m in metrics])
-    j = runs.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").select(order, F.explode(cells).alias("c"))
+    j = runs.withColumn("_f", row_value(first)).select("*", "_f.*").select(order, F.explode(cells).alias("c"))
     delta = F.col("c.value") - F.col("c.base")
     return j.select(
         order, "c.metric", F.round("c.value", 6).alias("value"), F.round(delta, 6).alias("delta"),
@@ -312,14 +317,13 @@ def append_history(history: DataFrame, entry: DataFrame, keep: int = 30) -> Data
 def sweep(values: DataFrame, candidate: str = "candidate", objective: str = "objective", minimize: bool = True) -> DataFrame:
     """All results of a sweep with the best candidate marked; the first listed wins ties."""
     o = F.col(objective) if minimize else -F.col(objective)
-    best = values.agg(F.min_by(candidate, F.struct(o, F.col(candidate))).alias("best"), F.lit(1).alias("_one"))
-    return values.withColumn("_one", F.lit(1)).join(F.broadcast(best), "_one").drop("_one").withColumn("is_best", F.col(candidate) == F.col("best")).drop("best")
+    best = values.agg(F.min_by(candidate, F.struct(o, F.col(candidate))).alias("best"))
+    return values.withColumn("is_best", F.col(candidate) == best.scalar())
 
 
 def replay_decay(labels: DataFrame, candidates: list[float] = V.DECAY_CANDIDATES) -> DataFrame:
     """False-eviction and keep rate of stored labels under each decay multiplier; labels are read once."""
-    top = labels.agg(F.max("turn").alias("max_turn"), F.lit(1).alias("_one"))
-    d = labels.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")
+    d = labels.withColumn("max_turn", labels.agg(F.max("turn")).scalar())
     factor = F.least((F.col("max_turn") - F.col("turn")) / 10.0, F.lit(3.0))
     aggs = []
     for i, m in enumerate(candidates):

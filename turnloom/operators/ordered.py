@@ -173,8 +173,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     d = df if keys else df.withColumn("_all", F.lit(0))
     counts = d.where(F.col(value).isNotNull()).groupBy(*ks, value).agg(F.count("*").alias("_n"))
     cum = ranged_running_sum(counts, ks, [value], {"_cum": F.col("_n")})
-    total = counts.groupBy(*ks).agg(F.sum("_n").alias("_total"))
-    j = cum.join(total, ks).withColumn("_first", F.col("_cum") - F.col("_n"))
+    if keys:
+        j = cum.join(counts.groupBy(*ks).agg(F.sum("_n").alias("_total")), ks)
+    else:
+        j = cum.withColumn("_total", counts.agg(F.sum("_n")).scalar())
+    j = j.withColumn("_first", F.col("_cum") - F.col("_n"))
     aggs = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_total") - 1)

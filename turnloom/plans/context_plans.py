@@ -310,7 +310,7 @@ def _candidate_union(s, d):
 @reg("assemble_with_archive")
 def _assemble_with_archive(s, d):
     enc, cfg = _enc(s, d, fixed_budget=BUDGET, max_chunks=1000)
-    a = A.assemble_with_archive(enc, cfg)
+    a = A.assemble_with_archive(enc, cfg, encoded=True)
     return tidy(a.select("conv_id", "q_seq", "q_turn", "route", "used_tokens", "chunks_used", "selected_ids", "gate_fires", "archive_hits", "resurrected"))
 
 

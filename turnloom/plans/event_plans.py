@@ -482,8 +482,8 @@ def _run_compare(s, d):
 @reg("bench_gate", f"WITH {_RUNS} SELECT r.run, CASE WHEN r.pes - b.pes < -5.0 THEN 'REGRESSION' ELSE 'PASS' END AS verdict FROM runs r, b")
 def _bench_gate(s, d):
     r = checkpointed(_runs(s, d))
-    base = r.orderBy("run").limit(1).select(F.col("pes").alias("base"), F.lit(1).alias("_one"))
-    return tidy(r.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one").select("run", M.bench_gate(F.col("pes"), F.col("base")).alias("verdict")))
+    base = r.orderBy("run").limit(1).select("pes").scalar()
+    return tidy(r.withColumn("base", base).select("run", M.bench_gate(F.col("pes"), F.col("base")).alias("verdict")))
 
 
 @reg("append_history", "SELECT strftime(ts, '%Y-%m-%d') AS \"runName\", epoch_ms(max(ts))::BIGINT // 1000 AS \"timestamp\" FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 7")

@@ -143,10 +143,10 @@ def _save_store(s, d):
 QUERIES["load_store"], ORACLES["load_store"] = QUERIES["save_store"], ORACLES["save_store"]
 
 
-@reg("auto_checkpoint", f"WITH {CHUNKS} SELECT 'pes_' || (conv_id % 100) || '_x' AS tag, count(*) AS n FROM chunks WHERE conv_id % 100 > 80 GROUP BY 1")
+@reg("auto_checkpoint", f"WITH {CHUNKS} SELECT 'pes_' || (conv_id * 7 % 100) || '_x' AS tag, count(*) AS n FROM chunks WHERE conv_id * 7 % 100 > 80 GROUP BY 1")
 def _auto_checkpoint(s, d):
     path = scratch(s)
-    st = U.stored_chunks(messages(s, d), settings(s, d)).select("conv_id", "seq", (F.col("conv_id") % 100).cast("double").alias("pes"))
+    st = U.stored_chunks(messages(s, d), settings(s, d)).select("conv_id", "seq", (F.col("conv_id") * 7 % 100).cast("double").alias("pes"))
     sinks.auto_checkpoint(st, path, "x")
     tags = sinks.list_checkpoints(s, path)
     return tidy(s.read.parquet(path).groupBy("tag").agg(F.count("*").alias("n")).join(tags, "tag", "left_semi"))

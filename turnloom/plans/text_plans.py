@@ -15,13 +15,14 @@ from turnloom.plans.base import (
     s_reason, s_regex_all, s_replace_all, s_route_for, s_route_score, s_sanitize, s_sentences, s_set, s_strip, s_terms, s_tokens,
     s_topic, s_words4, sql_list, table, tidy,
 )
+from turnloom.session import spread
 
 QUERIES, ORACLES = {}, {}
 
 
 def _docs(name, make, sql, **kw):
     """One column per document."""
-    QUERIES[name] = lambda s, d: tidy(table(s, d, "documents").select("doc_id", *make()))
+    QUERIES[name] = lambda s, d: tidy(spread(table(s, d, "documents")).select("doc_id", *make()))
     ORACLES[name] = O(f"SELECT doc_id, {sql} FROM documents", **kw)
 
 
