@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -164,6 +165,26 @@ def test_replay_matches_literal_rules(spark, seed):
         assert (g.turn, g.used_tokens, [chunk_text[i] for i in g.selected_ids], g.gate_fired, g.resurrected, g.archived, g.store_chunks, g.archive_chunks) == w
 
 
+def test_replay_in_parallel_blocks(spark):
+    """Blocks of six turns, one conversation far longer than the others."""
+    rows = talk(5, 60, 1) + talk(6, 9, 2) + talk(7, 3, 3)
+    m = frame(spark, rows)
+    cols = ["conv_id", "turn", "used_tokens", "selected_ids", "gate_fired", "resurrected", "archived", "store_chunks", "archive_chunks"]
+    whole = replay_turns(prepare_replay(m, REPLAY_CFG), replace(REPLAY_CFG, longest=200)).select(*cols).collect()
+    blocks = replay_turns(prepare_replay(m, REPLAY_CFG), REPLAY_CFG, block_turns=6).select(*cols).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, blocks)) and len(whole) == 72
+
+
+def test_newest_beyond_pushed_limit(spark):
+    d = spark.range(5000).select((F.col("id") % 3).alias("conv_id"), F.col("id").alias("seq"), (F.col("id") * 7 % 4001).cast("int").alias("last_ref"))
+    got = sorted((r.conv_id, r.seq) for r in S.lru_evict(d, 1200).collect())
+    want = []
+    for k in range(3):
+        mine = sorted(((i * 7 % 4001, i) for i in range(5000) if i % 3 == k), reverse=True)[:1200]
+        want += [(k, i) for _, i in mine]
+    assert got == sorted(want)
+
+
 def test_replay_many_conversations_stay_apart(spark):
     rows = talk(7, 12, 1) + talk(8, 15, 2) + talk(7, 12, 3)
     got = replay_turns(prepare_replay(frame(spark, rows), REPLAY_CFG), REPLAY_CFG).collect()

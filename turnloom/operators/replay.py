@@ -8,6 +8,7 @@ the bounded store and archive of the conversation at hand.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 
 import numpy as np
@@ -21,6 +22,7 @@ from turnloom.functions import text as T
 from turnloom.functions import vectors as X
 from turnloom.operators.candidates import greedy_dedup
 from turnloom.operators.turns import with_user_turn
+from turnloom.session import checkpointed
 
 CFG = Settings()
 
@@ -200,9 +202,22 @@ class Conversation:
     def load(self, blob: bytes) -> None:
         self.store, self.archive = pickle.loads(blob)
 
+    def mark(self) -> str:
+        """Equal for equal states: ids, ages and histories in order."""
+        parts = [[(c["chunk_id"], c["turn"], c["last"], c["hist"]) for c in t.values()] for t in (self.store, self.archive)]
+        return hashlib.md5(repr(parts).encode()).hexdigest()
 
-def replay_turns(prepared: DataFrame, cfg: Settings = CFG, use_archive: bool = True) -> DataFrame:
-    """Replay all conversations; rows stream through in turn order, never a whole conversation at once."""
+
+def replay_turns(prepared: DataFrame, cfg: Settings = CFG, use_archive: bool = True, block_turns: int = 4096) -> DataFrame:
+    """Replay all conversations in turn order.
+
+    Where the longest conversation is known to fit one block, each is walked
+    once; rows stream through, never a whole conversation at once.  Otherwise
+    conversations are cut into blocks that run in parallel, see
+    ``replay_blocks``.
+    """
+    if cfg.longest is None or cfg.longest >= block_turns:
+        return replay_blocks(prepared, cfg, use_archive, block_turns)
 
     def walk(batches):
         conv_id, conv, query, replies = None, None, None, []
@@ -222,6 +237,80 @@ def replay_turns(prepared: DataFrame, cfg: Settings = CFG, use_archive: bool = T
         if query is not None:
             yield pd.DataFrame([conv.turn(query, replies)], columns=COLS)
 
-    n = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = prepared.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn")
+    d = prepared.repartition(_parts(prepared), "conv_id").sortWithinPartitions("conv_id", "turn")
     return d.mapInPandas(walk, OUT_SCHEMA)
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def replay_blocks(prepared: DataFrame, cfg: Settings = CFG, use_archive: bool = True, block_turns: int = 4096) -> DataFrame:
+    """Exact replay with the blocks of a conversation in parallel.
+
+    First every block starts from an empty store.  Then each block whose
+    predecessor ended in another state than it started from runs again from
+    that state, until all starts and ends agree; that is the sequential
+    result.  Stores and archives are bounded and forget, so an early
+    difference dies out and few blocks run more than twice.  Only the number
+    of open blocks comes to the driver.
+    """
+    blk = F.floor((F.col("user_turn") - 1) / block_turns).cast("long")
+    none = F.lit(None).cast("binary")
+    d = checkpointed(prepared.withColumn("blk", blk).withColumn("state", none))
+    schema = "blk long, in_mark string, out_mark string, state binary, " + OUT_SCHEMA
+    cols = ["blk", "in_mark", "out_mark", "state", *COLS]
+
+    def walk(batches):
+        key, conv, mark, query, replies = None, None, None, None, []
+        blank = [None] * (len(COLS) - 1)
+
+        def row(t):
+            return (key[1], None, None, None, *t)
+
+        def end():
+            return (key[1], mark, conv.mark(), conv.dump(), key[0], *blank)
+
+        for pdf in batches:
+            out = []
+            for m in pdf.to_dict("records"):
+                if (m["conv_id"], m["blk"]) != key:
+                    if query is not None:
+                        out.append(row(conv.turn(query, replies)))
+                    if key is not None:
+                        out.append(end())
+                    key, conv, query, replies = (m["conv_id"], m["blk"]), Conversation(cfg, use_archive), None, []
+                    if m["state"] is not None:
+                        conv.load(m["state"])
+                    mark = conv.mark()
+                if m["state"] is not None:
+                    continue
+                if m["role"] == "user":
+                    if query is not None:
+                        out.append(row(conv.turn(query, replies)))
+                    query, replies = m, []
+                else:
+                    replies.append(m)
+            yield pd.DataFrame(out, columns=cols)
+        if key is not None:
+            last = [row(conv.turn(query, replies))] if query is not None else []
+            yield pd.DataFrame([*last, end()], columns=cols)
+
+    keys = ["conv_id", "blk"]
+    todo, done = d, None
+    while True:
+        feed = todo.repartition(_parts(d), *keys).sortWithinPartitions(*keys, F.asc_nulls_first("turn"))
+        ran = checkpointed(feed.mapInPandas(walk, schema))
+        if done is None:
+            done = ran
+        else:
+            done = checkpointed(done.join(ran.select(*keys).distinct(), keys, "left_anti").unionByName(ran))
+        ends = done.where(F.col("out_mark").isNotNull())
+        given = ends.select("conv_id", (F.col("blk") + 1).alias("blk"), F.col("out_mark").alias("due"), "state")
+        stale = checkpointed(ends.select(*keys, "in_mark").join(given, keys).where(F.col("due") != F.col("in_mark")).select(*keys, "state"))
+        if stale.isEmpty():
+            break
+        again = d.join(stale.select(*keys), keys, "left_semi")
+        starts = stale.select(*[F.col(c) if c in (*keys, "state") else F.lit(None).cast(d.schema[c].dataType).alias(c) for c in d.columns])
+        todo = again.unionByName(starts)
+    return done.where(F.col("out_mark").isNull()).select(*COLS)

@@ -602,7 +602,15 @@ def _per_1k(s, d):
     return tidy(E.policy_rows(messages(s, d), enc, "recency", cfg, 0.05).select("conv_id", "user_turn", "per_1k", "merges"))
 
 
-@reg("p9_duplicates")
+def _fc_rows(**kw):
+    return f"{_FC.replace('{asm}', assemble_sql(**kw))} SELECT conv_id, user_turn, hit, fact_tokens, merges, CASE WHEN hit AND fact_tokens > 0 THEN 1000.0 / fact_tokens ELSE 0.0 END AS per_1k FROM res"
+
+
+@reg("p9_duplicates", f"""WITH d AS ({_fc_rows()}), r AS ({_fc_rows(rank='user_turn')}),
+s AS (SELECT count(*) AS turns, count(*) FILTER (d.per_1k > r.per_1k) AS densest_wins, count(*) FILTER (r.per_1k > d.per_1k) AS recency_wins, count(*) FILTER (d.per_1k = r.per_1k) AS ties,
+ coalesce(sum(d.merges + r.merges), 0) AS merges, count(*) FILTER (d.hit) AS dh, sum(d.fact_tokens) AS densest_fact_tokens, count(*) FILTER (r.hit) AS rh, sum(r.fact_tokens) AS recency_fact_tokens FROM d JOIN r USING (conv_id, user_turn))
+SELECT turns, densest_wins, recency_wins, ties, merges, densest_fact_tokens, recency_fact_tokens, round(1000.0 * dh / nullif(densest_fact_tokens, 0), 1) AS densest_per_1k, round(1000.0 * rh / nullif(recency_fact_tokens, 0), 1) AS recency_per_1k,
+CASE WHEN merges = 0 OR turns = 0 THEN 'SKIP' WHEN recency_wins / turns >= 0.55 THEN 'FAIL' WHEN abs(densest_wins / turns - recency_wins / turns) <= 0.05 THEN 'FAIL' ELSE 'PASS' END AS status FROM s""", i="merges densest_fact_tokens recency_fact_tokens")
 def _p9(s, d):
     enc, cfg = _enc(s, d, fixed_budget=BUDGET)
     m = messages(s, d)
