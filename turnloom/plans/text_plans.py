@@ -31,7 +31,16 @@ def _msgs(name, make, sql, **kw):
     ORACLES[name] = O(f"SELECT conv_id, turn, {sql} FROM conversations", **kw)
 
 
-t = F.col("text")
+t = _E = _RAW = None
+
+
+def _bind():
+    """Columns need a running session, so they are made when a query is called, not on import."""
+    global t, _E, _RAW
+    t, _E = F.col("text"), F.col("value")
+    _RAW = _raw_reply()
+
+
 
 _docs("estimate_tokens", lambda: [T.estimate_tokens(t).alias("tokens")], f"{s_tokens('text')} AS tokens")
 _docs("count_tokens", lambda: [T.count_tokens(t).alias("tokens"), T.count_tokens(t, lambda c: F.size(T.word_list(c))).alias("words")],
@@ -139,10 +148,14 @@ _docs("is_degenerate_query", lambda: [T.is_degenerate_query(F.concat(F.lit("How
       "(NOT contains(substr(text, 1, 5), chr(10)) AND lower(substr(text, 1, 5)) = lower(substr(text, 1, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 4 END))) AS degenerate")
 
 # ---- judge replies, maps ----------------------------------------------------
-_RAW = F.concat(F.when(F.col("quality") == 1, F.lit("```json\n")).otherwise(F.lit("Sure: ")),
+def _raw_reply():
+    """A judge reply of varying shape from the two labels."""
+    return F.concat(F.when(F.col("quality") == 1, F.lit("```json\n")).otherwise(F.lit("Sure: ")),
                 F.lit('{"sufficient": '), F.when(F.col("quality") == 1, F.lit("true")).otherwise(F.lit("false")), F.lit(', "relevant": '),
                 F.when(F.col("toxic") == 1, F.lit("true")).otherwise(F.lit("false")), F.lit(', "used_pieces": ["d'), F.col("doc_id").cast("string"),
                 F.when(F.col("doc_id") % 7 == 0, F.lit('"')).otherwise(F.lit('"], "score": 4}')), F.when(F.col("quality") == 1, F.lit("\n```")).otherwise(F.lit(" done")))
+
+
 QUERIES["parse_judge_json"] = lambda s, d: tidy(
     table(s, d, "labels").select("doc_id", T.parse_judge_json(_RAW).alias("p"))
     .select("doc_id", "p.sufficient", "p.score", F.concat_ws(",", "p.used_pieces").alias("used"), T.judge_label(F.col("p")).alias("label"))
@@ -166,7 +179,6 @@ ORACLES["merge_maps"] = """SELECT doc_id, 'a' AS key, 1::BIGINT AS value FROM la
 SELECT doc_id, 'b', CASE WHEN quality = 1 THEN 9 ELSE 2 END FROM labels UNION ALL SELECT doc_id, 'c', toxic FROM labels WHERE toxic IS NOT NULL"""
 
 # ---- health -----------------------------------------------------------------
-_E = F.col("value")
 QUERIES["health_components"] = lambda s, d: tidy(
     table(s, d, "events").select("event_id", H.latency_health(_E).alias("latency"), H.throughput_health(_E, F.lit(30.0)).alias("throughput"),
                                  H.context_utilization(_E, F.lit(100.0)).alias("utilization"))
@@ -279,3 +291,14 @@ for _name, _tgt in (("mlm_mask", False), ("mlm_mask_targeted", True)):
 u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM w)
 SELECT doc_id, CASE WHEN NOT ({_dom} AND {_s_draw('pick')} < 0.15) THEN 'none' WHEN {_s_draw('kind')} < 0.8 THEN 'mask' WHEN {_s_draw('kind')} < 0.9 THEN 'random' ELSE 'keep' END AS action,
 count(*) AS n, sum(pos) AS pos_sum FROM u GROUP BY ALL""", i="pos_sum")
+
+
+def _late(fn):
+    def run(spark, sf_dir):
+        _bind()
+        return fn(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _late(fn) for name, fn in QUERIES.items()}
