@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from turnloom.llm import quality
+from turnloom.llm import packing, quality, transducer
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op3_token_counts": transducer.op3_token_counts,
+    "op9_packing": packing.op9_packing,
 }
 ORACLES = {
     "op1_quality": quality.OP1_SQL,
