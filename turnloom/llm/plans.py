@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from turnloom.llm import packing, quality, secrets, transducer, warc
+from turnloom.llm import packing, pii, quality, secrets, transducer, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_token_counts": transducer.op3_token_counts,
+    "op6_pii": pii.op6_pii,
     "op7_secrets": secrets.op7_secrets,
     "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {
     "op1_quality": quality.OP1_SQL,
+    "op6_pii": pii.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
 }
