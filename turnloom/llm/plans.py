@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from turnloom.llm import packing, pii, quality, secrets, transducer, warc
+from turnloom.llm import neighbours, packing, pii, quality, secrets, transducer, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_token_counts": transducer.op3_token_counts,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op6_pii": pii.op6_pii,
     "op7_secrets": secrets.op7_secrets,
     "op9_packing": packing.op9_packing,
