@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.llm import neighbours, packing, pii, quality, secrets, transducer, warc
+from turnloom.llm import minhash, neighbours, packing, pii, quality, secrets, transducer, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_neighbours": neighbours.op4_neighbours,
     "op6_pii": pii.op6_pii,
     "op7_secrets": secrets.op7_secrets,
+    "op8_minhash": minhash.op8_minhash,
     "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {
     "op1_quality": quality.OP1_SQL,
     "op6_pii": pii.OP6_SQL,
+    "op8_minhash": minhash.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
 }
