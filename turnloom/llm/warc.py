@@ -103,7 +103,7 @@ def records(page: dict, segment_bytes: int = SEGMENT_BYTES) -> list[str]:
 
 
 def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_payload: int = MIN_PAYLOAD,
-               segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE, compression: str = "none") -> None:
+               segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
     """Archive files of all pages.  Of equal payloads of at least ``min_payload`` bytes the smallest page is stored, the others refer to it."""
     p = pages.select(
         F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"),
