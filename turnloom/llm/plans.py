@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.llm import minhash, neighbours, packing, pii, quality, secrets, transducer, warc
+from turnloom.llm import minhash, neighbours, packing, pii, quality, secrets, suffixes, transducer, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_suffixes": suffixes.op2_suffixes,
     "op3_token_counts": transducer.op3_token_counts,
     "op4_neighbours": neighbours.op4_neighbours,
     "op6_pii": pii.op6_pii,
