@@ -13,7 +13,7 @@ from turnloom.llm.minhash import near_dedup
 from turnloom.llm.packing import pack, pieces
 from turnloom.llm.quality import quality_filter
 from turnloom.llm.secrets import redact
-from turnloom.llm.suffixes import without_repeats
+from turnloom.llm.suffixes import as_text, without_repeats
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     cut, out = without_repeats(docs)
     changed = F.col(f"{out}.n_removed") > 0
-    text = F.when(changed, F.decode(F.col(f"{out}.kept"), "UTF-8")).otherwise(F.col("text"))
+    text = F.when(changed, as_text(F.col(f"{out}.kept"))).otherwise(F.col("text"))
     gone = changed & (F.octet_length(f"{out}.kept") == 0)
     return _with_text(cut.where(~gone), docs.columns, text)
 

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import fresh, mix64, staged, table, worker_cache
@@ -325,6 +325,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cf
     return j.select(*[F.col(f"`{c}`") for c in docs.columns], done.alias(out)), out
 
 
+def as_text(kept: Column) -> Column:
+    """Bytes as text; what a cut has left of a character is dropped."""
+
+    def arrow(raws: pa.Array) -> pa.Array:
+        return pa.array([r.as_py().decode("utf-8", "ignore") if r.is_valid else None for r in raws], pa.string())
+
+    return F.arrow_udf(arrow, "string")(kept)
+
+
 def op2_suffixes(spark, d) -> DataFrame:
     r, out = without_repeats(table(spark, d, "documents").select("doc_id", "text"))
     return r.select("doc_id", f"{out}.n_bytes", f"{out}.n_removed", F.size(f"{out}.spans").cast("long").alias("n_spans"), F.sha2(f"{out}.kept", 256).alias("kept_sha256"))
