@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import fresh, mix64, staged, table, worker_cache
 from turnloom.llm.components import components
 
-MAX_WORDS = 1_000_000
+MAX_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -41,16 +41,29 @@ class MinHashSettings:
     block_bytes: int = 32 << 20
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; bounded."""
+class WordHashes:
+    """Numbers words and keeps their scrambled 64-bit hashes in one array; bounded."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __init__(self):
+        self.ids: dict[bytes, int] = {}
+        self.table = np.zeros(1 << 16, np.uint64)
+
+    def of(self, parts: list[bytes]) -> np.ndarray:
         import xxhash
 
-        if len(self) > MAX_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        if len(self.ids) > MAX_WORDS:
+            self.ids.clear()
+        ids = self.ids
+        try:
+            return self.table[np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))]
+        except KeyError:
+            new = [w for w in dict.fromkeys(parts) if w not in ids]
+        first = len(ids)
+        ids.update(zip(new, range(first, first + len(new))))
+        if len(ids) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros(max(len(self.table), len(new)), np.uint64)])
+        self.table[first : len(ids)] = mix64(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, new)), ">u8"))
+        return self.table[np.fromiter(map(ids.__getitem__, parts), np.int64, len(parts))]
 
 
 def shingle_set(raw: bytes | None, k: int, words: WordHashes) -> np.ndarray:
@@ -58,12 +71,16 @@ def shingle_set(raw: bytes | None, k: int, words: WordHashes) -> np.ndarray:
     parts = raw.lower().split() if raw else []
     if not parts:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
+    w = words.of(parts)
     size = min(k, len(w))
-    h = np.full(len(w) - size + 1, size, np.uint64)
+    n = len(w) - size + 1
+    h = np.full(n, size, np.uint64)
     for i in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + mix64(w[i : len(w) - size + 1 + i])
-    return np.unique(mix64(h))
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += w[i : n + i]
+    h = mix64(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def scatter(x: np.ndarray) -> np.ndarray:
@@ -132,29 +149,47 @@ def set_bytes(text: Column, cfg: MinHashSettings) -> Column:
     return F.arrow_udf(arrow, "binary")(text.cast("binary"))
 
 
-def common_counts(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """Sizes of all intersections of sets of ``a`` with sets of ``b``."""
-    every, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-    of = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
-    order = np.argsort(place, kind="stable")
-    place, of = place[order], of[order]
-    total = np.zeros((len(a), len(b)), np.float32)
-    for lo in range(0, len(every), step):
+def _matrix_chunks(sets: list[np.ndarray], step: int = 4096):
+    """0/1 matrices (set x element) of the elements that two sets or more have."""
+    values = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    place = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
+    shared = np.bincount(place)[place] > 1
+    of, place = of[shared], place[shared]
+    if not len(place):
+        return
+    place = np.cumsum(np.concatenate([[0], place[1:] != place[:-1]]))
+    for lo in range(0, int(place[-1]) + 1, step):
         i, j = np.searchsorted(place, [lo, lo + step])
-        m = np.zeros((len(a) + len(b), step), np.float32)
+        m = np.zeros((len(sets), min(step, int(place[-1]) + 1 - lo)), np.float32)
         m[of[i:j], place[i:j] - lo] = 1
-        total += m[: len(a)] @ m[len(a) :].T
+        yield m
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of all intersections of sets of ``a`` with sets of ``b``, or with each other (the diagonal is of no meaning then)."""
+    n = len(a)
+    if b is None and n == 2:
+        x = len(np.intersect1d(a[0], a[1], assume_unique=True))
+        return np.array([[0, x], [x, 0]])
+    total = np.zeros((n, n if b is None else len(b)), np.float32)
+    for m in _matrix_chunks(a if b is None else [*a, *b]):
+        total += m @ m.T if b is None else m[:n] @ m[n:].T
     return total.astype(np.int64)
 
 
-def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+def linked(a: list[np.ndarray], percent: int, b: list[np.ndarray] | None = None) -> np.ndarray:
     both = common_counts(a, b)
-    sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+    sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in (a if b is None else b)])[None, :]
     return 100 * both >= percent * (sizes - both)
 
 
 def stars(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     """The parts that the links nodes[i]-nodes[j] connect, each as links to its smallest node."""
+    if not len(i):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     at = np.arange(len(nodes))
     while True:
         new = at.copy()
@@ -175,20 +210,44 @@ def _sets(col: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in col]
 
 
-def _links_inside(percent: int):
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        s, nodes = _sets(g["shingles"]), g["node"].to_numpy(np.int64)
-        i, j = np.nonzero(np.triu(linked(s, s, percent), 1))
+def links_inside(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within each (key, block); members: key, block, node, shingles.
+
+    Sorted groups are cut out of Arrow batches, as most groups are far smaller than a batch.  A block has a bounded size.
+    """
+
+    def links(nodes: np.ndarray, shingles: list[bytes]) -> pd.DataFrame:
+        s = [np.frombuffer(x, np.uint64) for x in shingles]
+        i, j = np.nonzero(np.triu(linked(s, percent), 1))
         return stars(nodes, i, j)
 
-    return run
+    def run(batches):
+        left: list[pa.RecordBatch] = []
+        for b in batches:
+            t = pa.Table.from_batches([*left, b]).combine_chunks()
+            key, block, nodes = (t.column(c).to_numpy() for c in ("key", "block", "node"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            done = int(cuts[-1]) if len(cuts) else 0
+            out, shingles = [], t.column("shingles")
+            for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                out.append(links(nodes[lo:hi], shingles.slice(lo, hi - lo).to_pylist()))
+            left = t.slice(done).to_batches()
+            if out:
+                yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
+        if left:
+            t = pa.Table.from_batches(left)
+            yield pa.RecordBatch.from_pandas(links(t.column("node").to_numpy(), t.column("shingles").to_pylist()), preserve_index=False)
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = members.select("key", "block", "node", "shingles").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
+    return sorted_.mapInArrow(run, "a long, b long")
 
 
 def _links_across(percent: int):
     def run(key, some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(others):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        hit = linked(_sets(some["shingles"]), _sets(others["shingles"]), percent)
+        hit = linked(_sets(some["shingles"]), percent, _sets(others["shingles"]))
         i, j = np.nonzero(hit & (some["label"].to_numpy()[:, None] != others["label"].to_numpy()[None, :]))
         nodes = np.concatenate([some["node"].to_numpy(np.int64), others["node"].to_numpy(np.int64)])
         return stars(nodes, i, j + len(some))
@@ -225,7 +284,7 @@ def link_classes(docs: DataFrame, key: str, text: str, classes: DataFrame, cfg:
         m = members.where(F.col("band").between(lo, hi - 1))
         if labels is not None:
             m = _mixed(m, labels, ["key", "block"])
-        part = m.select("key", "block", "node").join(sets, "node").groupBy("key", "block").applyInPandas(_links_inside(cfg.percent), "a long, b long")
+        part = links_inside(m.select("key", "block", "node").join(sets, "node"), cfg.percent)
         part = staged(part.distinct(), "minhash-links")
         edges = part if edges is None else edges.unionByName(part)
         labels = components(edges)
