@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from turnloom.llm import minhash, neighbours, packing, pii, quality, secrets, suffixes, transducer, warc
+from turnloom.llm import minhash, neighbours, packing, pii, quality, secrets, segmentation, suffixes, transducer, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_suffixes": suffixes.op2_suffixes,
     "op3_token_counts": transducer.op3_token_counts,
     "op4_neighbours": neighbours.op4_neighbours,
+    "op5_segmentations": segmentation.op5_segmentations,
     "op6_pii": pii.op6_pii,
     "op7_secrets": secrets.op7_secrets,
     "op8_minhash": minhash.op8_minhash,
