@@ -3,7 +3,7 @@
 Each text is measured once.  Per (language, source) a mergeable quantile sketch of every measure is built; sketches
 are tables of (group, bucket, count), so merging is adding counts: partial sums on the map side, one row per bucket after
 the shuffle, and coarser groups (language, everything) come from adding the sketches of finer ones, not from the rows.
-Buckets are log-linear (7 significant bits), which bounds the relative error of a quantile by 1/128, whatever the number
+Buckets are log-linear (7 significant bits), which bounds the relative error of a quantile by 1/64, whatever the number
 of rows, and makes results equal from run to run.
 
 The threshold of a group is the fence ``q50 + reach * max(q75 - q50, floor)`` above the median, and the mirrored one below
@@ -141,7 +141,7 @@ def merge_sketches(sk: DataFrame, keys: list[str]) -> DataFrame:
 def quantiles(sk: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
     """Per group and measure the row count and the named quantiles (nearest rank, lower end of the bucket).
 
-    A group has at most 128 buckets per power of two, so its buckets are one bounded array.
+    A group has at most 64 buckets per power of two, so its buckets are one bounded array.
     """
     packed = sk.groupBy(*keys, "measure").agg(
         F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("hist")

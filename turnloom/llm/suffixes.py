@@ -271,8 +271,10 @@ def removed_runs(w: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: SuffixSettings = SuffixSettings()) -> DataFrame:
     """(doc, ws): per document with repeats the covered windows, packed as in ``SuffixLevels.add``."""
     spark = docs.sparkSession
-    cuts = docs.select(F.col(f"`{key}`").cast("double").alias("k")).where("k is not null").approxQuantile("k", [i / cfg.batches for i in range(1, cfg.batches)], 0.01)
-    cuts = sorted({int(c) for c in cuts})
+    known = docs.select(F.col(f"`{key}`").cast("double").alias("k")).where("k is not null")
+    # where the batches are cut changes the work alone, not the result
+    shares = [i / cfg.batches for i in range(1, cfg.batches)]
+    cuts = sorted({int(c) for c in known.approxQuantile("k", shares, 0.01)}) if shares else []
     levels = SuffixLevels(spark, cfg)
     whole, edges = [], []
     k = F.col(f"`{key}`").cast("long")
