@@ -167,7 +167,7 @@ class SuffixLevels:
 
     def save(self, df: DataFrame) -> str:
         name = f"suffixes_{uuid.uuid4().hex}"
-        df.write.format("parquet").bucketBy(self.buckets, "m").sortBy("m", "s").saveAsTable(name)
+        df.write.format("parquet").bucketBy(self.buckets, "m").sortBy(*[c for c in ("m", "s") if c in df.columns]).saveAsTable(name)
         return name
 
     def drop(self, *names: str) -> None:
@@ -200,7 +200,9 @@ class SuffixLevels:
         for i, level in enumerate(seen):
             keys = keys.join(level.groupBy("m").agg(F.lit(True).alias(f"in{i}")), "m", "left")
             old = old | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        shared = keys.where((F.col("lo") < F.col("hi")) | old).select("m")
+        # written once, as each array is scanned for them
+        shared_name = self.save(keys.where((F.col("lo") < F.col("hi")) | old).select("m"))
+        shared = self.spark.table(shared_name)
         for df in [new, *seen]:
             edges.append(df.join(shared, "m", "left_semi").select("doc", "w"))
         out = edges[0]
@@ -209,7 +211,7 @@ class SuffixLevels:
         whole, out = staged(whole, "suffix-whole"), staged(out, "suffix-edges")
         if keep:
             self.insert(self.save(new))
-        self.drop(own, fresh_name)
+        self.drop(own, fresh_name, shared_name)
         return whole, out
 
     def insert(self, name: str) -> None:
