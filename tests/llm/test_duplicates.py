@@ -120,6 +120,19 @@ def test_large_group_of_near_copies_over_several_blocks(spark):
     assert got == want
 
 
+def test_unlinked_members_meet_all_blocks(spark):
+    """Copies with few to many edits share buckets; those left outside of the main part are compared with every block."""
+    r, rows, words = random.Random(3), [], prose(60, 120).split()
+    for i in range(90):
+        w = list(words)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6])):
+            w[r.randrange(len(w))] = f"v{i}"
+        rows.append((i, " ".join(w)))
+    want = plain_components(rows, 5)
+    got = {(x.doc_id, x.n_shingles): x.component_id for x in minhash.near_duplicates(frame(spark, rows), cfg=minhash.MinHashSettings(block_members=4)).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 def test_near_dedup_keeps_one_of_each_and_all_columns(docs, none):
     out = minhash.near_dedup(docs)
     assert out.columns == docs.columns

@@ -299,7 +299,9 @@ def link_classes(docs: DataFrame, key: str, text: str, classes: DataFrame, cfg:
         some = big.where("label <> main").select(
             "key", F.pmod(F.xxhash64("node", "label", "key"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "label", "shingles"
         )
-        others = big.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "label", "shingles")
+        # both sides come from one table, so the second gets columns of its own
+        second = big.select(*[F.col(c).alias(c) for c in ("key", "parts", "block", "node", "label", "shingles")])
+        others = second.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "label", "shingles")
         by = ["key", "part", "block"]
         part = some.groupBy(*by).cogroup(others.groupBy(*by)).applyInPandas(_links_across(cfg.percent), "a long, b long")
         edges = edges.unionByName(staged(part.distinct(), "minhash-links"))
