@@ -277,6 +277,55 @@ def test_stream_reset_and_observe(spark, tmp_path):
     assert got[1] == 0 and got[2] == 2 and got[3] == 0
 
 
+def test_stream_reset_restarts_numbers_in_any_batching(spark, tmp_path):
+    from turnloom.streaming.replay import replay_stream
+
+    schema = "conv_id string, user_turn long, query string, reply string, control string, event_no long"
+    steps = [
+        ("c", 1, "alpha beta gamma", "alpha beta gamma delta", None, 1), ("c", 2, "alpha beta gamma?", "delta river stone", None, 2),
+        ("c", 1, "alpha beta", "alpha words again", "reset", 3), ("c", 2, "alpha beta?", None, None, 4),
+    ]
+    results = []
+    for n, per_file in enumerate((1, len(steps))):
+        src = str(tmp_path / f"in{n}")
+        for i in range(0, len(steps), per_file):
+            spark.createDataFrame(steps[i : i + per_file], schema).coalesce(1).write.mode("append").json(src)
+        st = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+        q = replay_stream(st, Settings(fixed_budget=100)).writeStream.format("memory").queryName(f"restart_{n}").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        results.append(sorted((r.turn, r.chunks_used, r.store_chunks) for r in spark.table(f"restart_{n}").collect()))
+    assert results[0] == results[1] and results[0][0][1] == 0
+
+
+def test_text_ids_give_the_results_of_numbers(spark):
+    from turnloom.operators.gate import digest_gate
+    from turnloom.operators.turns import exchanges
+
+    m = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    named = m.withColumn("conv_id", F.concat(F.lit("c"), F.lpad(F.col("conv_id").cast("string"), 9, "0")))
+    for job in (lambda x: replay_turns(prepare_replay(x, REPLAY_CFG), REPLAY_CFG), lambda x: digest_gate(exchanges(x, REPLAY_CFG), REPLAY_CFG)):
+        a = sorted(("c%09d" % r[0], *map(str, r[1:])) for r in job(m).collect())
+        assert a == sorted((r[0], *map(str, r[1:])) for r in job(named).collect())
+
+
+def test_vectors_of_different_width_are_an_error(spark):
+    from turnloom.functions import vectors as X
+
+    with pytest.raises(Exception, match="widths differ"):
+        one(spark, X.checked_dot(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0))), z=1)
+
+
+def test_compress_is_linear(spark):
+    import time
+
+    text = "so, well, I just really think the module is kind of basically fine. " * 470
+    one(spark, F.md5(T.compress(F.col("t"))), t=text)
+    began = time.time()
+    one(spark, F.md5(T.compress(F.col("t"))), t=text)
+    assert time.time() - began < 5
+    assert one(spark, T.compress(F.col("t")), t="so, well, okay the just really just x") == "the x"
+
+
 # --------------------------------------------------------------- small rules
 def test_degradation_closed_form():
     rnd = random.Random(2)

@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import fixed as V
 
-WORD4 = r"[a-z0-9]{4,}"
-GATE_WORD = r"[a-z0-9_+#./-]+"
-DIAG_WORD = r"[a-z][a-z\-]{3,}"
-WORD = r"[\p{L}\p{N}_]+"
-CODE_FENCE = r"(?is)```[a-z]*\n.*?```"
-SENTENCE_GAP = r"(?<=[.!?])\s+"
+WORD4, GATE_WORD, DIAG_WORD, WORD, CODE_FENCE, SENTENCE_GAP = V.WORD4, V.GATE_WORD, V.DIAG_WORD, V.WORD, V.CODE_FENCE, V.SENTENCE_GAP
 
 
 def strip(c: Column) -> Column:
@@ -281,23 +276,20 @@ def info_density(c: Column, vocab: list[str] = DEFAULT_VOCAB) -> Column:
     return share * (sent_words / F.greatest(F.size(sents), F.lit(1)))
 
 
-_FILLER_WORD = (
-    r"(?i)I think|I believe|I feel|basically|essentially|actually|just|really|very|quite|rather|kind of|"
-    r"sort of|a bit|a little|as I mentioned|as discussed|per our conversation|so|well|okay|right|sure"
-)
-
-
 def compress(c: Column, vocab: list[str] = DEFAULT_VOCAB) -> Column:
     """Drop filler until nothing changes, then keep the sentences with vocabulary terms (else all)."""
 
-    def one_pass(t, _):
+    def one_pass(acc, _):
+        t = acc["now"]
         for p in V.FILLER_PATTERNS:
             t = F.regexp_replace(t, p, "")
-        return t
+        # once a pass has changed nothing, the rest of the sequence costs a comparison each
+        return F.when(acc["now"] == acc["before"], acc).otherwise(F.struct(t.alias("now"), acc["now"].alias("before")))
 
-    # every changing pass removes at least one filler, so this many passes reach the fixed point
-    passes = F.sequence(F.lit(0), F.regexp_count(c, F.lit(_FILLER_WORD)) + 1)
-    cleaned = F.aggregate(passes, c, one_pass)
+    # every changing pass takes two characters or more, so this many passes reach the fixed point
+    passes = F.sequence(F.lit(0), F.floor(F.length(c) / 2).cast("int") + 1)
+    start = F.struct(c.alias("now"), F.lit(None).cast("string").alias("before"))
+    cleaned = F.aggregate(passes, start, one_pass)["now"]
     kept = F.filter(sentence_split(cleaned), lambda s: vocab_matches(s, vocab))
     return F.when(F.size(kept) > 0, F.concat_ws(" ", kept)).otherwise(cleaned)
 
@@ -328,7 +320,7 @@ JUDGE_SCHEMA = (
 def parse_judge_json(c: Column, schema: str = JUDGE_SCHEMA) -> Column:
     """Parse a judge reply: fences off, direct parse, else the outermost ``{...}``; null if neither parses."""
     t = strip(c)
-    bare = F.regexp_replace(F.regexp_replace(t, r"^```[a-zA-Z]*\s*", ""), r"\s*```\s*$", "")
+    bare = F.regexp_replace(F.regexp_replace(t, V.FENCE_OPEN, ""), V.FENCE_CLOSE, "")
     t = F.when(t.startswith("```"), strip(bare)).otherwise(t)
 
     def parsed(x):

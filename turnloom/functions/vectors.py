@@ -50,6 +50,12 @@ def dot_of(a: str, b: str, dims: int) -> Column:
     return F.expr(" + ".join(f"{a}[{i}] * {b}[{i}]" for i in range(dims))).cast("double")
 
 
+def checked_dot(a: Column, b: Column) -> Column:
+    """Inner product of vectors of any width; different widths are an error, not a shorter product."""
+    wrong = F.raise_error(F.concat(F.lit("vector widths differ: "), F.size(a), F.lit(" and "), F.size(b)))
+    return F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(wrong.cast("double"))
+
+
 def norm(a: Column) -> Column:
     squares = F.transform(a, lambda x: x.cast("double") * x.cast("double"))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))

@@ -113,14 +113,18 @@ def assemble(
     policy: str = "densest",
     active_age: int | None = None,
     encoded: bool = False,
+    encoder=None,
 ) -> DataFrame:
     """The assembled context (as chunk positions) of every user turn.
 
+    ``encoder`` turns a text column into vectors of any one width; hashed
+    words by default.
+
     ``arms`` are named switch settings (see ``ARM_DEFAULTS``) evaluated side
     by side.  ``active_age`` limits the store to chunks at most that many
     turns old.
     """
-    enc = chunks if encoded else encode_chunks(chunks, cfg)
+    enc = chunks if encoded else encode_chunks(chunks, cfg, encoder)
     cand = candidates(enc, cfg)
     if active_age is not None:
         cand = cand.where(F.col("user_turn") >= F.col("q_turn") - active_age)
@@ -181,14 +185,14 @@ def archive_retrieve(queries: DataFrame, chunks: DataFrame, cfg: Settings = CFG,
     return ranked.select("conv_id", "q_seq", "q_turn", "seq", "chunk_id", "user_turn", "tokens", "last_ref", "overlap", "rank")
 
 
-def assemble_with_archive(chunks: DataFrame, cfg: Settings = CFG, encoded: bool = False) -> DataFrame:
+def assemble_with_archive(chunks: DataFrame, cfg: Settings = CFG, encoded: bool = False, encoder=None) -> DataFrame:
     """Assembly over the active store, with archived chunks joining where the gate fires.
 
     Chunks more than ``stale_threshold`` turns old form the archive.  Only the
     gated turns with archive hits go through the second pass; all others keep
     the first result.
     """
-    enc = chunks if encoded else encode_chunks(chunks, cfg)
+    enc = chunks if encoded else encode_chunks(chunks, cfg, encoder)
     age = cfg.stale_threshold
     # the first pass feeds the gate, the second pass and the result, so it is written once
     first = checkpointed(assemble(enc, cfg, active_age=age, encoded=True))

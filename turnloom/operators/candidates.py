@@ -18,10 +18,18 @@ BLK = "_blk"
 
 def encode_chunks(chunks: DataFrame, cfg: Settings = CFG, encoder=None) -> DataFrame:
     """Add vector, norm, vocabulary hit and density; computed once per chunk."""
-    d = chunks.withColumn("vec", X.embed_text(F.col("content"), encoder, cfg.embedding_dims))
+    vec = X.embed_text(F.col("content"), encoder, cfg.embedding_dims)
+    # the default encoder's width is known, so inner products can be unrolled; a model's width is what its vectors have
+    d = chunks.withColumn("vec", vec if encoder is not None else vec.alias("vec", metadata={"width": cfg.embedding_dims}))
     return d.withColumn("norm", X.norm(F.col("vec"))).withColumn("has_term", T.vocab_matches(F.col("content")))
 
 
+def _dot(df: DataFrame, a: str, b: str = "vec") -> Column:
+    """Inner product over the whole width of the vectors, whatever encoder made them."""
+    width = df.schema[b].metadata.get("width")
+    return X.dot_of(a, b, width) if width else X.checked_dot(F.col(a), F.col(b))
+
+
 def lend_blocks(chunks: DataFrame, pos: str, rows: int) -> DataFrame:
     """Each chunk in its own block and in the next one, where later queries look back to it."""
     home = F.floor(F.col(pos) / rows).cast("long")
@@ -48,7 +56,7 @@ def candidates(enc: DataFrame, cfg: Settings = CFG, extra: list[str] | None = No
     ).drop("_home")
     in_store = (F.col("seq") < F.col("q_seq")) & (F.col("seq") >= F.col("q_seq") - m)
     j = q.join(c, ["conv_id", BLK]).where(in_store)
-    cos = X.score_cosine(X.dot_of("q_vec", "vec", cfg.embedding_dims), F.col("q_norm"), F.col("norm"))
+    cos = X.score_cosine(_dot(j, "q_vec"), F.col("q_norm"), F.col("norm"))
     boost = F.when(F.col("has_term"), F.lit(cfg.vocab_boost)).otherwise(F.lit(0.0))
     return j.select(
         "conv_id", BLK, "q_seq", "q_turn", "seq", "chunk_id", "user_turn", "role", "tokens", "last_ref",
@@ -83,7 +91,7 @@ def greedy_dedup(dup: np.ndarray, rank: np.ndarray, turn: np.ndarray) -> tuple[n
     return alive, fresh
 
 
-NEAR_SCHEMA = "conv_id long, q_seq long, dropped array<long>, fresh_seq array<long>, fresh_turn array<int>, drift double"
+NEAR_SCHEMA = "q_seq long, dropped array<long>, fresh_seq array<long>, fresh_turn array<int>, drift double"
 
 
 def near_facts(
@@ -120,7 +128,12 @@ def near_facts(
     n = int(enc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = c.repartition(n, "conv_id", BLK).sortWithinPartitions("conv_id", BLK, F.asc_nulls_first("owner"), "rank", "seq")
     # a block above twice the store size does not exist, so a group always fits
-    return c.mapInArrow(_near_worker(m, thr, recent_n, policy, active_age), NEAR_SCHEMA)
+    return c.mapInArrow(_near_worker(m, thr, recent_n, policy, active_age), f"conv_id {id_type(enc)}, {NEAR_SCHEMA}")
+
+
+def id_type(df: DataFrame) -> str:
+    """The type of conversation ids: numbers or strings, as the input has them."""
+    return df.schema["conv_id"].dataType.simpleString()
 
 
 def _near_worker(m: int, thr: float, recent_n: int, policy: str, active_age: int | None):
@@ -161,12 +174,13 @@ def _near_worker(m: int, thr: float, recent_n: int, policy: str, active_age: int
 
     def work(batches):
         held = None
-        names = [f.strip().split(" ")[0] for f in NEAR_SCHEMA.split(",")]
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.float64()]
+        names = ["conv_id", *[f.strip().split(" ")[0] for f in NEAR_SCHEMA.split(",")]]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.float64()]
 
         def flush(t, last):
             """Work on the complete groups of ``t``; give back the rows of the open one."""
-            conv, blk = (t.column(x).to_numpy() for x in ("conv_id", BLK))
+            ids = t.column("conv_id")
+            conv, blk = ids.to_numpy(), t.column(BLK).to_numpy()
             cuts = np.flatnonzero((conv[1:] != conv[:-1]) | (blk[1:] != blk[:-1])) + 1
             ends = [*cuts, len(conv)] if last else list(cuts)
             end = int(ends[-1]) if ends else 0
@@ -177,13 +191,15 @@ def _near_worker(m: int, thr: float, recent_n: int, policy: str, active_age: int
                 isq = done.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
                 own = pc.fill_null(done.column("owner"), -1).to_numpy()
                 flat = pc.list_flatten(done.column("vec")).to_numpy().astype(float)
+                if len(flat) % end or pc.count_distinct(pc.list_value_length(done.column("vec"))).as_py() != 1:
+                    raise ValueError("vectors of different width in one conversation")
                 vec = flat.reshape(end, -1)
                 start = 0
                 for e in ends:
                     g = slice(start, int(e))
-                    group(int(conv[start]), seq[g], turn[g], dens[g], isq[g], own[g], vec[g], out)
+                    group(ids[start].as_py(), seq[g], turn[g], dens[g], isq[g], own[g], vec[g], out)
                     start = int(e)
-            batch = pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(out, types)], names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(out, [ids.type, *types])], names)
             return batch, t.slice(end)
 
         for b in batches:
@@ -222,8 +238,9 @@ def duplicate_pairs(enc: DataFrame, cfg: Settings = CFG) -> DataFrame:
     )
     i = lend_blocks(enc.select("conv_id", F.col("seq").alias("i_seq"), "vec", "norm"), "i_seq", m).drop("_home")
     near = (F.col("i_seq") < F.col("seq")) & (F.col("i_seq") >= F.col("seq") - m)
-    sim = X.dedup_cosine(X.dot_of("j_vec", "vec", cfg.embedding_dims), F.col("j_norm"), F.col("norm"))
-    p = j.join(i, ["conv_id", BLK]).where(near).withColumn("sim", sim).where(F.col("sim") > cfg.dedup_threshold)
+    met = j.join(i, ["conv_id", BLK]).where(near)
+    sim = X.dedup_cosine(_dot(met, "j_vec"), F.col("j_norm"), F.col("norm"))
+    p = met.withColumn("sim", sim).where(F.col("sim") > cfg.dedup_threshold)
     g = p.groupBy("conv_id", BLK, "seq").agg(
         F.count("*").alias("n_dups"), F.min("i_seq").alias("first_dup_seq"), F.max("sim").alias("max_sim")
     )

@@ -60,7 +60,7 @@ def confirmation_gate(ex: DataFrame, imprint: DataFrame, cfg: Settings = CFG) ->
     )
 
 
-DIGEST_SCHEMA = "conv_id long, turn long, decision string, reason string, ratio double, imprint_facts int, n_new int"
+DIGEST_SCHEMA = "turn long, decision string, reason string, ratio double, imprint_facts int, n_new int"
 
 
 def digest_gate(ex: DataFrame, cfg: Settings = CFG) -> DataFrame:
@@ -97,7 +97,8 @@ def digest_gate(ex: DataFrame, cfg: Settings = CFG) -> DataFrame:
             yield pd.DataFrame(out, columns=["conv_id", "turn", "decision", "reason", "ratio", "imprint_facts", "n_new"])
 
     n = int(ex.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return d.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(walk, DIGEST_SCHEMA)
+    ids = ex.schema["conv_id"].dataType.simpleString()
+    return d.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(walk, f"conv_id {ids}, {DIGEST_SCHEMA}")
 
 
 def gate_summary(decisions: DataFrame) -> DataFrame:

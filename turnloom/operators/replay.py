@@ -27,13 +27,17 @@ from turnloom.session import checkpointed
 CFG = Settings()
 
 OUT_SCHEMA = (
-    "conv_id long, turn int, route string, budget int, used_tokens int, chunks_used int, selected_ids array<string>, "
+    "conv_id {}, turn int, route string, budget int, used_tokens int, chunks_used int, selected_ids array<string>, "
     "top_raw double, drift_detected boolean, gate_fired boolean, archive_hits int, resurrected int, archived int, "
     "store_chunks int, archive_chunks int"
 )
 COLS = OUT_SCHEMA.replace(",", "").split(" ")[::2]
 
 
+def out_schema(df: DataFrame) -> str:
+    return OUT_SCHEMA.format(df.schema["conv_id"].dataType.simpleString())
+
+
 def prepare_replay(msgs: DataFrame, cfg: Settings = CFG, encoder=None) -> DataFrame:
     """Per message everything the walk needs; no text goes along."""
     d = with_user_turn(msgs, cfg).where((F.col("user_turn") >= 1) & F.col("role").isin("user", "assistant"))
@@ -238,7 +242,7 @@ def replay_turns(prepared: DataFrame, cfg: Settings = CFG, use_archive: bool = T
             yield pd.DataFrame([conv.turn(query, replies)], columns=COLS)
 
     d = prepared.repartition(_parts(prepared), "conv_id").sortWithinPartitions("conv_id", "turn")
-    return d.mapInPandas(walk, OUT_SCHEMA)
+    return d.mapInPandas(walk, out_schema(prepared))
 
 
 def _parts(df: DataFrame) -> int:
@@ -258,7 +262,7 @@ def replay_blocks(prepared: DataFrame, cfg: Settings = CFG, use_archive: bool =
     blk = F.floor((F.col("user_turn") - 1) / block_turns).cast("long")
     none = F.lit(None).cast("binary")
     d = checkpointed(prepared.withColumn("blk", blk).withColumn("state", none))
-    schema = "blk long, in_mark string, out_mark string, state binary, " + OUT_SCHEMA
+    schema = "blk long, in_mark string, out_mark string, state binary, " + out_schema(prepared)
     cols = ["blk", "in_mark", "out_mark", "state", *COLS]
 
     def walk(batches):

@@ -18,7 +18,7 @@ from turnloom.functions import routing as R
 from turnloom.functions import text as T
 from turnloom.operators.candidates import encode_chunks
 from turnloom.operators.turns import longest_turn, stored_chunks
-from turnloom.session import checkpointed
+from turnloom.session import checkpointed, shared_root
 
 # small parameters, so that windows, caps and walls bind on short conversations
 STORE, STALE, BUDGET, WINDOW = 4, 1, 200, 200
@@ -56,9 +56,7 @@ def chunk_table(spark, d, cfg) -> DataFrame:
 
 def scratch(spark) -> str:
     """A new folder beside the checkpoints, where all executors can write."""
-    checkpointed_root = spark.conf.get("spark.checkpoint.dir", None)
-    root = checkpointed_root or "/tmp/spark-turnloom"
-    return f"{root.rstrip('/')}/turnloom-{uuid.uuid4().hex}"
+    return f"{shared_root(spark).rstrip('/')}/turnloom-{uuid.uuid4().hex}"
 
 
 def tidy(df: DataFrame) -> DataFrame:

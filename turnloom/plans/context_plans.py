@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import fixed as V
 from turnloom.functions import text as T
+from turnloom.functions import vectors as X
 from turnloom.operators import assemble as A
 from turnloom.operators import candidates as C
 from turnloom.operators import experiments as E
@@ -13,11 +14,13 @@ from turnloom.operators import labels as L
 from turnloom.operators import metrics as M
 from turnloom.operators import select as S
 from turnloom.operators.replay import prepare_replay, replay_turns
+from turnloom.operators.turns import stored_chunks
 from turnloom.plans.base import (
     ANSWERS, BUDGET, DRIFT, DUP, ENC, MSGS, O, STALE, STORE, arms_sql, assemble_sql, cand_sql, chunk_table, messages, near_sql, s_dot, s_hedge, s_sanitize,
-    s_terms, s_words4, settings, tidy,
+    s_terms, s_words4, scratch, settings, tidy,
 )
 from turnloom.session import checkpointed
+from turnloom.sources import readers
 
 QUERIES, ORACLES = {}, {}
 
@@ -151,6 +154,31 @@ def _assemble(s, d):
     return tidy(A.assemble(enc, cfg, encoded=True).select(*_CTX_COLS))
 
 
+_CTX_TEXT_ID = _CTX.replace("conv_id,", "'conv-' || conv_id AS conv_id,", 1)
+
+
+@reg("assemble_from_files", f"WITH {ENC}, {assemble_sql(m=6, recent=2, drift=0.2)} SELECT {_CTX_TEXT_ID} FROM ctx", d="top_raw")
+def _assemble_from_files(s, d):
+    """From conversation files with text ids to assembled contexts: reader, ingest, encoder and assembly in one go."""
+    path = scratch(s)
+    m = messages(s, d)
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    # the files are this query's own fixture, one document per conversation as in the product's format
+    doc = m.groupBy("conv_id").agg(F.transform(turns, lambda x: F.struct(x.role.alias("role"), x.content.alias("content"))).alias("turns"))
+    doc.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("conversation_id"), "turns").write.option("maxRecordsPerFile", 1).json(path)
+    cfg = settings(s, d, fixed_budget=BUDGET, max_chunks=6, drift_recent_turns=2, drift_threshold=0.2)
+    chunks = checkpointed(stored_chunks(readers.read_conversations(s, path), cfg))
+    return tidy(A.assemble(chunks, cfg).select(*_CTX_COLS))
+
+
+@reg("assemble_wide_encoder", f"WITH {ENC}, {assemble_sql(m=6, recent=2, drift=0.2)} SELECT {_CTX} FROM ctx", d="top_raw")
+def _assemble_wide(s, d):
+    """An encoder of 128 dimensions with its content in the upper half: the result is that of the 64 alone."""
+    cfg = settings(s, d, fixed_budget=BUDGET, max_chunks=6, drift_recent_turns=2, drift_threshold=0.2)
+    wide = lambda c: F.concat(F.array_repeat(F.lit(0), 64), X.hashed_embedding(c, 64))
+    return tidy(A.assemble(checkpointed(stored_chunks(messages(s, d), cfg)), cfg, encoder=wide).select(*_CTX_COLS))
+
+
 @reg("assemble_adaptive", f"WITH {ENC}, {assemble_sql(budget=None, m=1000, stale=20, dup=0.92, drift=0.6)} SELECT {_CTX} FROM ctx", d="top_raw")
 def _assemble_adaptive(s, d):
     """All parameters at their defaults."""

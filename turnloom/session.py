@@ -26,21 +26,20 @@ def build_session(app: str = "turnloom", cores: str = "*", shuffle: int | None =
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
-
-    The directory comes from the session (``spark.checkpoint.dir``); only where
-    the cluster names none, as in unit tests, a local folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input with fewer splits than cores one split per core; larger inputs stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors see.  Without ``spark.checkpoint.dir`` only a local master may use a folder of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root

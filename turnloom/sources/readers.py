@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,8 +99,8 @@ def read_labels(spark: SparkSession, path: str, schema: str, fallback=None) -> D
     """A JSON array of labels, else the rows ``fallback()`` derives."""
     try:
         return spark.read.schema(schema).json(path, multiLine=True)
-    except Exception:
-        if fallback is None:
+    except AnalysisException as e:
+        if fallback is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return fallback()
 
@@ -131,7 +132,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """JSONL archive: malformed lines are skipped, the last record per id wins, missing fields get defaults."""
     d = spark.read.schema(RECORD_SCHEMA).option("mode", "DROPMALFORMED").json(path)
     d = d.where(F.col("id").isNotNull() & F.col("content").isNotNull() & F.col("turn").isNotNull())
-    d = d.withColumn("_file", F.input_file_name()).withColumn("_n", F.monotonically_increasing_id())
+    # a file may be split over tasks: its blocks come first, then the line numbers within
+    d = d.withColumn("_n", F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))).withColumn("_file", F.col("_metadata.file_path"))
     rn = F.row_number().over(Window.partitionBy("_file", "id").orderBy(F.desc("_n")))
     return with_store_defaults(d.withColumn("_rn", rn).where(F.col("_rn") == 1).drop("_rn", "_n").withColumnRenamed("_file", "archive"))
 
@@ -191,7 +193,9 @@ def read_bench_history(spark: SparkSession, path: str) -> DataFrame:
     try:
         d = spark.read.schema(HISTORY_SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path, multiLine=True)
         return d.where(F.col("timestamp").isNotNull()).drop("_bad")
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], HISTORY_SCHEMA)
 
 
@@ -200,6 +204,8 @@ def read_baseline_tps(spark: SparkSession, path: str) -> DataFrame:
     try:
         d = spark.read.schema("aggregate struct<avg_tokens_per_sec:double>").json(path, multiLine=True)
         v = d.agg(F.first("aggregate.avg_tokens_per_sec", ignorenulls=True).alias("v"))
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         v = spark.createDataFrame([(None,)], "v double")
     return v.select(F.when(F.coalesce("v", F.lit(0.0)) == 0, V.BASELINE_TPS).otherwise(F.col("v")).alias("baseline_tps"))
