@@ -276,8 +276,9 @@ def link_classes(docs: DataFrame, key: str, text: str, classes: DataFrame, cfg:
     members = staged(members.select("key", "band", "node", "blocks", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int").alias("block")), "minhash-members")
     wanted = members.select("node").distinct()
     texts = docs.select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text")).join(wanted, "node", "left_semi")
-    sets = texts.select("node", set_bytes(F.col("text"), cfg).alias("shingles")).where(F.octet_length("shingles") > 0).dropDuplicates(["node", "shingles"])
-    sets = staged(sets, "minhash-sets")
+    sets = texts.select("node", set_bytes(F.col("text"), cfg).alias("shingles")).dropDuplicates(["node", "shingles"])
+    # empty sets go after the write: a filter here would be pushed below the semi-join and make the sets of all documents
+    sets = staged(sets, "minhash-sets").where(F.octet_length("shingles") > 0)
 
     edges, labels = None, None
     for lo, hi in ((0, cfg.first_wave), (cfg.first_wave, cfg.bands)):
