@@ -275,7 +275,9 @@ def link_classes(docs: DataFrame, key: str, text: str, classes: DataFrame, cfg:
     members = rows.select("key", "node").join(b, "key")
     members = staged(members.select("key", "band", "node", "blocks", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int").alias("block")), "minhash-members")
     wanted = members.select("node").distinct()
-    texts = docs.select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text")).join(wanted, "node", "left_semi")
+    texts = docs.select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text")).join(
+        wanted.hint("merge"), "node", "left_semi"  # candidates grow with the input, so one plan at every size: no broadcast of a small table
+    )
     sets = texts.select("node", set_bytes(F.col("text"), cfg).alias("shingles")).dropDuplicates(["node", "shingles"])
     # empty sets go after the write: a filter here would be pushed below the semi-join and make the sets of all documents
     sets = staged(sets, "minhash-sets").where(F.octet_length("shingles") > 0)
@@ -333,7 +335,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", cf
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: MinHashSettings = MinHashSettings()) -> DataFrame:
     """``docs`` without the rows that are a near copy of one with a smaller id, link by link."""
     gone = near_duplicates(docs, key, text, cfg).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
 
 
 def op8_minhash(spark, d) -> DataFrame:
