@@ -13,7 +13,6 @@ Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from dataclasses import dataclass

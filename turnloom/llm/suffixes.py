@@ -20,7 +20,6 @@ one id don't match each other; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from dataclasses import dataclass
 
@@ -190,8 +189,8 @@ class SuffixLevels:
         for i, level in enumerate(seen):
             t = t.join(level.select("m", "s", F.lit(True).alias(f"in{i}")).distinct(), ["m", "s"], "left")
             mark = mark | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        fresh_name = self.save(t.select("m", "s", "doc", "w", mark.alias("covered")))
-        new = self.spark.table(fresh_name)
+        first_name = self.save(t.select("m", "s", "doc", "w", mark.alias("covered")))
+        new = self.spark.table(first_name)
         whole = self.spark.table(own).where("covered").select("doc", "w").union(new.where("covered").select("doc", "w"))
         new = new.where("not covered").drop("covered")
         keys = new.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
@@ -211,7 +210,7 @@ class SuffixLevels:
         whole, out = staged(whole, "suffix-whole"), staged(out, "suffix-edges")
         if keep:
             self.insert(self.save(new))
-        self.drop(own, fresh_name, shared_name)
+        self.drop(own, first_name, shared_name)
         return whole, out
 
     def insert(self, name: str) -> None:
