@@ -52,10 +52,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, over tasks.  Holds loaded models and bounded memos."""
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker, over tasks.  Holds loaded models and bounded memos.
+
+    One operator's at a time: a worker that goes on to another operator forgets the last one's, so stages in a row don't add up.
+    """
     holder = sys.modules.setdefault("_corpus_worker_cache", types.ModuleType("_corpus_worker_cache"))
-    return holder.__dict__.setdefault("data", {})
+    if holder.__dict__.get("owner") != owner:
+        holder.owner, holder.data = owner, {}
+    return holder.data
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

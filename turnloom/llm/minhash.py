@@ -121,7 +121,7 @@ def band_keys(sig: np.ndarray, cfg: MinHashSettings) -> np.ndarray:
 
 
 def hashes() -> WordHashes:
-    return worker_cache().setdefault("shingle-words", WordHashes())
+    return worker_cache("minhash").setdefault("shingle-words", WordHashes())
 
 
 def signed(text: Column, cfg: MinHashSettings) -> Column:

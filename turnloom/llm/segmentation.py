@@ -232,7 +232,7 @@ def sample(text: str, k: int, rng: np.random.Generator, lattices: Lattices) -> l
 
 
 def lattices(path: str, alpha: float) -> Lattices:
-    cache = worker_cache()
+    cache = worker_cache("segmentation")
     if ("lattices", path, alpha) not in cache:
         cache["lattices", path, alpha] = Lattices(Vocabulary.load(path, alpha))
     return cache["lattices", path, alpha]

@@ -60,7 +60,7 @@ class Rolling:
 
 
 def rolling() -> Rolling:
-    cache = worker_cache()
+    cache = worker_cache("suffixes")
     if "rolling" not in cache:
         cache["rolling"] = Rolling(PIECE + 256)
     return cache["rolling"]

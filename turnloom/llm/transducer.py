@@ -219,7 +219,7 @@ def count_tokens(text: str | None, words: WordCounts, chunk: int = CHUNK) -> int
 
 
 def counter(path: str) -> WordCounts:
-    cache = worker_cache()
+    cache = worker_cache("tokens")
     if ("fst", path) not in cache:
         cache["fst", path] = WordCounts(Transducer.load(path))
     return cache["fst", path]
