@@ -59,6 +59,27 @@ def test_entropy_finds_keys_and_leaves_words_alone():
         assert scan.spans(None if t is None else t.encode()) == []
 
 
+def test_random_keys_with_few_digits_or_none_are_found():
+    r, scan = random.Random(4), secrets.Scanner()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for n, most in ((24, 0.02), (32, 0.01), (40, 0.01)):
+        for chars in (letters + letters.upper() + "0123456789+/", letters + letters.upper()):
+            keys = ["".join(r.choice(chars) for _ in range(n)) for _ in range(300)]
+            assert sum(not scan.spans(b"key %s end" % k.encode()) for k in keys) <= most * 300, (n, chars)
+    keys = ["".join(r.choice(letters) for _ in range(40)) for _ in range(300)]
+    assert sum(bool(scan.spans(k.encode())) for k in keys) >= 0.9 * 300
+    for t in ("getUserAccountManagerFactoryBean", "how_to_write_a_good_custom_parser", "src/main/python/network/handlers", "1029384756574839201928374655", "2024-01-02/2025-03-04/16-59"):
+        assert not any(k == 3 for _, k, _ in scan.spans(t.encode())), t
+
+
+def test_the_rest_of_a_run_beside_a_fixed_span_is_scanned():
+    key, scan = "kJsFhKqLmZxVbNwRtYpGcDvTfXzQ", secrets.Scanner()
+    t = f"x AKIA{'B' * 16}/{key} y {'deadbeef' * 4}_{key}"
+    got = [(secrets.KINDS[k], t[a:z]) for a, k, z in scan.spans(t.encode())]
+    assert [x for x, _ in got] == ["access", "entropy", "hex", "entropy"]
+    assert key in got[1][1] and key in got[3][1] and "AKIA" not in got[1][1] and "deadbeef" not in got[3][1]
+
+
 def test_redact_masks_and_keeps_the_rest(docs, none):
     out = secrets.redact(docs)
     assert out.columns == docs.columns

@@ -3,9 +3,10 @@
 Candidates are maximal runs of key characters of at least ``window`` characters.  For each class (hex, base 64) that holds a part of a run, a
 window slides over that part: one count goes up, one goes down, and the sum of c log2 c changes by two table look-ups, so a step costs
 the same for any window.  Windows at or above the class's threshold are joined to spans.  An allow-list suppresses what only looks random:
-UUIDs, version-control object names and checksums named as such, paths, sequences like the alphabet, and sample values.
+UUIDs, version-control object names and checksums named as such, paths, sequences like the alphabet, sample values, and windows whose
+letters are words (pieces of one case pattern made of common letter pairs) or that have no letters.  No count of digits is asked for.
 
-Spans of the fixed patterns always stay; entropy adds spans of kind ``entropy`` where no fixed one overlaps.
+Spans of the fixed patterns always stay; entropy adds spans of kind ``entropy`` in what the fixed ones leave of a run.
 
 Defined cases: null text counts as empty and gives no span; repeated rows are scanned each; other columns are carried as they are.
 Positions are code points, ends exclusive.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,6 +51,15 @@ ALLOWED = [
 #: Words before a value that say it is a checksum, not a secret.
 NAMED = re.compile(rb"(?i:sha-?(1|224|256|384|512)|md5|crc32|checksum|digest|commit|etag|integrity)[\"']?\x20*[:= -]\x20*[\"']?$")
 
+# Fixed parts of words: letters at one case, and for each letter those that often follow it in English, French, German and Spanish.
+TOKEN = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+FOLLOWS = {
+    "a": "bcdgilmnprstuvy", "b": "aeiloru", "c": "aehikloqtu", "d": "aeiorsu", "e": "abcdegilmnprstuvx", "f": "aefiloru", "g": "aehiru", "h": "aeiortu",
+    "i": "acdefglmnoprstvxz", "j": "aou", "k": "es", "l": "adeilostuy", "m": "abeiopu", "n": "acdegiklnostuvz", "o": "cdfiklmnoprstuvw", "p": "aefilorstu",
+    "q": "u", "r": "acdegikmnorstuy", "s": "acehioptsu", "t": "aehiorstuyz", "u": "acdelmnprstx", "v": "aeio", "w": "aehio", "x": "pt", "y": "e", "z": "aeu",
+}
+PAIRS = frozenset((a + b).encode() for a, after in FOLLOWS.items() for b in after)
+
 
 @dataclass(frozen=True)
 class SecretSettings:
@@ -69,8 +80,26 @@ def _terms(window: int) -> list[float]:
     return [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
 
 
-def entropy_windows(part: bytes, window: int, threshold: float, terms: list[float]) -> list[tuple[int, int]]:
-    """Joined spans of the windows of ``part`` whose entropy is at least ``threshold``."""
+class Words:
+    """Which windows of a run are made of words.  A token of 3 letters or more is a word if 3 in 5 of its letter pairs are common."""
+
+    def __init__(self, run: bytes):
+        letters, words = bytearray(len(run)), bytearray(len(run))
+        for m in TOKEN.finditer(run):
+            lo, hi = m.span()
+            letters[lo:hi] = b"\1" * (hi - lo)
+            t = m.group().lower()
+            if hi - lo >= 3 and 5 * sum(t[i : i + 2] in PAIRS for i in range(len(t) - 1)) >= 3 * (len(t) - 1):
+                words[lo:hi] = letters[lo:hi]
+        self.letters, self.words = [0, *accumulate(letters)], [0, *accumulate(words)]
+
+    def __call__(self, lo: int, hi: int) -> bool:
+        """7 in 10 letters are in words, or there are no letters."""
+        return 10 * (self.words[hi] - self.words[lo]) >= 7 * (self.letters[hi] - self.letters[lo])
+
+
+def entropy_windows(part: bytes, window: int, threshold: float, terms: list[float], plain=None) -> list[tuple[int, int]]:
+    """Joined spans of the windows of ``part`` whose entropy is at least ``threshold`` and that ``plain(lo, hi)``, if given, doesn't hold for."""
     if len(part) < window:
         return []
     n, counts, total = window, [0] * 256, 0.0
@@ -79,7 +108,7 @@ def entropy_windows(part: bytes, window: int, threshold: float, terms: list[floa
     for i, new in enumerate(part):
         c = counts[new]
         counts[new] = c + 1
-        total += terms[c + 1] - terms[c] if c < n else 0.0
+        total += terms[c + 1] - terms[c]
         if i >= n:
             old = part[i - n]
             c = counts[old]
@@ -87,6 +116,8 @@ def entropy_windows(part: bytes, window: int, threshold: float, terms: list[floa
             total += terms[c - 1] - terms[c]
         if i >= n - 1 and total <= most:
             lo = i - n + 1
+            if plain is not None and plain(lo, i + 1):
+                continue
             if spans and lo <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -103,25 +134,30 @@ class Scanner:
         self.terms = _terms(cfg.window + 1)
         self.classes = [(re.compile(b"[" + re.escape(chars) + b"]{%d,}" % cfg.window), t) for _, chars, t in CLASSES]
 
-    def mixed(self, part: bytes) -> bool:
-        """Secrets mix digits with letters; long words and separators don't."""
-        return sum(c in b"0123456789" for c in part) >= 3 and any(65 <= (c & 0xDF) <= 90 for c in part)
+    def free(self, lo: int, hi: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """The parts of a run that no fixed span covers."""
+        out = []
+        for a, _, b in sorted(taken):
+            if a < hi and lo < b:
+                out.append((lo, a))
+                lo = b
+        return [(a, b) for a, b in [*out, (lo, hi)] if b - a >= self.cfg.window]
 
     def entropy_spans(self, raw: bytes, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         out = []
         for m in self.run.finditer(raw):
-            lo, hi = m.span()
-            if any(a < hi and lo < b for a, _, b in taken):
-                continue
-            run = m.group()
-            if not self.mixed(run) or any(p.fullmatch(run) for p in self.allow) or NAMED.search(raw[max(0, lo - 24) : lo]):
-                continue
-            found = []
-            for chars, threshold in self.classes:
-                for part in chars.finditer(run):
-                    found += [(part.start() + a, part.start() + b) for a, b in entropy_windows(part.group(), self.cfg.window, threshold, self.terms) if self.mixed(part.group()[a:b])]
-            if found:
-                out.append((lo + min(a for a, _ in found), 3, lo + max(b for _, b in found)))
+            for lo, hi in self.free(*m.span(), taken):
+                run = raw[lo:hi]
+                if any(p.fullmatch(run) for p in self.allow) or NAMED.search(raw[max(0, lo - 24) : lo]):
+                    continue
+                words, found = Words(run), []
+                for chars, threshold in self.classes:
+                    for part in chars.finditer(run):
+                        at = part.start()
+                        plain = lambda a, b, at=at: words(at + a, at + b)
+                        found += [(at + a, at + b) for a, b in entropy_windows(part.group(), self.cfg.window, threshold, self.terms, plain)]
+                if found:
+                    out.append((lo + min(a for a, _ in found), 3, lo + max(b for _, b in found)))
         return out
 
     def spans(self, raw: bytes | None) -> list[tuple[int, int, int]]:
