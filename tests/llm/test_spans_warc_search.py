@@ -292,6 +292,19 @@ def test_rows_are_seeded_by_key(docs, none):
     assert segmentation.segmentations(none, ["doc_id"]).count() == 0
 
 
+def test_query_segments_every_whole_document(spark, tmp_path):
+    texts = [(1, prose(1, 30)), (2, prose(2, 25_000) + " é🦄"), (3, None), (4, prose(1, 30)), (5, "")]
+    assert len(texts[1][1]) > segmentation.BLOCK_CHARS
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, []).selectExpr("doc_id AS conv_id", "text").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = segmentation.op5_segmentations(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r["sample"]) for r in got) == [(i, n) for i in (1, 2, 4) for n in range(1, 5)]
+    assert len({(r.doc_id, r.ids_sha256) for r in got}) == 12
+    for r in got:
+        assert r.decoded_sha256 == hashlib.sha256(dict(texts)[r.doc_id].encode()).hexdigest()
+        assert -math.inf < r.log_inclusion <= 0 and r.n_tokens > 0
+
+
 def test_null_text_in_every_scan(docs):
     n = docs.where("text is null").count()
     assert docs.where("text is null").select(F.size(secrets.secret_spans(F.col("text"))).alias("n")).where("n = 0").count() == n

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -164,10 +165,10 @@ def conditioned(u: np.ndarray, top: np.ndarray, value: np.ndarray) -> np.ndarray
     return value - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
 
 
-def sample(text: str, k: int, rng: np.random.Generator, lattices: Lattices) -> list[tuple[list[int], float, float, float]]:
-    """At most k distinct (ids, log-probability, perturbed log-probability, inclusion score), in falling order of the third."""
+def search(text: str, k: int, rng: np.random.Generator, lattices: Lattices) -> tuple[list[tuple[list[int], float, float]], float]:
+    """At most k distinct (ids, log-probability, perturbed log-probability), in falling order of the third, and the next perturbed value."""
     if not text:
-        return []
+        return [], -math.inf
     lat = TextLattice(text, lattices)
     paths: list[list[tuple[int, np.ndarray]]] = []  # per sample: (block, edge ids) pairs
     # frontier: (perturbed value, log-probability, sample branched from, block, edges kept of that block, node before, edge); the root is no branch
@@ -226,11 +227,24 @@ def sample(text: str, k: int, rng: np.random.Generator, lattices: Lattices) -> l
         for n, edges in new:
             flat += lattices.vocabulary.expand(lat.block(n)[2][edges])
         out.append((flat, logp, value))
-    next_value = max((f[0] for f in frontier), default=-math.inf)
+    return out, max((f[0] for f in frontier), default=-math.inf)
+
+
+def sample(text: str, k: int, rng: np.random.Generator, lattices: Lattices) -> list[tuple[list[int], float, float, float]]:
+    """At most k distinct (ids, log-probability, perturbed log-probability, inclusion score), in falling order of the third."""
+    out, next_value = search(text, k, rng, lattices)
     score = lambda p: 1.0 if next_value == -math.inf else -math.expm1(-math.exp(min(p - next_value, 700.0)))
     return [(i, p, g, score(p)) for i, p, g in out]
 
 
+def log_inclusion(p: float, next_value: float) -> float:
+    """Logarithm of the inclusion score, which itself is below the smallest number for a text of some hundred tokens."""
+    if next_value == -math.inf:
+        return 0.0
+    x = p - next_value
+    return x if x < -36 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
+
+
 def lattices(path: str, alpha: float) -> Lattices:
     cache = worker_cache("segmentation")
     if ("lattices", path, alpha) not in cache:
@@ -274,7 +288,33 @@ def segmentations(rows: DataFrame, keys: list[str], text: str = "text", cfg: Sam
     return x.select(*keys, (F.col("pos_") + 1).alias("sample"), "s_.ids", "s_.log_prob", "s_.perturbed", "s_.inclusion")
 
 
+DIGESTS = "array<struct<n_tokens:bigint,ids_sha256:string,log_prob:double,perturbed:double,log_inclusion:double,decoded_sha256:string>>"
+
+
+def digested(text: Column, key: Column, cfg: SamplingSettings = SamplingSettings()) -> Column:
+    """As ``sampled``, with digests of the ids (as little-endian 32-bit numbers) and of the text that they decode to, which stay in the worker."""
+    model = cfg.model or default_model()
+
+    def arrow(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        lat, rows = lattices(model, cfg.alpha), []
+        for t, k in zip(texts, keys):
+            rng = np.random.Generator(np.random.PCG64([cfg.seed, (k.as_py() or 0) & 0xFFFFFFFFFFFFFFFF]))
+            row = []
+            out, next_value = search(t.as_py() or "", cfg.k, rng, lat)
+            for ids, p, g in out:
+                back = lat.vocabulary.decode(ids).encode("utf-8", "surrogatepass")
+                row.append({"n_tokens": len(ids), "ids_sha256": sha256(np.array(ids, "<i4").tobytes()).hexdigest(), "log_prob": p, "perturbed": g,
+                            "log_inclusion": log_inclusion(p, next_value), "decoded_sha256": sha256(back).hexdigest()})
+            rows.append(row)
+        one = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("log_prob", pa.float64()), ("perturbed", pa.float64()),
+                         ("log_inclusion", pa.float64()), ("decoded_sha256", pa.string())])
+        return pa.array(rows, pa.list_(one))
+
+    return F.arrow_udf(arrow, DIGESTS)(text, key.cast("long"))
+
+
 def op5_segmentations(spark, d) -> DataFrame:
-    """Samples of every conversation turn, with the text that they decode to."""
-    s = segmentations(table(spark, d, "conversations"), ["conv_id", "turn", "role"])
-    return s.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded", decoded(F.col("ids")))
+    """Samples of every whole document: numbers of tokens, log-probabilities, and digests of the ids and of the text that they decode to."""
+    docs = table(spark, d, "documents")
+    x = docs.select("doc_id", F.posexplode(digested(F.col("text"), F.xxhash64("doc_id"))).alias("pos_", "s_"))
+    return x.select("doc_id", (F.col("pos_") + 1).alias("sample"), "s_.*")
