@@ -134,6 +134,16 @@ def test_added_kinds_need_checks_and_context(spark):
     assert got == {1: ["iban"], 2: [], 3: ["short_card"], 4: [], 5: ["ssn"], 6: []}
 
 
+def test_context_goes_over_neighbours_and_accounts_end_by_country(spark):
+    es = "ES91 2100 0418 4502 0005 1332"
+    rows = [(1, "SSN 123-45-6789, 321-54-9876"), (2, "amex 378282246310005, 371449635398431"), (3, "card no. 12: 378282246310005"), (4, es + " BIC"),
+            (5, f"{es} {es}"), (6, "AT61 1904 3002 3457 3201 2024"), (7, "123-45-6789, 321-54-9876 are ssn"), (8, "ssn " + "x" * 40 + " 123-45-6789")]
+    got = {r.doc_id: [(s["kind"], r.text[s["start"] : s["stop"]]) for s in r.spans if s["kind"] in pii.ADDED] for r in pii.pii_spans(frame(spark, rows).drop("spans")).collect()}
+    both = [("ssn", "123-45-6789"), ("ssn", "321-54-9876")]
+    assert got == {1: both, 2: [("short_card", "378282246310005"), ("short_card", "371449635398431")], 3: [("short_card", "378282246310005")], 4: [("iban", es)],
+                   5: [("iban", es)] * 2, 6: [("iban", "AT61 1904 3002 3457 3201")], 7: both, 8: []}
+
+
 def test_long_runs_use_no_stack(spark):
     rows = [(1, "1" * 200_000), (2, "a." * 100_000), (3, "a@b" + ".c" * 50_000), (4, "1 " * 100_000), (5, "+" * 100_000), (6, "1." * 100_000)]
     got = {r.doc_id: len(r.spans) for r in pii.pii_spans(frame(spark, rows).drop("spans")).collect()}

@@ -33,6 +33,23 @@ PATTERNS = {
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
+# Fixed lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def sized_iban() -> str:
+    """The pattern of account numbers: as long as the country prescribes, or, for other letters, ``PATTERNS["iban"]``."""
+    def one(n: int, codes: str) -> str:
+        fours, rest = divmod(n - 4, 4)
+        return rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    return "|".join([*[one(n, c) for n, c in IBAN_LENGTHS.items()], f"(?!{known}){PATTERNS['iban']}"])
+
+
 # Fixed words that support a kind when they stand near it.
 CONTEXT = {
     "email": "mail|contact|write",
@@ -94,27 +111,33 @@ def valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def located(matches: Column, gaps: Column, window: int) -> Column:
-    """array<struct<value, start, stop, near>>: where each match lies, and the lower-case text around it up to its neighbours."""
+def located(matches: Column, gaps: Column) -> Column:
+    """array<struct<value, start, stop>>: where each match lies."""
     n = F.size(matches)
-    rows = F.arrays_zip(F.slice(gaps, 1, n).alias("before"), matches.alias("value"), F.slice(gaps, 2, n).alias("after"))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<value:string,start:bigint,stop:bigint,near:string>>").alias("out"))
+    rows = F.arrays_zip(F.slice(gaps, 1, n).alias("before"), matches.alias("value"))
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<value:string,start:bigint,stop:bigint>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         lo = acc["pos"] + F.length(x["before"])
         hi = lo + F.length(x["value"])
-        near = F.lower(F.concat(F.substring(x["before"], -window, window), F.lit(" "), F.substring(x["after"], 1, window)))
-        one = F.struct(x["value"].alias("value"), lo.alias("start"), hi.alias("stop"), near.alias("near"))
+        one = F.struct(x["value"].alias("value"), lo.alias("start"), hi.alias("stop"))
         return F.struct(hi.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.aggregate(rows, start, step)["out"]
 
 
-def scored(kind: str, spans: Column, cfg: PiiSettings) -> Column:
+def near(text: Column, x: Column, window: int) -> Column:
+    """The lower-case text of ``window`` characters on each side of a span, whatever else matches there."""
+    lo = F.greatest(x["start"] - window, F.lit(0))
+    left = F.substring(text, (lo + 1).cast("int"), (x["start"] - lo).cast("int"))
+    return F.lower(F.concat(left, F.lit(" "), F.substring(text, (x["stop"] + 1).cast("int"), F.lit(window))))
+
+
+def scored(kind: str, spans: Column, text: Column, cfg: PiiSettings) -> Column:
     """array<struct<kind, start, stop, score>> of the spans that hold."""
-    base, check, near = SCORES[kind]
+    base, check, context = SCORES[kind]
     # only validated spans are left, so each has the validator's share; tenths keep the sum exact
-    tenths = lambda x: round(base * 10) + round(check * 10) + F.when(x["near"].rlike(CONTEXT[kind]), round(near * 10)).otherwise(0)
+    tenths = lambda x: round(base * 10) + round(check * 10) + F.when(near(text, x, cfg.window).rlike(CONTEXT[kind]), round(context * 10)).otherwise(0)
     cast = "array<struct<kind:string,start:bigint,stop:bigint,score:double>>"
     ok = F.filter(spans, lambda x: valid(kind, x["value"]))
     all_ = F.transform(ok, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), (tenths(x) / 10).alias("score")))
@@ -131,18 +154,19 @@ def pii_spans(docs: DataFrame, text: str = "text", out: str = "spans", cfg: PiiS
         "email": F.contains(t, F.lit("@")), "ip": F.contains(t, F.lit(".")) & has_digit, "card": has_digit,
         "phone": F.contains(t, F.lit("+")), "iban": has_digit, "ssn": F.contains(t, F.lit("-")) & has_digit,
     }
-    kinds = list(PATTERNS)
+    patterns = {**PATTERNS, "iban": sized_iban()}
+    kinds = list(patterns)
     m = dict(zip(kinds, fresh(docs, *[f"match_{k}" for k in kinds])))
     empty = F.array().cast("array<string>")
-    df = docs.withColumns({m[k]: F.when(may[k], F.regexp_extract_all(t, F.lit(PATTERNS[k]), F.lit(0))).otherwise(empty) for k in kinds})
+    df = docs.withColumns({m[k]: F.when(may[k], F.regexp_extract_all(t, F.lit(patterns[k]), F.lit(0))).otherwise(empty) for k in kinds})
     at = dict(zip(kinds, fresh(df, *[f"at_{k}" for k in kinds])))
-    none = F.lit(None).cast("array<struct<value:string,start:bigint,stop:bigint,near:string>>")
+    none = F.lit(None).cast("array<struct<value:string,start:bigint,stop:bigint>>")
     df = df.withColumns({
-        at[k]: F.when(F.size(m[k]) > 0, located(F.col(m[k]), F.split(t, PATTERNS[k], -1), cfg.window)).otherwise(none) for k in kinds
+        at[k]: F.when(F.size(m[k]) > 0, located(F.col(m[k]), F.split(t, patterns[k], -1))).otherwise(none) for k in kinds
     })
     source = {k: F.col(at["card" if k == "short_card" else k]) for k in BASE + ADDED}
     spans = F.concat(*[F.when(source[k].isNull(), F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,score:double>>"))
-                       .otherwise(scored(k, source[k], cfg)) for k in BASE + ADDED])
+                       .otherwise(scored(k, source[k], t, cfg)) for k in BASE + ADDED])
     return df.select(*[F.col(f"`{c}`") for c in docs.columns], spans.alias(out))
 
 
