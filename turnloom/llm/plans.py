@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.llm import minhash, neighbours, packing, pii, quality, secrets, segmentation, suffixes, transducer, warc
+from turnloom.llm import alignment, fim, minhash, mixing, neighbours, packing, pii, quality, secrets, segmentation, suffixes, transducer, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_packing": packing.op9_packing,
     "op10_warc": warc.op10_warc,
+    "op11_mixing": mixing.op11_mixing,
+    "op12_fim": fim.op12_fim,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {
     "op1_quality": quality.OP1_SQL,
     "op6_pii": pii.OP6_SQL,
     "op8_minhash": minhash.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_mixing": mixing.OP11_SQL,
+    "op12_fim": fim.OP12_SQL,
 }
