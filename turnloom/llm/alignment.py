@@ -134,12 +134,8 @@ class Pieces(Units):
         ]
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        marked = [u[1:] for u in units if u[0] == " "]
-        # a unit without a mark follows a line feed, which is a token by itself after the added mark
-        bare = ["\n" + u for u in units if u[0] != " "]
-        with_mark = iter(self.sp.encode(marked, num_threads=1) if marked else [])
-        without = iter(self.sp.encode(bare, num_threads=1) if bare else [])
-        return [np.asarray(next(with_mark) if u[0] == " " else next(without)[2:], "<u4").tobytes() for u in units]
+        # a line feed is a token by itself, after the mark that the library adds: what comes then is the unit as it is inside a text
+        return [np.asarray(ids[2:], "<u4").tobytes() for ids in self.sp.encode(["\n" + u for u in units], num_threads=1)]
 
 
 def encoders(cfg: AlignSettings) -> tuple[ByteLevel, Pieces]:
