@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_plans", "turn_plans", "context_plans", "event_plans", "source_plans"]
+MODULES = ["text_plans", "turn_plans", "context_plans", "event_plans", "source_plans", "session_plans"]
 
 
 def collect() -> tuple[dict, dict]:
