@@ -303,9 +303,9 @@ def pair_counts(blocks: DataFrame, pieces: int) -> DataFrame:
 
 def scored(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """Sums over the links of a block's documents."""
-    at = np.argsort(pairs.column("at").to_numpy())
-    count = pairs.column("count").to_numpy()[at]
-    best = pairs.column("best").to_numpy()[at].astype(np.int64)
+    if pairs.num_rows:  # a block without links has no dictionary
+        at = np.argsort(pairs.column("at").to_numpy())
+        count, best = pairs.column("count").to_numpy()[at], pairs.column("best").to_numpy(zero_copy_only=False)[at].astype(np.int64)
     sums, bests = [], []
     for raw in docs.column("links"):
         x = unsqueezed(raw.as_py())
