@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.config import Settings
 from turnloom.functions import text as T
 from turnloom.operators.metrics import one_row_join
 from turnloom.operators.turns import answer_map
+from turnloom.session import checkpointed
 
 CFG = Settings()
 
@@ -61,44 +62,82 @@ def confirmation_gate(ex: DataFrame, imprint: DataFrame, cfg: Settings = CFG) ->
 
 
 DIGEST_SCHEMA = "turn long, decision string, reason string, ratio double, imprint_facts int, n_new int"
+DIGEST_COLS = ["turn", "decision", "reason", "ratio", "imprint_facts", "n_new"]
+
+
+def walk_block(rows: pd.DataFrame, known: set[str], n: int, cfg: Settings = CFG) -> list[tuple]:
+    """Decisions over a block's replies in order.
+
+    ``n`` facts are confirmed before the block; ``known`` are those of them that its replies mention, which is all a decision needs.
+    """
+    out = []
+    for r in rows.sort_values("turn", kind="stable").itertuples(index=False):
+        new = list(r.new_terms)
+        ratio = len(known.intersection(r.reply_terms)) / n if n else None
+        if r.hedge:
+            got = ("reject", "rule_hedge")
+        elif n:
+            got = ("accept", "copy") if ratio >= cfg.gate_accept else ("reject", "not_copy") if ratio < cfg.gate_flag else ("flag", "borderline")
+        else:
+            got = ("accept", "substantive_first_mention") if len(new) >= cfg.gate_floor else ("reject", "thin")
+        out.append((r.turn, *got, ratio, n, len(new)))
+        if got[0] == "accept":
+            n += len(set(new) - known)
+            known.update(new)
+    return out
 
 
 def digest_gate(ex: DataFrame, cfg: Settings = CFG) -> DataFrame:
     """Grade replies against the facts of earlier *accepted* replies.
 
-    Each decision depends on the ones before it, so a conversation is walked
-    in order; rows stream through and only its set of confirmed terms is held.
-    Terms are extracted before, in parallel.
+    Each decision depends on those before it.  Conversations are cut into blocks of ``block_rows`` messages that run in parallel, each from a
+    guess of what earlier blocks confirmed.  From the decisions comes a first-mention table (conversation, term, first accepting block); it
+    gives each block the number of facts before it and those among its own terms.  Blocks for which that differs from their guess run again, until
+    none does: the walk's own result, as the first block starts right and each block is right once all before it are.  A round
+    writes the blocks that ran; no task holds more than a block and its own terms.
     """
+    none = F.array().cast("array<string>")
     d = ex.where(T.text_or_empty(F.col("reply")) != "")
     d = d.withColumn("reply_terms", T.gate_terms(F.col("reply"))).withColumn("hedge", T.is_hedge(F.col("reply")))
-    d = d.select("conv_id", "turn", "hedge", "reply_terms", F.array_except("reply_terms", T.gate_terms(F.col("query"))).alias("new_terms"))
-    accept, flag, floor = cfg.gate_accept, cfg.gate_flag, cfg.gate_floor
-
-    def walk(batches):
-        conv, facts = None, set()
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.conv_id != conv:
-                    conv, facts = r.conv_id, set()
-                terms, new = set(r.reply_terms), list(r.new_terms)
-                n = len(facts)
-                ratio = len(terms & facts) / n if n else None
-                if r.hedge:
-                    got = ("reject", "rule_hedge")
-                elif n:
-                    got = ("accept", "copy") if ratio >= accept else ("reject", "not_copy") if ratio < flag else ("flag", "borderline")
-                else:
-                    got = ("accept", "substantive_first_mention") if len(new) >= floor else ("reject", "thin")
-                out.append((r.conv_id, r.turn, *got, ratio, n, len(new)))
-                if got[0] == "accept":
-                    facts.update(new)
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "decision", "reason", "ratio", "imprint_facts", "n_new"])
-
-    n = int(ex.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = ex.schema["conv_id"].dataType.simpleString()
-    return d.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(walk, f"conv_id {ids}, {DIGEST_SCHEMA}")
+    d = d.withColumn("new_terms", F.array_except("reply_terms", T.gate_terms(F.col("query"))))
+    block = F.floor(F.col("turn") / cfg.block_rows).cast("long").alias("block")
+    rows = checkpointed(d.select("conv_id", block, F.col("turn").cast("long").alias("turn"), "hedge", "reply_terms", "new_terms"))
+    keys = ["conv_id", "block"]
+    mentions = checkpointed(rows.select(*keys, F.explode("reply_terms").alias("term")).distinct())
+    schema = f"conv_id {ex.schema['conv_id'].dataType.simpleString()}, block long, {DIGEST_SCHEMA}"
+
+    def run(key, replies: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        known, n = (set(start["known"].iloc[0]), int(start["n"].iloc[0])) if len(start) else (set(), 0)
+        out = pd.DataFrame(walk_block(replies, known, n, cfg) if len(start) else [], columns=DIGEST_COLS)
+        out.insert(0, "block", key[1])
+        out.insert(0, "conv_id", key[0])
+        return out
+
+    def decided(starts: DataFrame) -> DataFrame:
+        """Decisions of the blocks in ``starts``."""
+        own = starts.select(*[F.col(c).alias(c) for c in (*keys, "n", "known")])
+        asked = rows.join(own, keys, "left_semi").select(*[F.col(c).alias(c) for c in rows.columns])
+        return checkpointed(asked.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(run, schema))
+
+    starts = checkpointed(rows.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("n"), none.alias("known")))
+    done = decided(starts)
+    while True:
+        accepted = done.where("decision = 'accept'").select("conv_id", "turn")
+        # a fact counts from the block after the one that first accepts it
+        first = rows.join(accepted, ["conv_id", "turn"], "left_semi").select("conv_id", "block", F.explode("new_terms").alias("term"))
+        first = checkpointed(first.groupBy("conv_id", "term").agg(F.min("block").alias("first_block")))
+        # one row a block
+        added = first.groupBy("conv_id", F.col("first_block").alias("block")).agg(F.count("*").alias("c"))
+        before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        counts = starts.select(*keys).join(added, keys, "left").select(*keys, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("n"))
+        met = mentions.join(first, ["conv_id", "term"]).where(F.col("first_block") < F.col("block")).groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias("known"))
+        now = checkpointed(counts.join(met, keys, "left").select(*keys, "n", F.coalesce("known", none).alias("known")))
+        wrong = now.join(starts.select(*keys, F.col("n").alias("n0"), F.col("known").alias("known0")), keys).where("n <> n0 or known <> known0").select(*keys, "n", "known")
+        wrong = checkpointed(wrong)
+        if wrong.isEmpty():
+            return done.drop("block")
+        done = done.join(wrong.select(*keys), keys, "left_anti").unionByName(decided(wrong))
+        starts = now
 
 
 def gate_summary(decisions: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
 from turnloom.operators import turns as U
-from turnloom.plans.base import BUDGET, CHUNKS, ENC, MSGS, STORE, O, assemble_sql, messages, s_hedge, s_sanitize, s_strip, s_tokens, scratch, settings, tidy
+from turnloom.operators.embedding import embed_batch, score_cross
+from turnloom.plans.base import BUDGET, CHUNKS, ENC, MSGS, STORE, O, assemble_sql, chunk_table, messages, s_bow, s_dot, s_hedge, s_sanitize, s_strip, s_tokens, scratch, settings, tidy
 from turnloom.streaming.sessions import keep_typed_state, session_stream
 
 QUERIES, ORACLES = {}, {}
@@ -68,3 +70,26 @@ def _session_stream(s, d):
     q.awaitTermination()
     r = s.read.parquet(out)
     return tidy(r).select(*[F.when(F.col("route").isNotNull(), F.col(c)).alias(c) if c == "selected_ids" else c for c in r.columns])
+
+
+# ------------------------------------------------------------------ second tier and batch encoding
+_UNIT = "list_transform(c.vec, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+@reg("score_cross", f"""WITH {ENC}, p AS (SELECT q.conv_id, q.seq AS q_seq, c.seq, c.chunk_id, {s_dot('q.vec', 'c.vec')} AS d, q.norm * q.norm AS qq, c.norm * c.norm AS cc,
+  {s_dot('q.vec', _UNIT)} / greatest(list_sum(q.vec), 1) AS max_similarity FROM enc q JOIN enc c ON c.conv_id = q.conv_id AND c.seq < q.seq AND c.seq >= q.seq - {STORE} WHERE q.role = 'user')
+SELECT conv_id, q_seq, seq, chunk_id, CASE WHEN qq = 0 THEN 0.0 ELSE coalesce((qq + d) / nullif(sqrt(qq) * sqrt(qq + 2 * d + cc), 0), 0.0) END AS relevance, max_similarity,
+  0.85::DOUBLE AS confidence, 'medium' AS source FROM p""", d="relevance max_similarity")
+def _score_cross(s, d):
+    cfg = settings(s, d)
+    return tidy(score_cross(chunk_table(s, d, cfg), cfg))
+
+
+@reg("embed_batch", f"""WITH k AS (SELECT DISTINCT md5(coalesce(text, '')) AS k FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, md5(coalesce(text, '')) IN (SELECT k FROM k) AS cached, array_to_string(list_transform({s_bow("coalesce(text, '')")}, lambda x: x::BIGINT), ',') AS vec FROM conversations""")
+def _embed_batch(s, d):
+    """All messages; vectors of the user's texts are on disk from a run before."""
+    path = scratch(s)
+    embed_batch(messages(s, d).where("role = 'user'")).select(T.content_key(T.text_or_empty(F.col("text"))).alias("key"), "vec").write.parquet(path)
+    r = embed_batch(messages(s, d), cache=s.read.parquet(path))
+    return r.select("conv_id", "turn", "cached", F.array_join(F.transform("vec", lambda x: x.cast("long").cast("string")), ",").alias("vec"))

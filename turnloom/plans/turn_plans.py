@@ -380,7 +380,7 @@ def _gate_ab(s, d):
 
 @reg("digest_gate", None)
 def _digest_gate(s, d):
-    cfg = settings(s, d)
+    cfg = settings(s, d, block_rows=8)
     return tidy(G.digest_gate(U.exchanges(messages(s, d), cfg), cfg))
 
 
