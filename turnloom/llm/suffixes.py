@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import fresh, mix64, staged, table, worker_cache
 
-PIECE = 1 << 21  # bytes of text handled at once
+PIECE = 1 << 19  # bytes of text handled at once
+GROUP = 4 << 20  # bytes of text whose entries are reduced together
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -142,7 +143,7 @@ def scan_batch(docs: DataFrame, key: str, text: str, cfg: SuffixSettings) -> Dat
 
     def run(batches):
         for b in batches:
-            for part in _groups(b.column(0).to_pylist(), b.column(1), 8 << 20):
+            for part in _groups(b.column(0).to_pylist(), b.column(1), GROUP):
                 cols = [entries(raw, cfg) for _, raw in part]
                 doc = np.repeat(np.array([k for k, _ in part], np.int64), [len(c[0]) for c in cols])
                 m, s, first, count = (np.concatenate([c[i] for c in cols]) for i in range(4))
@@ -181,29 +182,30 @@ class SuffixLevels:
         ``keep`` false: the batch is not put into the family (the last one of a bulk run).
         """
         rows = scan_batch(docs, key, text, self.cfg).repartition(self.buckets, "m")
-        first = F.min("doc").over(Window.partitionBy("m", "s"))
-        own = self.save(rows.withColumn("covered", F.col("covered") | (first < F.col("doc"))))
+        # rows stream through the sorted key; the first one leads it and is the only one that later batches have to meet
+        order = Window.partitionBy("m", "s").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        place = Window.partitionBy("m", "s").orderBy("doc")
+        own = self.save(rows.withColumn("lead", F.row_number().over(place) == 1).withColumn("covered", F.col("covered") | (F.first("doc").over(order) < F.col("doc"))))
         t = self.spark.table(own).where("not covered").drop("covered")
         seen = [self.spark.table(n) for n in self.levels if n]
         mark = F.lit(False)
         for i, level in enumerate(seen):
-            t = t.join(level.select("m", "s", F.lit(True).alias(f"in{i}")).distinct(), ["m", "s"], "left")
+            t = t.join(level.where("lead").select("m", "s", F.lit(True).alias(f"in{i}")), ["m", "s"], "left")
             mark = mark | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        first_name = self.save(t.select("m", "s", "doc", "w", mark.alias("covered")))
+        first_name = self.save(t.select("m", "s", "doc", "w", "lead", mark.alias("covered")))
         new = self.spark.table(first_name)
         whole = self.spark.table(own).where("covered").select("doc", "w").union(new.where("covered").select("doc", "w"))
         new = new.where("not covered").drop("covered")
-        keys = new.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        # m of two documents or more of the batch, or of one of a level; which rows say so, and how often, makes no difference
+        keys = new.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("m")
+        for level in seen:
+            keys = keys.union(new.select("m").join(level.select("m"), "m", "left_semi"))
         edges = []
-        old = F.lit(False)
-        for i, level in enumerate(seen):
-            keys = keys.join(level.groupBy("m").agg(F.lit(True).alias(f"in{i}")), "m", "left")
-            old = old | F.coalesce(F.col(f"in{i}"), F.lit(False))
         # written once, as each array is scanned for them
-        shared_name = self.save(keys.where((F.col("lo") < F.col("hi")) | old).select("m"))
+        shared_name = self.save(keys.repartition(self.buckets, "m"))
         shared = self.spark.table(shared_name)
         for df in [new, *seen]:
-            edges.append(df.join(shared, "m", "left_semi").select("doc", "w"))
+            edges.append(df.join(shared.hint("merge"), "m", "left_semi").select("doc", "w"))
         out = edges[0]
         for e in edges[1:]:
             out = out.union(e)
@@ -235,7 +237,7 @@ def edge_windows(docs: DataFrame, key: str, text: str, edges: DataFrame, cfg: Su
     def run(batches):
         for b in batches:
             wanted = dict(zip(b.column("doc").to_pylist(), b.column("ws")))
-            for part in _groups(b.column("doc").to_pylist(), b.column("t"), 8 << 20):
+            for part in _groups(b.column("doc").to_pylist(), b.column("t"), GROUP):
                 fs, docs_, at = [], [], []
                 for k, raw in part:
                     w = np.asarray(wanted[k].values)
@@ -279,10 +281,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: Suffi
     levels = SuffixLevels(spark, cfg)
     whole, edges = [], []
     k = F.col(f"`{key}`").cast("long")
-    # joins on (m, s) may use the buckets of m
-    conf = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, "false")
+    # joins on (m, s) may use the buckets of m, and the order within: a bucket is one file, as each write is dealt by m
+    confs = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    before = {c: spark.conf.get(c) for c in confs}
+    for c, v in confs.items():
+        spark.conf.set(c, v)
     try:
         for i in range(len(cuts) + 1):
             part = docs.where(k > cuts[i - 1]) if i else docs
@@ -290,9 +293,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: Suffi
             a, b = levels.add(part, key, text, keep=i < len(cuts))
             whole.append(a)
             edges.append(b)
-        levels.close()
     finally:
-        spark.conf.set(conf, before)
+        levels.close()
+        for c, v in before.items():
+            spark.conf.set(c, v)
     all_edges, covered = edges[0], whole[0]
     for e, c in zip(edges[1:], whole[1:]):
         all_edges, covered = all_edges.union(e), covered.union(c)
