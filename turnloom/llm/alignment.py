@@ -8,8 +8,8 @@ How often a pair of ids is linked is a statistic of the whole corpus.  Documents
 dictionary of its pairs, so what is summed, joined and sent back is a row per block and pair, not per link or document; a pair that all
 documents have is as many rows as there are blocks, summed before the shuffle.  Blocks and their dictionaries meet by block number.
 
-Both sides are encoded unit by unit with a bounded memo.  Side A breaks before a space that a word follows and around other white space, side B before
-runs of word marks and around line feeds; no token crosses these, and tests hold the ids against those of whole texts.
+Both sides break before a run of spaces and line feeds, so no token and no group crosses the units that begin there: a unit's groups and links are found
+once and kept in a bounded memo.  Texts with other white space before such a run are one unit.  Tests hold the ids against those of whole texts.
 
 Defined cases: null and empty texts, and texts whose tokens' bytes differ from a space and the text, have no tokens: all counts are 0 and the groups
 empty; rows without a key and rows that repeat one are rows of their own, and count in the corpus; an empty table gives none; other columns are not read.
@@ -21,6 +21,7 @@ import os
 import re
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import staged, table, worker_cache
 
-MAX_UNITS = 200_000
-LONG_UNIT = 200  # characters; longer ones are encoded each time, so the memo's size is bounded
+MAX_UNITS = 300_000
+LONG_CHARS = 4 << 20  # characters of long units after which the memo starts anew, so that its size is bounded
+LONG_UNIT = 200
 
 
 @dataclass(frozen=True)
@@ -46,64 +48,35 @@ class AlignSettings:
     groups: str = "sha256"
 
 
-# White space of side A's pattern (Unicode's property, without the separators that Python adds to it).
-_W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNITS_A = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
-_UNITS_B = re.compile(" *[^ \n]+| +|\n")
+_UNITS = re.compile("[ \n]*[^ \n]+|[ \n]+")
+# other white space of side A's pattern before a place to cut: it may go into one token with what follows
+_JOINED = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][ \n]")
 
 
-class Units(dict):
-    """Unit -> ids as little-endian unsigned 32-bit bytes.  ``odd`` holds units whose tokens' bytes differ from the unit."""
+class Encoder:
+    """Encodes units as they are inside a text."""
 
-    def __init__(self, pattern: re.Pattern):
-        self.pattern, self.odd = pattern, set()
-        self.bytes_of: list[bytes] = []
+    bytes_of: list[bytes]
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units one after another, and how many each has."""
         raise NotImplementedError
 
-    def expected(self, unit: str) -> bytes:
-        return unit.encode("utf-8", "surrogatepass")
+    def differing(self, units: list[str], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which units are not what their tokens' bytes say."""
+        ends = np.cumsum(counts)
+        given = [u.encode("utf-8") for u in units]
+        upto = np.concatenate([[0], np.cumsum(self.len_of[ids])])[np.concatenate([[0], ends])]
+        whole = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        if whole == b"".join(given) and (np.diff(upto) == [len(x) for x in given]).all():
+            return np.zeros(len(units), bool)
+        return np.array([whole[lo:hi] != x for lo, hi, x in zip(upto[:-1].tolist(), upto[1:].tolist(), given)])
 
-    def learn(self, units: list[str]) -> None:
-        new = [u for u in dict.fromkeys(units) if u not in self]
-        if len(self) + len(new) > MAX_UNITS:
-            self.clear()
-            self.odd.clear()
-            new = list(dict.fromkeys(units))
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for u, ids in zip(part, self.encode_units(part)):
-                self[u] = ids
-                if self.joined(ids) != self.expected(u):
-                    self.odd.add(u)
-
-    def joined(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-    def encode(self, text: str) -> bytes | None:
-        """Ids of a space and ``text``, or nothing if their bytes differ from that."""
-        units = self.pattern.findall(" " + text)
-        try:
-            got = b"".join(map(self.__getitem__, units))
-        except KeyError:
-            self.learn(units)
-            got = b"".join(map(self.__getitem__, units))
-        if self.odd and not self.odd.isdisjoint(units) and self.joined(got) != (" " + text).encode("utf-8", "surrogatepass"):
-            got = None
-        if len(units) and max(map(len, units)) > LONG_UNIT:
-            for u in units:
-                if len(u) > LONG_UNIT and u in self:
-                    del self[u]
-                    self.odd.discard(u)
-        return got
-
-
-class ByteLevel(Units):
+
+class ByteLevel(Encoder):
     """Side A: byte-level BPE."""
 
     def __init__(self, path: str):
-        super().__init__(_UNITS_A)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -117,15 +90,35 @@ class ByteLevel(Units):
         names = {i: t for t, i in self.tok.get_vocab(with_added_tokens=False).items()}
         self.bytes_of = [bytes(letters[c] for c in names[i]) if all(c in letters for c in names.get(i, "?")) and i in names else b"" for i in range(self.tok.get_vocab_size())]
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
-
-
-class Pieces(Units):
+        self.len_of = np.array([len(x) for x in self.bytes_of])
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # words with their space stay what they are in a row, so they go to the library as one text; its tokens are cut at the words' ends
+        is_word = np.fromiter((u[0] == " " and not u[-1].isspace() and " " not in u[1:] and "\n" not in u for u in units), bool, len(units))
+        words = [u for u, w in zip(units, is_word) if w]
+        counts = np.zeros(len(units), np.int64)
+        in_row = np.asarray(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4") if words else np.zeros(0, "<u4")
+        ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in words]) if words else np.zeros(0, np.int64)
+        upto = np.cumsum(self.len_of[in_row])
+        cut = np.searchsorted(upto, ends)
+        if len(words) and not (upto[-1] == ends[-1] and (upto[cut] == ends).all()):
+            is_word[:] = False
+        single = [np.asarray(e.ids, "<u4") for e in self.tok.encode_batch_fast([u for u, w in zip(units, is_word) if not w], add_special_tokens=False)]
+        counts[~is_word] = [len(x) for x in single]
+        if is_word.any():
+            counts[is_word] = np.diff(cut + 1, prepend=0)
+        out = np.empty(int(counts.sum()), "<u4")
+        of_word = np.repeat(is_word, counts)
+        if is_word.any():
+            out[of_word] = in_row
+        out[~of_word] = np.concatenate([np.zeros(0, "<u4"), *single])
+        return out, counts
+
+
+class Pieces(Encoder):
     """Side B: sentence pieces, which add a word mark in front."""
 
     def __init__(self, path: str):
-        super().__init__(_UNITS_B)
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -133,9 +126,23 @@ class Pieces(Units):
             bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()))
         ]
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        # a line feed is a token by itself, after the mark that the library adds: what comes then is the unit as it is inside a text
-        return [np.asarray(ids[2:], "<u4").tobytes() for ids in self.sp.encode(["\n" + u for u in units], num_threads=1)]
+        self.len_of = np.array([len(x) for x in self.bytes_of])
+        self.feed = next((i for i, x in enumerate(self.bytes_of) if x == b"\n"), -1)
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # a line feed is a token by itself, after the mark that the library adds: what comes between two of them is a unit as it is inside a text
+        fed = np.fromiter(("\n" in u for u in units), bool, len(units))
+        rest = [u for u in units if "\n" not in u]
+        rows = ["\n" + "\n".join(rest[i : i + 500]) for i in range(0, len(rest), 500)]
+        ids = np.asarray([x for row in (self.sp.encode(rows, num_threads=1) if rows else []) for x in row[1:]], "<u4")
+        own = [x[2:] for x in self.sp.encode(["\n" + u for u in units if "\n" in u], num_threads=1)] if fed.any() else []
+        counts = np.zeros(len(units), np.int64)
+        counts[fed] = [len(x) for x in own]
+        counts[~fed] = np.diff(np.flatnonzero(ids == self.feed), append=len(ids)) - 1
+        out = np.empty(int(counts.sum()), "<u4")
+        of_fed = np.repeat(fed, counts)
+        out[of_fed], out[~of_fed] = [x for ids_ in own for x in ids_], ids[ids != self.feed]
+        return out, counts
 
 
 def encoders(cfg: AlignSettings) -> tuple[ByteLevel, Pieces]:
@@ -166,36 +173,49 @@ def overlaps(sa: np.ndarray, ea: np.ndarray, sb: np.ndarray, eb: np.ndarray) ->
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-class Aligner:
-    """Aligns some documents at a time."""
+class Units:
+    """Aligned units: counts, groups as text, and links as numbers of id pairs."""
 
     def __init__(self, cfg: AlignSettings):
-        self.cfg = cfg
         self.a, self.b = encoders(cfg)
-        self.len_a = np.array([len(x) for x in self.a.bytes_of])
-        self.len_b = np.array([len(x) for x in self.b.bytes_of])
-        top = max(len(self.len_a), len(self.len_b))
+        self.pieces = len(self.b.len_of)
+        top = max(len(self.a.len_of), self.pieces)
         # an id's text by what follows it: another id of its side, the other side, the next group
-        self.names = [f"{i}{mark}" for mark in ",|;" for i in range(top)]
-        self.top = top
-
-    def align(self, texts: list[bytes]) -> tuple[list[dict], list[np.ndarray]]:
-        """Per text its counts and groups, and the codes (id of A times size of B's vocabulary, plus id of B) of its links in order."""
-        ids_a, ids_b = [], []
-        for raw in texts:
-            a = b = None
-            if raw:
-                try:
-                    t = raw.decode("utf-8")
-                    a, b = self.a.encode(t), self.b.encode(t)
-                except UnicodeDecodeError:
-                    pass
-            ids_a.append(b"" if a is None or b is None else a)
-            ids_b.append(b"" if a is None or b is None else b)
-        n_a, n_b = (np.array([len(x) // 4 for x in ids]) for ids in (ids_a, ids_b))
-        a, b = (np.frombuffer(b"".join(ids), "<u4").astype(np.int64) for ids in (ids_a, ids_b))
-        ea, eb = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        sa, sb = ea - self.len_a[a], eb - self.len_b[b]
+        self.names, self.top = [f"{i}{mark}" for mark in ",|;" for i in range(top)], top
+        #: id pair (id of A times size of B's vocabulary, plus id of B) -> number
+        self.pairs: dict[int, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.counts = np.zeros((0, 5), np.int64)  # tokens of A and B, groups, links, whether bytes differ
+        self.links, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, units: set[str]) -> None:
+        new = list(units.difference(self.index))
+        if len(self.index) + len(new) > MAX_UNITS:
+            self.clear()
+            new = list(units)
+        if new:
+            groups, counts, links = self.align(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.groups += groups
+            self.counts = np.concatenate([self.counts, counts])
+            self.links = np.concatenate([self.links, links])
+            self.at = np.concatenate([[0], np.cumsum(self.counts[:, 3])])
+
+    def align(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        a, n_a = self.a.encode_units(units)
+        b, n_b = self.b.encode_units(units)
+        odd = self.a.differing(units, a, n_a) | self.b.differing(units, b, n_b)
+        if odd.any():
+            a, b = a[np.repeat(~odd, n_a)], b[np.repeat(~odd, n_b)]
+            n_a[odd] = n_b[odd] = 0
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        # the tokens of both sides lie end to end and fill the same bytes
+        ea, eb = np.cumsum(self.a.len_of[a]), np.cumsum(self.b.len_of[b])
+        sa, sb = ea - self.a.len_of[a], eb - self.b.len_of[b]
         order, group = coalesced(np.concatenate([sa, sb]), np.concatenate([ea, eb]))
         side = order >= len(a)
         # tokens by group, then side; each side is in order within
@@ -206,21 +226,43 @@ class Aligner:
         last[:-1] = group[1:] != group[:-1]
         turn = np.zeros(len(ids), bool)
         turn[:-1] = side[1:] & ~side[:-1]
-        name = ids + self.top * (turn + 2 * last)
-        i, j = overlaps(sa, ea, sb, eb)
-        together = ea[i] == eb[j]
-        codes = a[i[together]] * len(self.len_b) + b[j[together]]
+        named = list(map(self.names.__getitem__, (ids + self.top * (turn + 2 * last)).tolist()))
         ends = np.concatenate([[0], np.cumsum(n_a + n_b)])
         upto = np.concatenate([[0], np.cumsum(last)])
-        links_at = np.searchsorted(i[together], np.concatenate([[0], np.cumsum(n_a)]))
+        i, j = overlaps(sa, ea, sb, eb)
+        together = ea[i] == eb[j]
+        i, j = i[together], j[together]
+        n_links = np.diff(np.searchsorted(i, np.concatenate([[0], np.cumsum(n_a)])))
+        codes, where = np.unique(a[i] * self.pieces + b[j], return_inverse=True)
+        numbers = np.array([self.pairs.setdefault(c, len(self.pairs)) for c in codes.tolist()], np.int32)
+        at = ends.tolist()
+        groups = ["".join(named[lo:hi])[:-1] for lo, hi in zip(at, at[1:])]
+        return groups, np.stack([n_a, n_b, np.diff(upto[ends]), n_links, odd], 1), numbers[where]
+
+    def documents(self, texts: list[bytes], keep: str = "sha256") -> tuple[list[dict], list[np.ndarray]]:
+        """Per text its counts and groups, and the numbers of its links."""
+        cut: list[list[str]] = []
+        for raw in texts:
+            try:
+                t = " " + raw.decode("utf-8") if raw else ""
+            except UnicodeDecodeError:
+                t = ""  # no tokens
+            cut.append([t] if _JOINED.search(t) else _UNITS.findall(t))
+        met = set(chain.from_iterable(cut))
+        self.learn(met)
         out, links = [], []
-        for k in range(len(texts)):
-            lo, hi = int(ends[k]), int(ends[k + 1])
-            groups = "".join(map(self.names.__getitem__, name[lo:hi].tolist()))[:-1]
-            if self.cfg.groups == "sha256":
-                groups = groups and sha256(groups.encode()).hexdigest()
-            links.append(codes[links_at[k] : links_at[k + 1]])
-            out.append({"n_a": int(n_a[k]), "n_b": int(n_b[k]), "n_groups": int(upto[hi] - upto[lo]), "n_links": len(links[-1]), "groups": groups})
+        for units in cut:
+            k = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+            n_a, n_b, n_groups, n_links, odd = self.counts[k].sum(0).tolist()
+            if odd:
+                k, n_a, n_b, n_groups, n_links = k[:0], 0, 0, 0, 0
+            n = self.counts[k, 3]
+            links.append(self.links[np.arange(n_links) + np.repeat(self.at[k] - (np.cumsum(n) - n), n)])
+            groups = ";".join(map(self.groups.__getitem__, k.tolist()))
+            out.append({"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": sha256(groups.encode()).hexdigest() if groups and keep == "sha256" else groups})
+        if any(len(u) > LONG_UNIT for u in met):
+            if sum(len(u) for u in self.index if len(u) > LONG_UNIT) > LONG_CHARS:
+                self.clear()
         return out, links
 
 
@@ -249,7 +291,9 @@ def aligned_blocks(docs: DataFrame, key: str, text: str, cfg: AlignSettings) ->
     )
 
     def run(batches):
-        aligner = Aligner(cfg)
+        cache = worker_cache("alignment")
+        units = cache.setdefault(("units", cfg.model_a, cfg.model_b), None) or Units(cfg)
+        cache["units", cfg.model_a, cfg.model_b] = units
         number = TaskContext.get().partitionId() << 32
         rows: list[dict] = []
         links: list[np.ndarray] = []
@@ -257,16 +301,15 @@ def aligned_blocks(docs: DataFrame, key: str, text: str, cfg: AlignSettings) ->
 
         def close():
             nonlocal rows, links, size, number
-            pairs, place, counts = np.unique(np.concatenate([np.empty(0, np.int64), *links]), return_inverse=True, return_counts=True)
-            # frequent pairs get small numbers
-            rank = np.empty(len(pairs), np.int64)
-            by_count = np.argsort(-counts, kind="stable")
-            rank[by_count] = np.arange(len(pairs))
-            place, at = rank[place], 0
+            codes = np.fromiter(units.pairs, np.int64, len(units.pairs))
+            counts = np.bincount(np.concatenate([np.empty(0, np.int32), *links]), minlength=len(codes))
+            # frequent pairs get small numbers; pairs that the block doesn't have are left out
+            by_count = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+            rank = np.zeros(len(codes), np.int64)
+            rank[by_count] = np.arange(len(by_count))
             for r, x in zip(rows, links):
-                r["links"], r["block"] = squeezed(place[at : at + len(x)]), number
-                at += len(x)
-            rows.append({"block": number, "pairs": pairs[by_count], "counts": counts[by_count]})
+                r["links"], r["block"] = squeezed(rank[x]), number
+            rows.append({"block": number, "pairs": codes[by_count], "counts": counts[by_count]})
             out = pa.RecordBatch.from_pylist(rows, schema)
             rows, links, size, number = [], [], 0, number + 1
             return out
@@ -280,7 +323,7 @@ def aligned_blocks(docs: DataFrame, key: str, text: str, cfg: AlignSettings) ->
                 while hi < len(keys) and (hi == lo or part + sizes[hi] <= cfg.part_bytes):
                     part += sizes[hi]
                     hi += 1
-                got, codes = aligner.align([t.as_py() or b"" for t in texts[lo:hi]])
+                got, codes = units.documents([t.as_py() or b"" for t in texts[lo:hi]], cfg.groups)
                 rows += [{"key": k, **r} for k, r in zip(keys[lo:hi], got)]
                 links += codes
                 size, lo = size + part, hi
