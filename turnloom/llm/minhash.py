@@ -319,23 +319,35 @@ def _mixed(members: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
     return m.join(open_, by, "left_semi")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: MinHashSettings = MinHashSettings()) -> DataFrame:
-    """key, n_shingles, component_id, kept: per row of ``docs``."""
-    (sig,) = fresh(docs.select(key), "sig")
-    rows = staged(docs.select(F.col(f"`{key}`").cast("long").alias(key), signed(F.col(f"`{text}`"), cfg).alias(sig)), "minhash-signed")
+def _judged(docs: DataFrame, key: str, text: str, cfg: MinHashSettings) -> DataFrame:
+    """key, n_shingles, component_id, kept and a hash of the text: per row of ``docs``."""
+    sig, row = fresh(docs.select(key), "sig", "text_hash")
+    rows = staged(
+        docs.select(F.col(f"`{key}`").cast("long").alias(key), signed(F.col(f"`{text}`"), cfg).alias(sig), F.xxhash64(F.col(f"`{text}`")).alias(row)), "minhash-signed"
+    )
     known = rows.where(F.col(key).isNotNull())
     classes = staged(classes_of(known, key, sig), "minhash-classes")
     labels = link_classes(docs, key, text, classes, cfg)
     low = classes.select("c1", "c2", "node").join(labels, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("low"))
-    flat = rows.select(key, F.col(f"{sig}.n").alias("n_shingles"), F.when(F.col(f"{sig}.n") > 0, F.col(f"{sig}.c1")).alias("c1"), F.col(f"{sig}.c2").alias("c2"))
+    flat = rows.select(key, row, F.col(f"{sig}.n").alias("n_shingles"), F.when(F.col(f"{sig}.n") > 0, F.col(f"{sig}.c1")).alias("c1"), F.col(f"{sig}.c2").alias("c2"))
     got = flat.join(low, ["c1", "c2"], "left").withColumn("component_id", F.when(F.col(key).isNotNull(), F.coalesce("low", key)))
-    return got.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
+    return got.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"), F.col(row).alias("text_hash"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: MinHashSettings = MinHashSettings()) -> DataFrame:
+    """key, n_shingles, component_id, kept: per row of ``docs``."""
+    return _judged(docs, key, text, cfg).drop("text_hash")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: MinHashSettings = MinHashSettings()) -> DataFrame:
-    """``docs`` without the rows that are a near copy of one with a smaller id, link by link."""
-    gone = near_duplicates(docs, key, text, cfg).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows that are a near copy of one with a smaller id, link by link.
+
+    Rows go by id and text: of rows that share an id, one with a text of its own stays.
+    """
+    id_, hash_ = fresh(docs, "gone id", "gone text")
+    gone = _judged(docs, key, text, cfg).where("not kept").select(F.col(key).alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = (F.col(f"`{key}`") == F.col(f"`{id_}`")) & (F.xxhash64(F.col(f"`{text}`")) == F.col(f"`{hash_}`"))
+    return docs.join(gone.hint("merge"), same, "left_anti")
 
 
 def op8_minhash(spark, d) -> DataFrame:

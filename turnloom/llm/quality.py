@@ -200,23 +200,23 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     ``carry`` are the columns of ``docs`` kept (all, if None).  Texts are read and measured once; measured rows are
     staged, since the sketches and the filter both read them.
     """
-    m, failed, kept, salt = fresh(docs, "measures", "base_failed", "kept", "salt")
+    m, failed, kept, salt, lang_, source_, salt_, fences_ = fresh(docs, "measures", "base_failed", "kept", "salt", "lang_", "source_", "salt_", "fences_")
     carry = list(docs.columns if carry is None else carry)
     keys = [c for c in (lang, source) if c not in carry]
     rows = staged(docs.select(*[F.col(f"`{c}`") for c in carry + keys], measures(F.col(f"`{text}`")).alias(m)), "quality-measures")
     t = thresholds(rows, m, lang, source, cfg)
-    t = t.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
-    t = t.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "salt_", F.struct(*[c for c in t.columns if c.endswith(("_hi", "_lo"))]).alias("fences_"))
+    t = t.withColumn(salt_, F.explode(F.sequence(F.lit(0), F.lit(cfg.salts - 1))))
+    t = t.select(F.col("lang").alias(lang_), F.col("source").alias(source_), salt_, F.struct(*[c for c in t.columns if c.endswith(("_hi", "_lo"))]).alias(fences_))
     salted = rows.withColumn(salt, F.pmod(F.xxhash64(m, *[F.col(f"`{c}`") for c in carry[:1]]), F.lit(cfg.salts)).cast("int"))
     same = (
-        F.col(f"`{lang}`").eqNullSafe(F.col("lang_")) & F.col(f"`{source}`").eqNullSafe(F.col("source_")) & (F.col(salt) == F.col("salt_"))
+        F.col(f"`{lang}`").eqNullSafe(F.col(lang_)) & F.col(f"`{source}`").eqNullSafe(F.col(source_)) & (F.col(salt) == F.col(salt_))
     )
     j = salted.join(t, same, "left")
     inside = F.lit(True)
     for (n, _, two), r in zip(RULES, rates(F.col(m))):
-        inside &= F.coalesce(r <= F.col(f"fences_.{n}_hi"), F.lit(True))
+        inside &= F.coalesce(r <= F.col(f"{fences_}.{n}_hi"), F.lit(True))
         if two:
-            inside &= F.coalesce(r >= F.col(f"fences_.{n}_lo"), F.lit(True))
+            inside &= F.coalesce(r >= F.col(f"{fences_}.{n}_lo"), F.lit(True))
     bad = base_failed(F.col(m), cfg)
     out = j.select(*[F.col(f"`{c}`") for c in carry], m, bad.alias(failed), (~bad & inside).alias(kept))
     return out, m, failed, kept
