@@ -134,14 +134,13 @@ def predict_router(model, features: DataFrame) -> DataFrame:
     return model.transform(features).withColumn("predicted_route", F.get(names, F.col("prediction").cast("int")))
 
 
-def mlm_mask(texts: DataFrame, key: str, targeted: bool = False, p: float = 0.15, seed: int = 0, length: int = 128) -> DataFrame:
+def mlm_mask(texts: DataFrame, key: str, targeted: bool = False, p: float = 0.15, seed: int = 0) -> DataFrame:
     """Mark words for masking: 80 % mask, 10 % random word, 10 % kept.
 
     A seeded hash of (text id, position) stands in for a random generator, so
     a retried task masks the same words.  ``targeted`` masks domain words only.
     """
-    words = F.slice(T.word_list(F.col("text")), 1, length)
-    d = texts.select(key, F.posexplode(words).alias("pos", "word"))
+    d = texts.select(key, F.posexplode(T.word_list(F.col("text"))).alias("pos", "word"))
 
     def draw(salt):
         h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col(key).cast("string"), F.col("pos").cast("string")))
@@ -159,9 +158,9 @@ def mlm_mask(texts: DataFrame, key: str, targeted: bool = False, p: float = 0.15
 
 
 def word_ids(texts: DataFrame, key: str, length: int = 128, vocab_size: int = 30000) -> DataFrame:
-    """The first ``length`` token ids, padded; ids are word hashes unless a tokenizer is plugged in."""
-    ids = F.transform(
-        F.slice(T.word_list(F.col("text")), 1, length),
-        lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % (vocab_size - 1) + 1).cast("int"),
-    )
-    return texts.where(T.strip(F.col("text")) != "").select(key, T.pad_tokens(ids, length).alias("token_ids"))
+    """Successive sequences of ``length`` token ids that cover a text, the last one padded; ids are word hashes unless a tokenizer is plugged in."""
+    ids = F.transform(T.word_list(F.col("text")), lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % (vocab_size - 1) + 1).cast("int"))
+    d = texts.where(T.strip(F.col("text")) != "").select(key, ids.alias("ids"))
+    parts = F.greatest(F.lit(1), F.ceil(F.size("ids") / length).cast("int"))
+    d = d.select(key, "ids", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return d.select(key, "part", T.pad_tokens(F.slice("ids", F.col("part") * length + 1, F.lit(length)), length).alias("token_ids"))

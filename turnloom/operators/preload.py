@@ -25,7 +25,7 @@ def predictive_preload(chunks: DataFrame, cfg: Settings = CFG, n_queries: int =
     g = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("qs"))
     g = g.select("conv_id", F.transform("qs", lambda x: x.content).alias("queries"))
     g = g.select("conv_id", "queries", R.query_patterns(F.col("queries")).alias("patterns")).where(F.size("patterns") > 0)
-    store = lru_evict(chunks, max(cfg.max_chunks, 1000))
+    store = lru_evict(chunks, cfg.max_chunks)
     low = F.lower("content")
     has = lambda p: F.array_contains("patterns", p)
     words = F.filter(F.split(F.lower(F.element_at("queries", -1)), r"\s+"), lambda w: F.length(w) > 4)

@@ -136,12 +136,10 @@ def recent_chunks(chunks: DataFrame, n: int = 3) -> DataFrame:
 
 
 def _newest(chunks: DataFrame, keep: int) -> DataFrame:
-    # the row-number limit is applied map-side first, so a huge conversation never meets in one task
-    if keep > 1000:
-        # Spark pushes only limits up to 1000 down; beyond, each salted share keeps its own newest first
-        salted = chunks.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(1024)))
-        w = Window.partitionBy("conv_id", "_salt").orderBy(F.desc(F.coalesce("last_ref", F.lit(0))), F.desc("seq"))
-        chunks = salted.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn", "_salt")
+    # each salted share keeps its own newest first, so a huge conversation never meets in one task
+    salted = chunks.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(1024)))
+    share = Window.partitionBy("conv_id", "_salt").orderBy(F.desc(F.coalesce("last_ref", F.lit(0))), F.desc("seq"))
+    chunks = salted.withColumn("_rn", F.row_number().over(share)).where(F.col("_rn") <= keep).drop("_rn", "_salt")
     w = Window.partitionBy("conv_id").orderBy(F.desc(F.coalesce("last_ref", F.lit(0))), F.desc("seq"))
     return chunks.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")
 

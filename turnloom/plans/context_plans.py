@@ -390,8 +390,8 @@ def _causal_pairs(s, d):
     return tidy(_pairs(s, d).select("conv_id", "q_seq", "seq", "score", "relevant"))
 
 
-QUERIES["read_pairs"] = lambda s, d: tidy(_pairs(s, d).orderBy("conv_id", "q_seq", "seq").limit(50).select("conv_id", "q_seq", "seq", "relevant"))
-ORACLES["read_pairs"] = f"WITH {_PAIRS} SELECT conv_id, q_seq, seq, relevant FROM pairs ORDER BY conv_id, q_seq, seq LIMIT 50"
+QUERIES["read_pairs"] = lambda s, d: tidy(_pairs(s, d).select("conv_id", "q_seq", "seq", "relevant"))
+ORACLES["read_pairs"] = f"WITH {_PAIRS} SELECT conv_id, q_seq, seq, relevant FROM pairs"
 
 
 @reg("training_positives", f"WITH {_PAIRS} SELECT conv_id, q_seq, seq FROM pairs WHERE relevant")

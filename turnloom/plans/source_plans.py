@@ -109,11 +109,11 @@ def _read_vocab(s, d):
 
 
 # ------------------------------------------------------------------ archive and store files
-@reg("read_archive", f"WITH {CHUNKS} SELECT chunk_id AS id, max(user_turn) AS turn, 1.0::DOUBLE AS decay_multiplier, 0::BIGINT AS times_saved, max(user_turn) + 5 AS last_referenced_turn FROM chunks WHERE conv_id % 2 = 0 GROUP BY chunk_id")
+@reg("read_archive", f"WITH {CHUNKS} SELECT chunk_id AS id, max(user_turn) AS turn, 1.0::DOUBLE AS decay_multiplier, 0::BIGINT AS times_saved, max(user_turn) + 5 AS last_referenced_turn FROM chunks GROUP BY chunk_id")
 def _read_archive(s, d):
     """Every record twice, the later with a newer reference, and broken lines between."""
     path = scratch(s)
-    c = U.stored_chunks(messages(s, d), settings(s, d)).where(F.col("conv_id") % 2 == 0)
+    c = U.stored_chunks(messages(s, d), settings(s, d))
     rec = c.select("chunk_id", F.to_json(F.struct(F.col("chunk_id").alias("id"), "content", F.col("user_turn").alias("turn"), F.col("user_turn").alias("last_referenced_turn"))).alias("a"),
                    F.to_json(F.struct(F.col("chunk_id").alias("id"), "content", F.col("user_turn").alias("turn"), (F.col("user_turn") + 5).alias("last_referenced_turn"))).alias("b"))
     lines = rec.select("chunk_id", F.posexplode(F.array("a", F.lit("{broken"), "b")).alias("n", "value"))

@@ -256,27 +256,35 @@ QUERIES["date_functions"] = lambda s, d: tidy(
     table(s, d, "events").groupBy(F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("day"), F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")).alias("age_days")).agg(F.count("*").alias("n"))
 )
 ORACLES["date_functions"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, date_diff('day', ts::DATE, DATE '2024-02-01') AS age_days, count(*) AS n FROM events GROUP BY ALL"
-QUERIES["jaccard"] = lambda s, d: tidy(
-    table(s, d, "documents").select("doc_id", T.jaccard(T.words4(t), T.words4(F.substring("text", 1, 200))).alias("jaccard"))
-)
-ORACLES["jaccard"] = O(f"SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS jaccard FROM (SELECT doc_id, {s_words4('text')} AS a, {s_words4('substr(text, 1, 200)')} AS b FROM documents)", d="jaccard")
+# whole texts: the first half of a document against the second
+def _first():
+    return F.expr("substring(text, 1, length(text) div 2)")
+
+
+def _second():
+    return F.expr("substring(text, length(text) div 2 + 1, length(text))")
+
+
+_FIRST_SQL, _SECOND_SQL = "substr(text, 1, length(text) // 2)", "substr(text, length(text) // 2 + 1)"
+QUERIES["jaccard"] = lambda s, d: tidy(table(s, d, "documents").select("doc_id", T.jaccard(T.words4(_first()), T.words4(_second())).alias("jaccard")))
+ORACLES["jaccard"] = O(f"SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS jaccard FROM (SELECT doc_id, {s_words4(_FIRST_SQL)} AS a, {s_words4(_SECOND_SQL)} AS b FROM documents)", d="jaccard")
 QUERIES["set_presence"] = lambda s, d: tidy(
-    table(s, d, "documents").select("doc_id", T.diagnostic_terms(F.substring("text", 1, 120)).alias("facts"), T.diagnostic_terms(F.substring("text", 60, 2000)).alias("terms"))
+    table(s, d, "documents").select("doc_id", T.diagnostic_terms(_first()).alias("facts"), T.diagnostic_terms(_second()).alias("terms"))
     .select("doc_id", T.half_presence(F.col("facts"), F.col("terms")).alias("half"), T.full_presence(F.col("facts"), F.col("terms")).alias("full"),
-            T.fact_hit(F.col("facts"), F.col("terms"))["hit_ratio"].alias("hit_ratio"), F.size(T.fact_terms(F.substring("text", 1, 120), t)).alias("n_facts") if False else F.size("facts").alias("n_facts"))
+            T.fact_hit(F.col("facts"), F.col("terms"))["hit_ratio"].alias("hit_ratio"), F.size("facts").alias("n_facts"))
 )
 ORACLES["set_presence"] = O(f"SELECT doc_id, (len(facts) > 0 AND len(list_intersect(facts, terms)) >= greatest(1, floor(len(facts) * 0.5))) AS half, len({s_except('facts', 'terms')}) = 0 AS \"full\", "
                             f"CASE WHEN len(facts) > 0 THEN len(list_intersect(facts, terms))::DOUBLE / len(facts) ELSE 0.0 END AS hit_ratio, len(facts) AS n_facts "
-                            f"FROM (SELECT doc_id, {s_terms('substr(text, 1, 120)')} AS facts, {s_terms('substr(text, 60, 2000)')} AS terms FROM documents)", d="hit_ratio")
-_docs("fact_terms", lambda: [F.array_sort(T.fact_terms(F.substring("text", 1, 120), t)).alias("facts"), F.array_sort(T.fact_terms(F.substring("text", 1, 120), t, T.gate_terms)).alias("gate_facts")],
-      f"{s_set(s_except(s_terms('text'), s_terms('substr(text, 1, 120)')))} AS facts, {s_set(s_except(s_gate_terms('text'), s_gate_terms('substr(text, 1, 120)')))} AS gate_facts")
-QUERIES["fidelity"] = lambda s, d: tidy(table(s, d, "documents").select("doc_id", T.fidelity(F.substring("text", 1, 300), F.substring("text", 150, 2000)).alias("fidelity")))
-ORACLES["fidelity"] = O(f"SELECT doc_id, CASE WHEN len(r) > 0 THEN len(list_intersect(r, c))::DOUBLE / len(r) ELSE 0.0 END AS fidelity FROM (SELECT doc_id, {s_terms('substr(text, 1, 300)')} AS r, {s_terms('substr(text, 150, 2000)')} AS c FROM documents)", d="fidelity")
-QUERIES["turn_precision"] = lambda s, d: tidy(table(s, d, "documents").select("doc_id", T.turn_precision(F.substring("text", 1, 80), t).alias("precision")))
-_SENT = f"list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[' || chr(1) || chr(10) || ']+'), lambda s: {s_strip('s')} <> '')"
-ORACLES["turn_precision"] = O(f"SELECT doc_id, CASE WHEN len(q) > 0 AND len(ss) > 0 THEN len(list_filter(ss, lambda s: len(list_intersect({s_terms('s')}, q)) > 0))::DOUBLE / len(ss) END AS precision FROM (SELECT doc_id, {s_terms('substr(text, 1, 80)')} AS q, {_SENT} AS ss FROM documents)", d="precision")
+                            f"FROM (SELECT doc_id, {s_terms(_FIRST_SQL)} AS facts, {s_terms(_SECOND_SQL)} AS terms FROM documents)", d="hit_ratio")
+_docs("fact_terms", lambda: [F.array_sort(T.fact_terms(_first(), _second())).alias("facts"), F.array_sort(T.fact_terms(_first(), _second(), T.gate_terms)).alias("gate_facts")],
+      f"{s_set(s_except(s_terms(_SECOND_SQL), s_terms(_FIRST_SQL)))} AS facts, {s_set(s_except(s_gate_terms(_SECOND_SQL), s_gate_terms(_FIRST_SQL)))} AS gate_facts")
+QUERIES["fidelity"] = lambda s, d: tidy(table(s, d, "documents").select("doc_id", T.fidelity(_first(), _second()).alias("fidelity")))
+ORACLES["fidelity"] = O(f"SELECT doc_id, CASE WHEN len(r) > 0 THEN len(list_intersect(r, c))::DOUBLE / len(r) ELSE 0.0 END AS fidelity FROM (SELECT doc_id, {s_terms(_FIRST_SQL)} AS r, {s_terms(_SECOND_SQL)} AS c FROM documents)", d="fidelity")
+QUERIES["turn_precision"] = lambda s, d: tidy(table(s, d, "documents").select("doc_id", T.turn_precision(_first(), _second()).alias("precision")))
+_SENT = f"list_filter(string_split_regex(regexp_replace({_SECOND_SQL}, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[' || chr(1) || chr(10) || ']+'), lambda s: {s_strip('s')} <> '')"
+ORACLES["turn_precision"] = O(f"SELECT doc_id, CASE WHEN len(q) > 0 AND len(ss) > 0 THEN len(list_filter(ss, lambda s: len(list_intersect({s_terms('s')}, q)) > 0))::DOUBLE / len(ss) END AS precision FROM (SELECT doc_id, {s_terms(_FIRST_SQL)} AS q, {_SENT} AS ss FROM documents)", d="precision")
 QUERIES["pad_tokens"] = lambda s, d: tidy(L.word_ids(table(s, d, "documents"), "doc_id"))
-ORACLES["pad_tokens"] = f"SELECT doc_id, array_to_string(list_transform(range(128), lambda k: coalesce(ids[k + 1], 0)), ',') AS token_ids FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')[1:128], lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 29999 + 1) AS ids FROM documents WHERE {s_strip('text')} <> '')"
+ORACLES["pad_tokens"] = f"SELECT doc_id, part, array_to_string(list_transform(range(128), lambda k: coalesce(ids[part * 128 + k + 1], 0)), ',') AS token_ids FROM (SELECT doc_id, ids, unnest(range(greatest(1, (len(ids) + 127) // 128))) AS part FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 29999 + 1) AS ids FROM documents WHERE {s_strip('text')} <> ''))"
 
 
 def _s_draw(salt):
@@ -286,7 +294,7 @@ def _s_draw(salt):
 for _name, _tgt in (("mlm_mask", False), ("mlm_mask_targeted", True)):
     QUERIES[_name] = lambda s, d, _tgt=_tgt: tidy(L.mlm_mask(table(s, d, "documents"), "doc_id", targeted=_tgt).groupBy("doc_id", "action").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum")))
     _dom = f"(len(list_filter({sql_list(T.DEFAULT_VOCAB)}, lambda v: contains(v, word) OR contains(word, v))) > 0)" if _tgt else "true"
-    ORACLES[_name] = O(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')[1:128] AS ws FROM documents),
+    ORACLES[_name] = O(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents),
 u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM w)
 SELECT doc_id, CASE WHEN NOT ({_dom} AND {_s_draw('pick')} < 0.15) THEN 'none' WHEN {_s_draw('kind')} < 0.8 THEN 'mask' WHEN {_s_draw('kind')} < 0.9 THEN 'random' ELSE 'keep' END AS action,
 count(*) AS n, sum(pos) AS pos_sum FROM u GROUP BY ALL""", i="pos_sum")

@@ -407,7 +407,7 @@ SELECT conv_id, chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY tier,
 def _predictive_preload(s, d):
     from turnloom.operators.preload import predictive_preload
 
-    cfg = settings(s, d)
+    cfg = settings(s, d, max_chunks=1000)
     return tidy(predictive_preload(checkpointed(U.stored_chunks(messages(s, d), cfg)), cfg).select("conv_id", "chunk_id", "position"))
 
 
