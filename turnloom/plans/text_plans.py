@@ -276,8 +276,19 @@ QUERIES["set_presence"] = lambda s, d: tidy(
 ORACLES["set_presence"] = O(f"SELECT doc_id, (len(facts) > 0 AND len(list_intersect(facts, terms)) >= greatest(1, floor(len(facts) * 0.5))) AS half, len({s_except('facts', 'terms')}) = 0 AS \"full\", "
                             f"CASE WHEN len(facts) > 0 THEN len(list_intersect(facts, terms))::DOUBLE / len(facts) ELSE 0.0 END AS hit_ratio, len(facts) AS n_facts "
                             f"FROM (SELECT doc_id, {s_terms(_FIRST_SQL)} AS facts, {s_terms(_SECOND_SQL)} AS terms FROM documents)", d="hit_ratio")
-_docs("fact_terms", lambda: [F.array_sort(T.fact_terms(_first(), _second())).alias("facts"), F.array_sort(T.fact_terms(_first(), _second(), T.gate_terms)).alias("gate_facts")],
-      f"{s_set(s_except(s_terms(_SECOND_SQL), s_terms(_FIRST_SQL)))} AS facts, {s_set(s_except(s_gate_terms(_SECOND_SQL), s_gate_terms(_FIRST_SQL)))} AS gate_facts")
+QUERIES["fact_terms"] = lambda s, d: tidy(table(s, d, "documents").select(
+    "doc_id", F.array_sort(T.fact_terms(_first(), _second())).alias("facts"), F.array_sort(T.fact_terms(_first(), _second(), T.gate_terms)).alias("gate_facts")
+))
+
+
+def _s_beyond(terms):
+    """Terms of the second half that the first doesn't have, per document."""
+    return (f"(SELECT doc_id, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT doc_id, unnest({terms(_SECOND_SQL)}) AS x FROM documents) a "
+            f"ANTI JOIN (SELECT DISTINCT doc_id, unnest({terms(_FIRST_SQL)}) AS x FROM documents) b USING (doc_id, x) GROUP BY doc_id)")
+
+
+ORACLES["fact_terms"] = (f"SELECT doc_id, coalesce(f.xs, '') AS facts, coalesce(g.xs, '') AS gate_facts FROM documents "
+                         f"LEFT JOIN {_s_beyond(s_terms)} f USING (doc_id) LEFT JOIN {_s_beyond(s_gate_terms)} g USING (doc_id)")
 QUERIES["fidelity"] = lambda s, d: tidy(table(s, d, "documents").select("doc_id", T.fidelity(_first(), _second()).alias("fidelity")))
 ORACLES["fidelity"] = O(f"SELECT doc_id, CASE WHEN len(r) > 0 THEN len(list_intersect(r, c))::DOUBLE / len(r) ELSE 0.0 END AS fidelity FROM (SELECT doc_id, {s_terms(_FIRST_SQL)} AS r, {s_terms(_SECOND_SQL)} AS c FROM documents)", d="fidelity")
 QUERIES["turn_precision"] = lambda s, d: tidy(table(s, d, "documents").select("doc_id", T.turn_precision(_first(), _second()).alias("precision")))
