@@ -7,8 +7,13 @@ row per block carries the state of earlier blocks forward.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from turnloom.session import checkpointed
 
@@ -129,32 +134,75 @@ def framed(
 def ranged_running_sum(
     df: DataFrame, keys: list[str], order: list, values: dict[str, Column], parts: int | None = None
 ) -> DataFrame:
-    """Exact running sums in any total order, by a distributed sort.
+    """Exact running sums in any total order, by one distributed sort.
 
-    Rows are range-partitioned by (keys, order): a hot key spreads over many
-    ranges.  The sorted layout is checkpointed, so both the rows and the
-    per-range totals see the same ranges even when executors are lost.
+    Rows are range-partitioned by (keys, order), so a hot key spreads over many ranges, and summed within their range while they stream.  A key
+    that goes on from an earlier range can only be a range's first, so what earlier ranges add is one row a range: the rows stay where they are and
+    the carries come to them.  The summed layout is checkpointed: rows and carries see the same ranges even when executors are lost.
+    Values are whole numbers or doubles; null counts as zero.
     """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [_col(o) for o in order]
-    d = df
-    for name, c in values.items():
-        d = d.withColumn(f"_v_{name}", c)
-    d = d.repartitionByRange(n, *[F.col(k) for k in keys], *cols).withColumn("_pid", F.spark_partition_id())
-    d = checkpointed(d)
-    part = [*keys, "_pid"]
-    w = Window.partitionBy(*part).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
-    here = d
-    for name in values:
-        here = here.withColumn(f"_r_{name}", F.sum(f"_v_{name}").over(w))
-    totals = d.groupBy(*part).agg(*[F.sum(f"_v_{n_}").alias(f"_t_{n_}") for n_ in values])
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*part, *[F.coalesce(F.sum(f"_t_{n_}").over(before), F.lit(0)).alias(f"_o_{n_}") for n_ in values])
-    out = here.join(offs, part)
-    for name in values:
-        out = out.withColumn(name, F.col(f"_r_{name}") + F.col(f"_o_{name}"))
-    return out.drop("_pid", *[f"_{p}_{n_}" for n_ in values for p in ("v", "r", "o")])
+    names = df.columns
+    d = df.select("*", *[c.alias(f"_v_{name}") for name, c in values.items()])
+    whole = [isinstance(d.schema[f"_v_{name}"].dataType, (ty.IntegralType, ty.NullType)) for name in values]
+    d = d.select(*[F.col(f"`{c}`") for c in names], *[F.coalesce(F.col(f"_v_{v}"), F.lit(0)).cast("long" if w else "double").alias(f"_v_{v}") for v, w in zip(values, whole)])
+    ranged = d.repartitionByRange(n, *[F.col(k) for k in keys], *cols).sortWithinPartitions(*[F.col(k) for k in keys], *cols)
+
+    sums_of = list(values)
+
+    def local(batches):
+        mine, done, last, run = TaskContext.get().partitionId(), [0] * len(sums_of), None, 0
+        at = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = np.zeros(b.num_rows, bool)
+            for k in keys:
+                c = b.column(names.index(k))
+                # the row before, over batches
+                before = c.slice(0, 1) if last is None else last[k]
+                x = pa.concat_arrays([before, c.slice(0, b.num_rows - 1)])
+                same = pc.or_(pc.fill_null(pc.equal(x, c), False), pc.and_(pc.is_null(x), pc.is_null(c)))
+                starts |= ~same.to_numpy(zero_copy_only=False)
+            if last is None:
+                starts[0] = False
+            last = {k: b.column(names.index(k)).slice(b.num_rows - 1, 1) for k in keys}
+            runs = np.cumsum(starts)
+            heads = np.flatnonzero(starts)
+            sums = []
+            for i in range(len(sums_of)):
+                v = b.column(len(names) + i).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(v)
+                # what the batch held before a run's first row is taken off; the first run goes on from the batch before
+                off = np.concatenate([[-done[i]], upto[heads] - v[heads]])[runs]
+                sums.append(upto - off)
+                done[i] = sums[i][-1]
+            runs = runs + run
+            run, at = int(runs[-1]), at + b.num_rows
+            extra = [np.full(b.num_rows, mine, np.int32), runs.astype(np.int64), np.arange(at - b.num_rows, at)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *[pa.array(x) for x in [*sums, *extra]]], [*names, *[f"_r_{v}" for v in sums_of], "_pid", "_run", "_at"])
+
+    new = [ty.StructField(f"_r_{v}", ty.LongType() if w else ty.DoubleType()) for v, w in zip(values, whole)]
+    marks = [ty.StructField("_pid", ty.IntegerType()), ty.StructField("_run", ty.LongType()), ty.StructField("_at", ty.LongType())]
+    d = checkpointed(ranged.mapInArrow(local, ty.StructType([*d.schema.fields[: len(names)], *new, *marks])))
+    # one row a range: its first key, its last key with that key's sums, and whether there is more than one
+    key = F.struct(*[F.col(k) for k in keys])
+    ends = d.groupBy("_pid").agg(
+        F.min_by(key, "_at").alias("head"), F.max_by(key, "_at").alias("tail"), F.max("_run").alias("runs"),
+        *[F.max_by(f"_r_{v}", "_at").alias(f"sum_{v}") for v in values],
+    )
+    w = Window.orderBy("_pid")  # as many rows as there are ranges
+    on = F.col("head").eqNullSafe(F.lag("tail").over(w)) & F.lag("_pid").over(w).isNotNull()
+    c = ends.withColumn("on", on).withColumn("through", F.col("on") & (F.lag("runs").over(w) == 0))
+    c = c.select("_pid", F.sum(F.when(F.col("through"), 0).otherwise(1)).over(w).alias("chain"), *[
+        F.when(F.col("on"), F.lag(f"sum_{v}").over(w)).otherwise(0).alias(f"add_{v}") for v in values])
+    chain = Window.partitionBy("chain").orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
+    carry = c.select("_pid", *[F.sum(f"add_{v}").over(chain).alias(f"_o_{v}") for v in values])
+    out = d.join(F.broadcast(carry), "_pid")
+    total = lambda v: F.col(f"_r_{v}") + F.when(F.col("_run") == 0, F.col(f"_o_{v}")).otherwise(0)
+    return out.select(*[F.col(f"`{x}`") for x in names if x not in values], *[total(v).alias(v) for v in values])
 
 
 def dense_ordinal(df: DataFrame, keys: list[str], order: list, name: str = "ordinal") -> DataFrame:

@@ -13,14 +13,15 @@ from turnloom.operators import experiments as E
 from turnloom.operators import labels as L
 from turnloom.operators import metrics as M
 from turnloom.operators import select as S
+from turnloom.operators import turns as U
 from turnloom.operators.replay import prepare_replay, replay_turns
 from turnloom.operators.turns import stored_chunks
 from turnloom.plans.base import (
-    ANSWERS, BUDGET, DRIFT, DUP, ENC, MSGS, O, STALE, STORE, arms_sql, assemble_sql, cand_sql, chunk_table, messages, near_sql, s_dot, s_hedge, s_sanitize,
-    s_terms, s_words4, scratch, settings, tidy,
+    ANSWERS, BUDGET, DRIFT, DUP, ENC, MSGS, O, STALE, STORE, WINDOW, arms_sql, assemble_sql, cand_sql, chunk_table, messages, near_sql, s_dot, s_hedge, s_sanitize,
+    s_terms, s_tokens, s_words4, scratch, settings, tidy,
 )
 from turnloom.session import checkpointed
-from turnloom.sources import readers
+from turnloom.sources import readers, sinks
 
 QUERIES, ORACLES = {}, {}
 
@@ -203,6 +204,52 @@ def _format_context(s, d):
     return tidy(x.select("conv_id", "q_seq", F.md5("content").alias("content_md5"), "used_tokens"))
 
 
+_SERIES = f"""{ENC}, {assemble_sql()},
+se AS (SELECT conv_id, turn, user_turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM msgs
+  WHERE user_turn >= 1 AND role IN ('user', 'assistant') AND (role = 'user' OR text <> '')),
+sraw AS (SELECT conv_id, pos, user_turn, role, greatest(1, (sum(length(text)) OVER w + (count(*) OVER w - 1) * 2) // 4) AS raw FROM se WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+sh AS (SELECT x.conv_id, x.pos, list({{'t': m.pos::BIGINT, 'c': ({s_tokens('m.text')})::BIGINT, 'n': length(m.text)::BIGINT}} ORDER BY m.pos DESC) AS items FROM se x JOIN se m ON m.conv_id = x.conv_id AND m.pos <= x.pos WHERE x.role = 'user' GROUP BY ALL),
+sf AS (SELECT conv_id, pos, list_reduce(items, lambda a, x: CASE WHEN a.k = 0 OR a.u + x.c <= {WINDOW} THEN {{'u': a.u + x.c, 'k': a.k + 1, 'n': a.n + x.n}} ELSE a END, {{'u': 0::BIGINT, 'k': 0::BIGINT, 'n': 0::BIGINT}}) AS r FROM sh),
+series AS (SELECT w.conv_id, w.user_turn AS turn, coalesce(c.used_tokens, 0)::BIGINT AS curated, greatest(1, (sf.r.n + (sf.r.k - 1) * 2) // 4)::BIGINT AS fifo, w.raw::BIGINT AS raw
+  FROM sraw w JOIN sf USING (conv_id, pos) LEFT JOIN ctx c ON c.conv_id = w.conv_id AND c.q_turn = w.user_turn WHERE w.role = 'user')"""
+
+
+def _series(s, d):
+    """Tokens per turn of the assembled context, the FIFO window and the whole history."""
+    enc, cfg = _enc(s, d, fixed_budget=BUDGET)
+    ctx = A.assemble(enc, cfg, encoded=True).select("conv_id", F.col("q_turn").alias("user_turn"), "used_tokens")
+    return E.context_series(messages(s, d), ctx, WINDOW, cfg)
+
+
+@reg("context_series", f"WITH {_SERIES} SELECT * FROM series")
+def _context_series(s, d):
+    return tidy(_series(s, d))
+
+
+@reg("token_growth", f"""WITH {_SERIES} SELECT CASE WHEN turn <= 1 THEN '1' WHEN turn <= 5 THEN '2-5' WHEN turn <= 10 THEN '6-10' WHEN turn <= 20 THEN '11-20' WHEN turn <= 40 THEN '21-40' ELSE '41+' END AS turns, count(*) AS n, round(median(curated), 1) AS curated_median, round(median(fifo), 1) AS fifo_median,
+round(median(raw), 1) AS raw_median FROM series GROUP BY 1""")
+def _token_growth(s, d):
+    return tidy(E.token_growth(checkpointed(_series(s, d))))
+
+
+_H = [p.replace("'", "''") for p in V.JUDGE_PROMPT.split("%s")]
+_PROMPT = f"'{_H[0]}' || coalesce(t.content, '') || '{_H[1]}' || ex.query || '{_H[2]}' || ex.reply || '{_H[3]}'"
+
+
+@reg("judge_prompts", f"""WITH {_BOTH}, {assemble_sql()}, p AS (SELECT conv_id, q_turn, unnest(selected) AS seq, generate_subscripts(selected, 1) AS pos FROM ctx),
+t AS (SELECT p.conv_id, p.q_turn, string_agg(e.content, chr(10) || chr(10) ORDER BY p.pos) AS content FROM p JOIN enc e USING (conv_id, seq) GROUP BY ALL)
+SELECT ex.conv_id, ex.turn, md5({_PROMPT}) AS prompt_md5, length({_PROMPT}) AS n_chars FROM ex LEFT JOIN t ON t.conv_id = ex.conv_id AND t.q_turn = ex.user_turn WHERE reply IS NOT NULL""")
+def _judge_prompts(s, d):
+    """The judge sees the context that the turn's assembly handed out."""
+    enc, cfg = _enc(s, d, fixed_budget=BUDGET)
+    m = messages(s, d)
+    x = A.with_content(A.assemble(enc, cfg, encoded=True), enc).select("conv_id", F.col("q_turn").alias("user_turn"), F.col("content").alias("context"))
+    at = U.with_user_turn(m.select("conv_id", "turn", "role"), cfg).select("conv_id", "turn", "user_turn")
+    ex = U.exchanges(m, cfg).where(F.col("reply").isNotNull()).join(at, ["conv_id", "turn"]).join(x, ["conv_id", "user_turn"], "left")
+    p = L.judge_prompts(ex.withColumn("context", F.coalesce("context", F.lit(""))))
+    return tidy(p.select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("n_chars")))
+
+
 @reg("inspect_turn", f"""WITH {ENC}, {assemble_sql()}, cr AS (SELECT c.conv_id, c.q_turn, w.seq, w.raw, list_contains(c.selected, w.seq) AS is_selected FROM ctx c JOIN raws w USING (conv_id, q_seq)),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, q_turn, is_selected ORDER BY raw DESC, seq) AS position FROM cr)
 SELECT n.conv_id, n.q_turn, e.chunk_id, round(n.raw, 3) AS raw_score, n.is_selected, n.position,
@@ -390,8 +437,25 @@ def _causal_pairs(s, d):
     return tidy(_pairs(s, d).select("conv_id", "q_seq", "seq", "score", "relevant"))
 
 
-QUERIES["read_pairs"] = lambda s, d: tidy(_pairs(s, d).select("conv_id", "q_seq", "seq", "relevant"))
-ORACLES["read_pairs"] = f"WITH {_PAIRS} SELECT conv_id, q_seq, seq, relevant FROM pairs"
+_PAIR_TEXTS = f"""{_PAIRS}, ptext AS (SELECT p.conv_id, p.q_seq, p.seq, q.content AS query, c.content AS chunk, p.relevant
+  FROM pairs p JOIN enc q ON q.conv_id = p.conv_id AND q.seq = p.q_seq JOIN enc c ON c.conv_id = p.conv_id AND c.seq = p.seq)"""
+
+
+def _pair_texts(s, d):
+    """Labelled pairs with both texts; the texts come in after the pairs are known."""
+    enc, cfg = _enc(s, d)
+    t = enc.select("conv_id", "seq", "content")
+    p = L.causal_pairs(messages(s, d), enc, cfg).select("conv_id", "q_seq", "seq", "relevant")
+    p = p.join(t.withColumnRenamed("content", "chunk"), ["conv_id", "seq"])
+    return p.join(t.select("conv_id", F.col("seq").alias("q_seq"), F.col("content").alias("query")), ["conv_id", "q_seq"])
+
+
+@reg("read_pairs", f"WITH {_PAIR_TEXTS} SELECT md5(query) AS query_md5, md5(chunk) AS chunk_md5, relevant FROM ptext")
+def _read_pairs(s, d):
+    """Pair files written from the conversations, read back whole."""
+    path = scratch(s)
+    sinks.write_json_arrays(_pair_texts(s, d).select("conv_id", "q_seq", "query", "chunk", "relevant"), path, ["conv_id"], "q_seq", 512)
+    return tidy(readers.read_pairs(s, path).select(F.md5("query").alias("query_md5"), F.md5("chunk").alias("chunk_md5"), "relevant"))
 
 
 @reg("training_positives", f"WITH {_PAIRS} SELECT conv_id, q_seq, seq FROM pairs WHERE relevant")
@@ -480,14 +544,15 @@ uu AS (SELECT conv_id, q_seq, seq, k, generate_subscripts(us, 1) - 1 AS unit_no,
 SELECT conv_id, q_seq, seq, unit_no, md5(unit) AS unit_md5, coalesce(len(list_intersect({s_terms('unit')}, gf.facts)) > 0, false) AS relevant FROM uu LEFT JOIN gf USING (k)"""
 
 
-@reg("item_sample", f"""WITH {_PAIRS}, l AS (SELECT conv_id, q_seq, seq, relevant, 'live' AS source, 0 AS src FROM pairs WHERE relevant ORDER BY conv_id, q_seq, seq LIMIT 24),
-fx AS (SELECT conv_id, q_seq, seq, relevant, 'fixture' AS source, 1 AS src FROM pairs WHERE NOT relevant ORDER BY conv_id, q_seq, seq LIMIT 40),
+@reg("item_sample", f"""WITH {_PAIR_TEXTS}, l AS (SELECT *, 'live' AS source, 0 AS src FROM ptext WHERE relevant ORDER BY conv_id, q_seq, seq LIMIT 24),
+fx AS (SELECT *, 'fixture' AS source, 1 AS src FROM ptext WHERE NOT relevant ORDER BY conv_id, q_seq, seq LIMIT 40),
 i AS (SELECT * FROM (SELECT * FROM l UNION ALL SELECT * FROM fx) ORDER BY src, conv_id, q_seq, seq LIMIT 40)
-SELECT conv_id, q_seq, seq, relevant, source, printf('item_%04d', row_number() OVER (ORDER BY md5('3:' || source || ':' || conv_id || ':' || q_seq || ':' || seq)) - 1) AS item_id FROM i""")
+SELECT conv_id, q_seq, seq, md5(query) AS query_md5, md5(chunk) AS chunk_md5, relevant, source,
+printf('item_%04d', row_number() OVER (ORDER BY md5('3:' || source || ':' || conv_id || ':' || q_seq || ':' || seq)) - 1) AS item_id FROM i""")
 def _item_sample(s, d):
-    p = checkpointed(_pairs(s, d).withColumn("query", F.lit("")).withColumn("chunk", F.lit("")))
+    p = checkpointed(_pair_texts(s, d))
     x = L.item_sample(p.where("relevant"), p.where(~F.col("relevant")), 40, 3, ["conv_id", "q_seq", "seq"])
-    return tidy(x.select("conv_id", "q_seq", "seq", "relevant", "source", "item_id"))
+    return tidy(x.select("conv_id", "q_seq", "seq", F.md5("query").alias("query_md5"), F.md5("chunk").alias("chunk_md5"), "relevant", "source", "item_id"))
 
 
 # ------------------------------------------------------------------ evaluation jobs

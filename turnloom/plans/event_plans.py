@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from turnloom.functions import fixed as V
@@ -13,7 +15,7 @@ from turnloom.operators import sessions as Z
 from turnloom.operators import turns as U
 from turnloom.plans.base import O, messages, s_route_for, scratch, settings, table, tidy
 from turnloom.session import checkpointed
-from turnloom.sources import readers, sinks
+from turnloom.sources import readers, retention, sinks
 from turnloom.streaming import events as stream_events
 
 QUERIES, ORACLES = {}, {}
@@ -86,22 +88,35 @@ def _read_by_date(s, d):
     return tidy(readers.read_events_by_date(s, path, "2024-01-10").groupBy("component").agg(F.count("*").alias("n")))
 
 
-@reg("rotate_events", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def _rotated(s, d, path):
+    """A log of all events, of which the days before the 16th were settled."""
+    sinks.write_events(_log(s, d).drop("event_id"), path)
+    return retention.rotate_events(s, path, path + "_archive", dt.date(2024, 1, 16), max_records=2000)
+
+
+@reg("rotate_events", """SELECT strftime(ts, '%Y-%m-%d') AS day, ts::DATE < DATE '2024-01-16' AS archived, count(*) AS n, 0::BIGINT AS files_again FROM events GROUP BY ALL""")
 def _rotate(s, d):
-    """Half of the days live, half in the gzip archive; read together."""
+    """Settled days live in the gzip archive alone, the rest in the log alone; a second run finds nothing to do."""
     path = scratch(s)
-    shaped = X.shape_events(_log(s, d).drop("event_id"))
-    old = F.col("date") < F.lit("2024-01-16").cast("date")
-    shaped.where(~old).write.partitionBy("date").json(path)
-    sinks.rotate_events(shaped.where(old), path + "_archive", 2000)
-    return tidy(readers.read_events(s, path, include_archive=True).groupBy(F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")))
+    _rotated(s, d, path)
+    again = retention.rotate_events(s, path, path + "_archive", dt.date(2024, 1, 16))
+    gz = F.col("_metadata.file_path").endswith(".gz")
+    live = readers.read_events(s, path).select("date", gz.alias("archived"))
+    old = readers.read_events(s, path + "_archive").select("date", gz.alias("archived"))
+    return tidy(live.unionByName(old).groupBy(F.date_format("date", "yyyy-MM-dd").alias("day"), "archived").agg(
+        F.count("*").alias("n")).withColumn("files_again", F.lit(again.files + again.left_over)))
 
 
-@reg("prune_events", "SELECT count(*) FILTER (date_diff('day', ts::DATE, DATE '2024-01-31') <= 10) AS kept, count(*) FILTER (date_diff('day', ts::DATE, DATE '2024-01-31') > 10) AS removed FROM events")
+@reg("prune_events", """SELECT count(*) FILTER (date_diff('day', ts::DATE, DATE '2024-01-16') <= 10) AS kept, count(DISTINCT ts::DATE) FILTER (date_diff('day', ts::DATE, DATE '2024-01-16') <= 10) AS days,
+0::BIGINT AS removed_again FROM events""")
 def _prune(s, d):
-    e = table(s, d, "events").select(F.to_date("ts").alias("date"))
-    kept, gone = sinks.prune_events(e, F.lit("2024-01-31").cast("date"), 10)
-    return tidy(M.one_row_join(kept.agg(F.count("*").alias("kept")), gone))
+    """The rotated log's archive loses its days over ten days old; the log and later days stay."""
+    path = scratch(s)
+    _rotated(s, d, path)
+    retention.prune_events(s, path + "_archive", dt.date(2024, 1, 16), 10)
+    again = retention.prune_events(s, path + "_archive", dt.date(2024, 1, 16), 10)
+    e = readers.read_events(s, path, include_archive=True)
+    return tidy(e.agg(F.count("*").alias("kept"), F.count_distinct("date").alias("days")).withColumn("removed_again", F.lit(again)))
 
 
 @reg("event_stream", """SELECT 'c' || (user_id % 4) AS component, count(*) AS n, sum(value) AS latency_sum FROM events WHERE event_type <> 'signup' GROUP BY 1""", d="latency_sum")

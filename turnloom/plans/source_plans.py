@@ -96,16 +96,33 @@ def _write_labels(s, d):
     return tidy(s.createDataFrame(sorted(counts.items()), "name string, n long"))
 
 
-@reg("read_labels", f"SELECT conv_id, turn, {s_route_for(s_route_score('text'))} AS optimal_route FROM conversations WHERE role = 'user'")
+_ROUTE_LABEL = f"SELECT conv_id, turn, {s_route_for(s_route_score('text'))} AS optimal_route FROM conversations WHERE role = 'user'"
+
+
+@reg("read_labels", f"SELECT *, 'file' AS origin FROM ({_ROUTE_LABEL}) UNION ALL SELECT *, 'derived' FROM ({_ROUTE_LABEL})")
 def _read_labels(s, d):
-    """No label file is there, so the labeller derives them."""
-    got = readers.read_labels(s, scratch(s), "conv_id long, turn long, optimal_route string", lambda: L.label_routes(messages(s, d), settings(s, d)))
-    return tidy(got.select("conv_id", "turn", "optimal_route"))
+    """Label files written from the messages; where there is no file, the labeller derives the labels."""
+    path, schema = scratch(s), "conv_id long, turn long, optimal_route string"
+    derive = lambda: L.label_routes(messages(s, d), settings(s, d)).select("conv_id", "turn", "optimal_route")
+    sinks.write_json_arrays(derive(), path, ["conv_id"], "turn", 4096)
+    a = readers.read_labels(s, path, schema, derive).withColumn("origin", F.lit("file"))
+    return tidy(a.unionByName(readers.read_labels(s, scratch(s), schema, derive).withColumn("origin", F.lit("derived"))))
+
+
+_VOCAB_WORDS = 20
 
 
-@reg("read_vocab", "SELECT doc_id, (" + " OR ".join(f"contains(lower(text), {lit(t)})" for t in T.vocabulary_terms("general")) + ") AS hit FROM documents")
+@reg("read_vocab", f"""WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{7,}}')) AS w FROM conversations) GROUP BY w),
+v AS (SELECT list(w) AS terms FROM (SELECT w FROM w ORDER BY n DESC, w LIMIT {_VOCAB_WORDS}))
+SELECT doc_id, len(list_filter(terms, lambda t: contains(lower(text), t))) > 0 AS hit FROM documents, v""")
 def _read_vocab(s, d):
-    return tidy(table(s, d, "documents").select("doc_id", T.vocab_matches(F.col("text"), readers.read_vocab("general")).alias("hit")))
+    """A vocabulary file of the conversations' most frequent long words, met by all documents."""
+    path = scratch(s)
+    w = messages(s, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    top = w.orderBy(F.desc("n"), "w").limit(_VOCAB_WORDS).agg(F.to_json(F.struct(F.collect_list("w").alias("terms"))).alias("value"))
+    top.coalesce(1).write.text(f"{path}/frequent.json")
+    vocab = readers.read_vocab("frequent", folder=path, spark=s)
+    return tidy(table(s, d, "documents").select("doc_id", T.vocab_matches(F.col("text"), vocab).alias("hit")))
 
 
 # ------------------------------------------------------------------ archive and store files
@@ -174,11 +191,18 @@ def _write_baseline_report(s, d):
     return tidy(readers.read_baseline_tps(s, f"{path}/aggregate"))
 
 
-@reg("read_baseline_tps", "SELECT 30.0::DOUBLE AS baseline_tps, count(*) AS n FROM conversations")
+@reg("read_baseline_tps", f"""WITH {ANSWERS}, c AS (SELECT conv_id, avg(length(coalesce(reply, '')) / 4.0) AS tps FROM ex GROUP BY conv_id)
+SELECT round(avg(tps), 4) AS measured, 30.0::DOUBLE AS fallback, count(*) AS conversations FROM c""", d="measured")
 def _read_baseline_tps(s, d):
-    """No measured baseline: the default rate."""
-    tps = readers.read_baseline_tps(s, scratch(s))
-    return tidy(M.one_row_join(tps, messages(s, d).agg(F.count("*").alias("n"))))
+    """The rate of a written baseline report, and the default where no report is."""
+    path = scratch(s)
+    ex = U.exchanges(messages(s, d), settings(s, d))
+    per = ex.groupBy("conv_id").agg(F.avg(F.length(F.coalesce("reply", F.lit(""))) / 4.0).alias("tps"))
+    sinks.write_baseline_report(per, per.agg(F.struct(F.round(F.avg("tps"), 4).alias("avg_tokens_per_sec")).alias("aggregate")), path, "rolling")
+    measured = readers.read_baseline_tps(s, f"{path}/aggregate").select(F.col("baseline_tps").alias("measured"))
+    fallback = readers.read_baseline_tps(s, scratch(s)).select(F.col("baseline_tps").alias("fallback"))
+    n = s.read.json(f"{path}/conversations").agg(F.count("*").alias("conversations"))
+    return tidy(M.one_row_join(M.one_row_join(measured, fallback), n))
 
 
 @reg("populate_ground_truth", f"""WITH u AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations WHERE role = 'user')

@@ -51,7 +51,8 @@ def read_events(spark: SparkSession, log_dir: str, include_archive: bool = False
     """NDJSON event logs, with the gzip archives on request."""
     d = spark.read.schema(EVENT_SCHEMA + ", date date").json(log_dir)
     if include_archive:
-        d = d.unionByName(spark.read.schema(EVENT_SCHEMA + ", date date").option("pathGlobFilter", "*.gz").json(log_dir.rstrip("/") + "_archive"))
+        old = spark.read.schema(EVENT_SCHEMA + ", date date").option("pathGlobFilter", "*.gz").json(log_dir.rstrip("/") + "_archive")
+        d = d.unionByName(old.select(*d.columns))
     return d
 
 
@@ -117,14 +118,22 @@ def read_pairs(spark: SparkSession, path: str, n: int | None = None, order: list
     return d if n is None else d.orderBy(*(order or ["query", "chunk"])).limit(n)
 
 
-def read_vocab(*names: str, folder: str | None = None) -> list[str]:
-    """Merged, lower-cased, distinct terms; a missing vocabulary is an error.  Small by nature, so a driver list."""
+def read_vocab(*names: str, folder: str | None = None, spark: SparkSession | None = None) -> list[str]:
+    """Merged, lower-cased, distinct terms; a missing vocabulary is an error.  Small by nature, so a driver list.
+
+    With ``folder`` (which may be on any storage Spark reads) a vocabulary is the file ``<name>.json`` there: one object of names and terms.
+    """
     if folder is None:
         return vocabulary_terms(*names, tables=V.VOCABULARIES)
     tables = {}
     for name in names:
-        with open(f"{folder}/{name}.json", encoding="utf-8") as f:
-            tables[name] = json.load(f)
+        try:
+            whole = spark.read.text(f"{folder}/{name}.json", wholetext=True).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise FileNotFoundError(f"vocabulary not found: {name}") from e
+        tables[name] = json.loads("".join(r.value for r in whole))
     return vocabulary_terms(*names, tables=tables)
 
 

@@ -22,17 +22,6 @@ def write_events(df: DataFrame, log_dir: str, max_records: int = 0) -> None:
     w.json(log_dir)
 
 
-def rotate_events(df: DataFrame, archive_dir: str, max_records: int = 1_000_000) -> None:
-    """Write settled days to the gzip archive, files capped in rows."""
-    df.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", max_records).partitionBy("date").json(archive_dir)
-
-
-def prune_events(df: DataFrame, today: Column, keep_days: int) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, dropped count) for archives older than ``keep_days``."""
-    old = F.datediff(today, F.col("date")) > keep_days
-    return df.where(~old), df.agg(F.count_if(old).alias("removed"))
-
-
 def write_baseline_report(per_conv: DataFrame, aggregate: DataFrame, path: str, mode: str, max_context: int = 32768) -> None:
     """Per-conversation rows beside a one-row aggregate document."""
     per_conv.write.mode("overwrite").json(f"{path}/conversations")
@@ -76,6 +65,13 @@ def list_checkpoints(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).select("tag").distinct().orderBy("tag")
 
 
+def write_json_arrays(df: DataFrame, path: str, keys: list[str], order: str, rows: int = 1024) -> None:
+    """One JSON array a file, of at most ``rows`` values of ``order`` of a key, as label and pair files have them."""
+    cells = F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c != order])))
+    g = df.groupBy(*keys, F.floor(F.col(order) / rows).alias("_part")).agg(F.to_json(cells).alias("value"))
+    g.select("value").write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+
+
 def write_archive(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
