@@ -292,6 +292,21 @@ def test_decoding_and_blocks(docs, lattices, monkeypatch):
         assert {lattices.vocabulary.decode(x[0]) for x in got} == {t}
 
 
+def test_lattices_made_together_equal_those_made_alone(lattices, monkeypatch):
+    monkeypatch.setattr(segmentation, "TOGETHER_CHARS", 300)
+    v = lattices.vocabulary
+    texts = ["then", None, "", prose(5, 40), "x" * 400, "a🦄  b\nc", *[prose(i, 9) for i in range(20)], "日本"]
+    for t, lat in zip(texts, segmentation.text_lattices(texts, v), strict=True):
+        assert (lat is None) == (not t)
+        if lat is not None:
+            one = segmentation.TextLattice(t, v).block(0)
+            assert all(np.array_equal(getattr(one, c), getattr(lat.block(0), c)) for c in one.__dataclass_fields__)
+            assert np.allclose(np.add.reduceat(one.p, one.first), 1)
+            got, _ = segmentation.search(lat, 3, np.random.default_rng(1))
+            assert {v.decode_utf8(ids).decode() for ids, _, _ in got} == {t}
+            assert all(v.decode(ids.tolist()) == t for ids, _, _ in got)
+
+
 def test_rows_are_seeded_by_key(docs, none):
     short = docs.where("length(text) < 3000")
     a = segmentation.segmentations(short, ["doc_id", "text"]).withColumn("back", segmentation.decoded(F.col("ids")))

@@ -1,17 +1,20 @@
 """Sampled subword segmentations without replacement, and decoding.
 
 A text's lattice has its characters as nodes and vocabulary pieces as edges; a segmentation's weight is the product of its pieces' weights.
-Log sums from each node to the end give every edge its exact conditional probability, so a partial path's mass is known.  The
-search is best-first over perturbed masses: the root has a Gumbel variable, the children of a node get Gumbel variables whose maximum is the
-node's, and the partial path with the largest one is extended.  Complete paths come out in falling order of their perturbed log-probabilities: an
-exact sample without replacement.  As the best child inherits its parent's value, a popped path runs to its end at once; its siblings
-on the way, of which only the largest k + 1 can ever be popped, are the new frontier.
+Log sums from each node
+to the end give every edge its exact conditional probability, so a partial path's mass is known.  The search is best-first over perturbed masses: the
+root has a Gumbel variable; where a node's paths are parted, the part that has the node's maximum keeps it, and the others get Gumbel variables
+bounded by it.  Complete paths come out in falling order of their perturbed log-probabilities: an exact sample without replacement.
+
+A popped set of paths runs to its end at once: at each node on the way one edge, drawn by its probability, keeps the maximum, and the paths by all other
+edges stay together as one set with one variable, which is parted further only if it is popped itself.  Of the sets on the way only the largest k + 1 can
+ever be popped; they are the new frontier.  So a sample takes one random number per character and one per node on its path.
 
 The inclusion score of a sample with log-probability p is 1 - exp(-exp(p - t)), t being the (k+1)-th perturbed value, or 1 if there is none.
 The random numbers of a row depend on its key and the seed alone.
 
-Words are independent parts of the lattice (no piece has a word mark inside), so their lattices are built once per distinct word, and a long text is
-searched in blocks of words of bounded size.
+Words are independent parts of the lattice (no piece has a word mark inside).  A long text is searched in blocks of words of bounded size; the lattice of
+a block is made at once, by walking the pieces' trie from all its characters in step and summing from the words' ends in step.
 
 Defined cases: null or empty text gives no rows; a text with fewer than k segmentations gives all; characters outside of the vocabulary are their
 UTF-8 bytes; rows that repeat a key and a text give the same samples each; other columns are not read.
@@ -20,6 +23,7 @@ UTF-8 bytes; rows that repeat a key and a text give the same samples each; other
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -31,8 +35,9 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import table, worker_cache
 from turnloom.llm.transducer import MARK, default_model, words_of
 
-MAX_WORDS = 150_000
 BLOCK_CHARS = 100_000
+#: short texts whose lattices are made together hold this many characters
+TOGETHER_CHARS = 20_000
 
 
 @dataclass(frozen=True)
@@ -44,15 +49,61 @@ class SamplingSettings:
     model: str | None = None
 
 
+@dataclass
+class Block:
+    """Edges by start: nodes, id, conditional log-probability and probability, log mass of the node's other edges, node + probability up to here;
+    and each node's first edge and number of edges."""
+
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    q: np.ndarray
+    p: np.ndarray
+    rest: np.ndarray
+    upto: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+    def choose(self, at: int, rng: np.random.Generator) -> np.ndarray:
+        """One edge of every node from ``at`` on, by its probability."""
+        nodes = np.arange(at, len(self.first))
+        e = np.searchsorted(self.upto, nodes + rng.random(len(nodes)), side="right")
+        return np.clip(e, self.first[at:], self.first[at:] + self.count[at:] - 1)
+
+
 class Vocabulary:
     """Pieces with weights.  A weight falls with the piece's rank as in Zipf's law: log w = -log(1 - score)."""
 
     def __init__(self, ids: dict[str, int], scores: dict[str, float], bytes_at: int, alpha: float = 1.0):
         self.ids, self.bytes_at, self.alpha = ids, bytes_at, alpha
         self.weights = {p: -alpha * math.log(1 - min(s, 0.0)) for p, s in scores.items()}
-        self.longest = max(map(len, ids), default=1)
         self.byte_weight = min(self.weights.values(), default=0.0)
         self.text = {i: p for p, i in ids.items()}
+        top = max([bytes_at + 255, *ids.values()]) + 1
+        self.weight_of = np.zeros(top)
+        #: UTF-8 of every id, marks as spaces
+        self.utf8 = [b""] * top
+        for p, i in ids.items():
+            self.weight_of[i], self.utf8[i] = self.weights[p], p.replace(MARK, " ").encode("utf-8")
+        for i in range(256):
+            self.utf8[bytes_at + i] = bytes([i])
+        # a trie of the pieces: the first step by a table of code points, later ones by sorted (state, code point)
+        steps: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for p, i in ids.items():
+            at = 0
+            for ch in p:
+                at = steps.setdefault((at, ord(ch)), len(steps) + 1)
+            ends[at] = i
+        self.piece_at = np.full(len(steps) + 1, -1, np.int64)
+        self.piece_at[list(ends)] = list(ends.values())
+        self.root = np.zeros(0x110000, np.int32)
+        inner = sorted((f * 0x200000 + c, t) for (f, c), t in steps.items() if f)
+        for (f, c), t in steps.items():
+            if not f:
+                self.root[c] = t
+        self.step_keys = np.array([k for k, _ in inner] + [1 << 62], np.int64)
+        self.step_to = np.array([t for _, t in inner] + [0], np.int64)
 
     @classmethod
     def load(cls, path: str, alpha: float) -> Vocabulary:
@@ -62,44 +113,125 @@ class Vocabulary:
         own = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         return cls({sp.id_to_piece(i): i for i in own}, {sp.id_to_piece(i): sp.get_score(i) for i in own}, sp.piece_to_id("<0x00>"), alpha)
 
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """(start, end, id, log weight) of all edges of words laid side by side, and each node's end of word.  By start, then end."""
+        text = "".join(words)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = len(chars)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        stop = np.repeat(np.cumsum(size), size)
+        at, state, length = np.arange(n), self.root[chars].astype(np.int64), 1
+        starts, ends, ids = [], [], []
+        known = np.zeros(n, bool)
+        while True:
+            live = state > 0
+            at, state = at[live], state[live]
+            if not len(at):
+                break
+            hit = self.piece_at[state] >= 0
+            if length == 1:
+                known[at[hit]] = True
+            starts.append(at[hit])
+            ends.append(at[hit] + length)
+            ids.append(self.piece_at[state[hit]])
+            more = at + length < stop[at]
+            at, state = at[more], state[more]
+            key = state * 0x200000 + chars[at + length]
+            i = np.searchsorted(self.step_keys, key)
+            state = np.where(self.step_keys[i] == key, self.step_to[i], 0)
+            length += 1
+        # an unknown character's id is -1 - its code point
+        odd = np.flatnonzero(~known)
+        c = chars[odd]
+        starts.append(odd)
+        ends.append(odd + 1)
+        ids.append(-1 - c)
+        starts, ends, ids = [starts.pop(), *starts], [ends.pop(), *ends], [ids.pop(), *ids]
+        weights = [self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)), *[self.weight_of[i] for i in ids[1:]]]
+        # each length has a start once, so edges find their places by counting
+        count = np.zeros(n, np.int64)
+        for x in starts:
+            count[x] += 1
+        free = np.cumsum(count) - count
+        total = int(count.sum())
+        a, b, piece, weight = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total)
+        for x, y, i, w in zip(starts, ends, ids, weights):
+            place = free[x]
+            a[place], b[place], piece[place], weight[place] = x, y, i, w
+            free[x] += 1
+        return a, b, piece, weight, stop
+
+    def block(self, words: list[str]) -> Block:
+        """The lattice of words laid side by side, with conditional probabilities."""
+        return self.blocks([words])[0]
+
+    def blocks(self, texts: list[list[str]]) -> list[Block]:
+        """A block for each list of words; all are made together, none depends on the others."""
+        a, b, piece, weight, stop = self.edges([w for words in texts for w in words])
+        n = len(stop)
+        count = np.bincount(a, minlength=n)
+        first = np.cumsum(count) - count
+        inside = b < stop[a]
+        # sums from the words' ends: all nodes with as many characters to go at once
+        to_go = stop - np.arange(n)
+        nodes = np.argsort(to_go.astype(np.uint16) if to_go.max() < 0x10000 else to_go, kind="stable")
+        sizes = count[nodes]
+        offset = np.cumsum(sizes) - sizes
+        edge = np.repeat(first[nodes] - offset, sizes) + np.arange(len(a))
+        w, to, go_on = weight[edge], np.where(inside[edge], b[edge], 0), inside[edge]
+        bounds = np.flatnonzero(np.diff(to_go[nodes], prepend=-1, append=-1)).tolist()
+        to_end = np.zeros(n)
+        for lo, hi in zip(bounds, bounds[1:]):
+            e0, e1 = int(offset[lo]), int(offset[hi - 1] + sizes[hi - 1])
+            v = w[e0:e1] + np.where(go_on[e0:e1], to_end[to[e0:e1]], 0.0)
+            at = offset[lo:hi] - e0
+            top = np.maximum.reduceat(v, at)
+            to_end[nodes[lo:hi]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, sizes[lo:hi])), at))
+        q = weight + np.where(inside, to_end[np.where(inside, b, 0)], 0.0) - to_end[a]
+        p = np.exp(q)
+        total = np.add.reduceat(p, first)
+        # the mass of a node's other edges; beside an edge with most of the mass they are added up by themselves, as a difference would lose them
+        most = p > 0.5 * total[a]
+        small = np.add.reduceat(np.where(most, 0.0, p), first)
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.where(most, small[a], total[a] - p))
+        rest[count[a] == 1] = -np.inf
+        # probabilities added up within each node, edge after edge
+        upto = p / total[a]
+        rank = np.arange(len(a)) - first[a]
+        for r in range(1, int(count.max())):
+            e = np.flatnonzero(rank == r)
+            upto[e] += upto[e - 1]
+        out, n0 = [], 0
+        for words in texts:
+            n1 = n0 + sum(map(len, words))
+            e0, e1 = int(first[n0]), int(first[n1 - 1] + count[n1 - 1])
+            own = slice(e0, e1)
+            out.append(Block(a[own] - n0, b[own] - n0, piece[own], q[own], p[own], rest[own], a[own] - n0 + np.minimum(upto[own], 1.0), first[n0:n1] - e0, count[n0:n1]))
+            n0 = n1
+        return out
+
     def lattice(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id, conditional log-probability) of all edges, by start.  An unknown character's id is -1 - its code point."""
-        n, ids, weights, longest = len(word), self.ids, self.weights, self.longest
-        starts, ends, pieces, logs, first = [], [], [], [], [0] * (n + 1)
-        for i in range(n):
-            if word[i] not in ids:
-                starts.append(i)
-                ends.append(i + 1)
-                pieces.append(-1 - ord(word[i]))
-                logs.append(self.byte_weight * len(word[i].encode("utf-8", "replace")))
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = word[i:j]
-                if p in ids:
-                    starts.append(i)
-                    ends.append(j)
-                    pieces.append(ids[p])
-                    logs.append(weights[p])
-            first[i + 1] = len(starts)
-        to_end = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            lo, hi = first[i], first[i + 1]
-            if hi - lo == 1:
-                to_end[i] = logs[lo] + to_end[ends[lo]]
-            else:
-                v = [logs[e] + to_end[ends[e]] for e in range(lo, hi)]
-                top = max(v)
-                to_end[i] = top + math.log(sum([math.exp(x - top) for x in v]))
-        a, b, t = np.array(starts, np.int64), np.array(ends, np.int64), np.array(to_end)
-        return a, b, np.array(pieces, np.int64), np.array(logs) + t[b] - t[a]
-
-    def expand(self, edges: np.ndarray) -> list[int]:
-        if (edges >= 0).all():
-            return edges.tolist()
-        out = []
-        for e in edges.tolist():
-            out += [e] if e >= 0 else [self.bytes_at + b for b in chr(-1 - e).encode("utf-8", "replace")]
+        x = self.block([word])
+        return x.start, x.end, x.piece, x.q
+
+    def expand(self, pieces: np.ndarray) -> np.ndarray:
+        """Ids with unknown characters as bytes."""
+        odd = np.flatnonzero(pieces < 0)
+        if not len(odd):
+            return pieces
+        raw = [chr(-1 - c).encode("utf-8", "replace") for c in pieces[odd].tolist()]
+        size = np.ones(len(pieces), np.int64)
+        size[odd] = [len(x) for x in raw]
+        out = np.repeat(pieces, size)
+        out[out < 0] = self.bytes_at + np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
         return out
 
+    def decode_utf8(self, ids: np.ndarray) -> bytes:
+        """The text of a whole segmentation in UTF-8."""
+        return b"".join(map(self.utf8.__getitem__, ids.tolist())).removeprefix(b" ")
+
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; byte pieces are joined, the mark that begins every text is dropped."""
         parts, raw = [], bytearray()
@@ -117,22 +249,16 @@ class Vocabulary:
         return text.removeprefix(MARK).replace(MARK, " ")
 
 
-class Lattices(dict):
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str):
-        if len(self) > MAX_WORDS:
-            self.clear()
-        x = self[word] = self.vocabulary.lattice(word)
-        return x
+@dataclass
+class Lattices:
+    vocabulary: Vocabulary
 
 
 class TextLattice:
-    """Blocks of words; a block's arrays are joined when the search enters it."""
+    """Blocks of words; a block's lattice is made when the search enters it."""
 
-    def __init__(self, text: str, lattices: Lattices):
-        self.lattices = lattices
+    def __init__(self, text: str, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
         words = [w for w in words_of(MARK + text.replace(" ", MARK)) if w]
         self.blocks: list[list[str]] = [[]]
         size = 0
@@ -143,98 +269,113 @@ class TextLattice:
                 size = 0
             self.blocks[-1].append(w)
             size += len(w)
-        self._kept: tuple[int, tuple] | None = None
+        self._kept: tuple[int, Block] | None = None
 
-    def block(self, n: int):
-        """(start, end, id, q, first edge of each node, edges per node)."""
+    def block(self, n: int) -> Block:
         if self._kept is None or self._kept[0] != n:
-            words = self.blocks[n]
-            parts = [self.lattices[w] for w in words]
-            shift = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            by = np.repeat(shift[:-1], [len(p[0]) for p in parts])
-            a, b = np.concatenate([p[0] for p in parts]) + by, np.concatenate([p[1] for p in parts]) + by
-            count = np.bincount(a, minlength=int(shift[-1]))
-            self._kept = n, (a, b, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+            self._kept = None
+            self._kept = n, self.vocabulary.block(self.blocks[n])
         return self._kept[1]
 
 
-def conditioned(u: np.ndarray, top: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Gumbel variables ``u`` whose maximum ``top`` is made to be ``value``."""
+def text_lattices(texts: Iterable[str | None], vocabulary: Vocabulary) -> Iterator[TextLattice | None]:
+    """A lattice per text, null for empty ones; short texts' blocks are made together, TOGETHER_CHARS characters at a time."""
+    waiting: list[TextLattice | None] = []
+    size = 0
+
+    def ready():
+        one = [x for x in waiting if x is not None and len(x.blocks) == 1]
+        if one:
+            for x, block in zip(one, vocabulary.blocks([x.blocks[0] for x in one])):
+                x._kept = 0, block
+        yield from waiting
+
+    for text in texts:
+        if text and size + len(text) > TOGETHER_CHARS:
+            yield from ready()
+            waiting, size = [], 0
+        waiting.append(TextLattice(text, vocabulary) if text else None)
+        size += len(text or "")
+    yield from ready()
+
+
+def below(mass: np.ndarray, bound: float, rng: np.random.Generator) -> np.ndarray:
+    """Gumbel variables of log masses, each on condition that it is not above ``bound``."""
     with np.errstate(divide="ignore"):
-        v = value - u + np.log1p(-np.exp(np.minimum(u - top, 0.0)))
-    return value - np.maximum(0, v) - np.log1p(np.exp(-np.abs(v)))
+        return mass - np.logaddexp(mass - bound, np.log(rng.standard_exponential(len(mass))))
+
+
+@dataclass
+class Paths:
+    """A set of paths not yet parted: those of sample ``parent`` up to a node (``kept`` edges of a block), with no edge of ``used`` there."""
+
+    value: float
+    #: log-probability of the way to the node
+    before: float
+    parent: int
+    block: int
+    kept: int
+    node: int
+    used: tuple[int, ...]
 
 
-def search(text: str, k: int, rng: np.random.Generator, lattices: Lattices) -> tuple[list[tuple[list[int], float, float]], float]:
+def search(lat: TextLattice | None, k: int, rng: np.random.Generator) -> tuple[list[tuple[np.ndarray, float, float]], float]:
     """At most k distinct (ids, log-probability, perturbed log-probability), in falling order of the third, and the next perturbed value."""
-    if not text:
+    if lat is None:
         return [], -math.inf
-    lat = TextLattice(text, lattices)
-    paths: list[list[tuple[int, np.ndarray]]] = []  # per sample: (block, edge ids) pairs
-    # frontier: (perturbed value, log-probability, sample branched from, block, edges kept of that block, node before, edge); the root is no branch
-    frontier: list[tuple] = [(float(rng.gumbel()), 0.0, -1, 0, 0, 0, None)]
+    samples: list[list[tuple[np.ndarray, np.ndarray]]] = []  # per sample and block: edges and their ids
+    frontier = [Paths(float(rng.gumbel()), 0.0, -1, 0, 0, 0, ())]
     out = []
     while frontier and len(out) < k:
-        best = max(range(len(frontier)), key=lambda i: frontier[i][0])
-        value, logp, parent, block, kept, node, edge = frontier.pop(best)
-        prefix = [p for p in paths[parent] if p[0] < block] if parent >= 0 else []
-        head = next((p[1][:kept] for p in paths[parent] if p[0] == block), None) if parent >= 0 else None
-        new: list[tuple[int, np.ndarray]] = list(prefix)
-        siblings: list[tuple] = []
-        for n in range(block, len(lat.blocks)):
-            a, b, ids, q, first, count = lat.block(n)
-            chosen = [] if n > block or head is None else head.tolist()
-            done = len(chosen)
-            if n == block and edge is not None:
-                chosen.append(edge)
-                at = int(b[edge])
-            else:
-                at = 0
-            size = len(first)
-            if at < size:
-                lo = int(first[at])
-                u = q[lo:] + rng.gumbel(size=len(q) - lo)
-                tops = np.maximum.reduceat(u, first[at:] - lo)
-                best_edge = np.full(size, -1, np.int64)
-                hit = np.flatnonzero(u == np.repeat(tops, count[at:])) + lo
-                best_edge[a[hit]] = hit
-                nodes, x, best_list, end_list = [], at, best_edge.tolist(), b
-                run = []
-                while x < size:
-                    e = best_list[x]
-                    nodes.append(x)
-                    run.append(e)
-                    x = int(end_list[e])
-                run_ = np.array(run)
-                phi = logp + np.concatenate([[0.0], np.cumsum(q[run_])])
-                # siblings on the way
-                step = np.full(size, -1, np.int64)
-                step[nodes] = np.arange(len(nodes))
-                e = np.flatnonzero(step[a[lo:]] >= 0) + lo
-                e = e[best_edge[a[e]] != e]
-                if len(e):
-                    s = step[a[e]]
-                    g = phi[s] + conditioned(u[e - lo], tops[a[e] - at], value - phi[s])
-                    keep = np.argsort(-g)[: k + 1]
-                    base = done + (1 if n == block and edge is not None else 0)
-                    siblings += [(float(g[i]), float(phi[s[i]] + q[e[i]]), len(paths), n, base + int(s[i]), int(a[e[i]]), int(e[i])) for i in keep]
-                chosen += run
-                logp = float(phi[-1])
-            new.append((n, np.array(chosen, np.int64)))
-        paths.append(new)
-        frontier = sorted(frontier + siblings, key=lambda x: -x[0])[: k + 1]
-        flat: list[int] = []
-        for n, edges in new:
-            flat += lattices.vocabulary.expand(lat.block(n)[2][edges])
-        out.append((flat, logp, value))
-    return out, max((f[0] for f in frontier), default=-math.inf)
+        top = frontier.pop(max(range(len(frontier)), key=lambda i: frontier[i].value))
+        new = samples[top.parent][: top.block] if top.used else []
+        logp, me = top.before, len(samples)
+        for n in range(top.block, len(lat.blocks)):
+            x = lat.block(n)
+            at, head = 0, np.zeros(0, np.int64)
+            if n == top.block and top.used:
+                # one of the edges left at the node keeps the value, the others stay together
+                lo = int(x.first[top.node])
+                left = np.array([e for e in range(lo, lo + int(x.count[top.node])) if e not in top.used])
+                p = x.p[left]
+                i = min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")), len(left) - 1)
+                edge, others = int(left[i]), float(np.delete(p, i).sum())
+                if others > 0:
+                    v = float(below(np.array([logp + math.log(others)]), top.value, rng)[0])
+                    frontier.append(Paths(v, logp, me, n, top.kept, top.node, (*top.used, edge)))
+                head = np.append(samples[top.parent][n][0][: top.kept], edge)
+                at, logp = int(x.end[edge]), logp + float(x.q[edge])
+            tail = np.zeros(0, np.int64)
+            if at < len(x.first):
+                edges = x.choose(at, rng)
+                go, node, nodes = (x.end[edges] - at).tolist(), 0, []
+                size = len(go)
+                while node < size:
+                    nodes.append(node)
+                    node = go[node]
+                tail = edges[nodes]
+            way = logp + np.concatenate([[0.0], np.cumsum(x.q[tail])])
+            mass = way[:-1] + x.rest[tail]
+            some = np.flatnonzero(mass > -math.inf)
+            v = below(mass[some], top.value, rng)
+            best = np.argpartition(-v, k)[: k + 1] if len(v) > k + 1 else range(len(v))
+            for i in best:
+                j = int(some[i])
+                frontier.append(Paths(float(v[i]), float(way[j]), me, n, len(head) + j, int(x.start[tail[j]]), (int(tail[j]),)))
+            logp = float(way[-1])
+            edges = np.concatenate([head, tail])
+            new.append((edges, x.piece[edges]))
+        samples.append(new)
+        frontier = sorted(frontier, key=lambda f: -f.value)[: k + 1]
+        out.append((lat.vocabulary.expand(np.concatenate([ids for _, ids in new])), logp, top.value))
+    return out, max((f.value for f in frontier), default=-math.inf)
 
 
 def sample(text: str, k: int, rng: np.random.Generator, lattices: Lattices) -> list[tuple[list[int], float, float, float]]:
     """At most k distinct (ids, log-probability, perturbed log-probability, inclusion score), in falling order of the third."""
-    out, next_value = search(text, k, rng, lattices)
+    out, next_value = search(TextLattice(text, lattices.vocabulary) if text else None, k, rng)
     score = lambda p: 1.0 if next_value == -math.inf else -math.expm1(-math.exp(min(p - next_value, 700.0)))
-    return [(i, p, g, score(p)) for i, p, g in out]
+    return [(i.tolist(), p, g, score(p)) for i, p, g in out]
 
 
 def log_inclusion(p: float, next_value: float) -> float:
@@ -297,13 +438,13 @@ def digested(text: Column, key: Column, cfg: SamplingSettings = SamplingSettings
 
     def arrow(texts: pa.Array, keys: pa.Array) -> pa.Array:
         lat, rows = lattices(model, cfg.alpha), []
-        for t, k in zip(texts, keys):
+        for x, k in zip(text_lattices((t.as_py() for t in texts), lat.vocabulary), keys):
             rng = np.random.Generator(np.random.PCG64([cfg.seed, (k.as_py() or 0) & 0xFFFFFFFFFFFFFFFF]))
             row = []
-            out, next_value = search(t.as_py() or "", cfg.k, rng, lat)
+            out, next_value = search(x, cfg.k, rng)
             for ids, p, g in out:
-                back = lat.vocabulary.decode(ids).encode("utf-8", "surrogatepass")
-                row.append({"n_tokens": len(ids), "ids_sha256": sha256(np.array(ids, "<i4").tobytes()).hexdigest(), "log_prob": p, "perturbed": g,
+                back = lat.vocabulary.decode_utf8(ids)
+                row.append({"n_tokens": len(ids), "ids_sha256": sha256(ids.astype("<i4").tobytes()).hexdigest(), "log_prob": p, "perturbed": g,
                             "log_inclusion": log_inclusion(p, next_value), "decoded_sha256": sha256(back).hexdigest()})
             rows.append(row)
         one = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("log_prob", pa.float64()), ("perturbed", pa.float64()),
