@@ -28,10 +28,10 @@ def plain_quality(rows):
     got = {i: plain_measures(t) for i, t in rows}
     ok = {i: rates(m) for i, m in got.items() if m[0] >= 50 and 100 * m[5] <= 50 * m[0]}
     kept = set(ok)
-    for k, (floor, two) in enumerate([(100, True), (50, False), (100, False), (100, False)]):
+    for k, (tail, floor, two) in enumerate([(0.9, 10, True), (0.75, 25, False), (0.95, 45, False), (0.95, 25, False)]):
         v = sorted(x[k] - x[k] % (1 << max(0, x[k].bit_length() - 7)) for x in ok.values())
-        q = {s: v[max(1, math.ceil(len(v) * s)) - 1] for s in (0.25, 0.5, 0.75)}
-        hi, lo = q[0.5] + 4 * max(q[0.75] - q[0.5], floor), q[0.5] - 4 * max(q[0.5] - q[0.25], floor)
+        q = {s: v[max(1, math.ceil(len(v) * s)) - 1] for s in (0.1, 0.5, tail)}
+        hi, lo = q[0.5] + 8 * max(q[tail] - q[0.5], floor), q[0.5] - 8 * max(q[0.5] - q[0.1], floor)
         kept = {i for i in kept if ok[i][k] <= hi and (not two or ok[i][k] >= lo)}
     return [(i, t) for i, t in rows if i in kept]
 

@@ -50,6 +50,20 @@ def test_fence_rejects_outliers_of_a_group(spark):
     assert kept == set(range(150))
 
 
+def test_sources_of_different_spread_judge_one_text_differently(spark):
+    """Even ids: words of 5 letters.  Odd ids: 4 to 9 letters from document to document.  One text of 9-letter words comes from both sources."""
+    from tests.llm.conftest import frame
+
+    def words(seed, size, n=60):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(size)) for _ in range(n))
+
+    rows = [(i, words(i, 5 if i % 2 == 0 else 4 + i // 2 % 6)) for i in range(300)]
+    same = words(1000, 9)
+    kept = {r.doc_id for r in quality.quality_filter(frame(spark, [*rows, (1000, same), (1001, same)])).collect()}
+    assert kept == set(range(300)) | {1001}
+
+
 def test_sketches_merge(spark):
     df = spark.range(10_000).select((F.col("id") % 7).alias("g"), F.lit("x").alias("h"), (F.col("id") * 37 % 9973).alias("v"))
     fine = quality.sketch(df, ["h", "g"], {"v": F.col("v")})

@@ -6,9 +6,11 @@ the shuffle, and coarser groups (language, everything) come from adding the sket
 Buckets are log-linear (7 significant bits), which bounds the relative error of a quantile by 1/64, whatever the number
 of rows, and makes results equal from run to run.
 
-The threshold of a group is the fence ``q50 + reach * max(q75 - q50, floor)`` above the median, and the mirrored one below
-for two-sided measures.  A fence removes what lies far outside of its own group and nothing from a homogeneous one, unlike a
-fixed percentile, which always removes its share.  Groups with fewer than ``min_rows`` rows take the sketch of their language,
+The threshold of a group is the fence ``q50 + reach * max(tail - q50, floor)`` above the median, and the mirrored one below
+for two-sided measures.  ``tail`` is an outer quantile of the group's own sketch (RULES), so a group with a wide spread gets a wide
+fence; the floor only keeps a group without any spread from losing rows over a single symbol or line.  A fence removes what lies far
+outside of its own group and nothing from a homogeneous one, unlike a fixed percentile, which always removes its share.  Symbols take the
+quartile, as a tenth of a source may well be markup; repeats, which most documents don't have at all, take the 95th of 100.  Groups with fewer than ``min_rows`` rows take the sketch of their language,
 and then that of the whole table.  Thresholds are joined back with salted keys, as one source may hold a third of all rows.
 
 Defined cases: null text counts as no words and fails the base rule; a null language or source is a group of its own; repeated
@@ -36,17 +38,17 @@ MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_lines:big
 class QualitySettings:
     min_words: int = 50
     max_repeat_percent: int = 50
-    reach: int = 4
+    reach: int = 8
     min_rows: int = 100
     salts: int = 32
 
 
-#: measure, smallest spread counted, lower side judged too.  All are integers per 1,000 (word length in hundredths).
+#: measure, tail quantile, smallest spread counted, lower side judged too.  Integers per 1,000 (word length in hundredths).
 RULES = [
-    ("word_length", 100, True),
-    ("symbols", 50, False),
-    ("dup_lines", 100, False),
-    ("repeat_words", 100, False),
+    ("word_length", 0.9, 10, True),
+    ("symbols", 0.75, 25, False),
+    ("dup_lines", 0.95, 45, False),
+    ("repeat_words", 0.95, 25, False),
 ]
 
 
@@ -164,9 +166,9 @@ def quantiles(sk: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame
 def thresholds(measured: DataFrame, m: str, lang: str, source: str, cfg: QualitySettings) -> DataFrame:
     """One row per (lang, source): struct column ``fences`` with ``<measure>_hi`` and, if two-sided, ``<measure>_lo``."""
     ok = measured.where(~base_failed(F.col(m), cfg)).select(
-        F.col(lang).alias("lang"), F.col(source).alias("source"), *[r.alias(n) for (n, _, _), r in zip(RULES, rates(F.col(m)))]
+        F.col(lang).alias("lang"), F.col(source).alias("source"), *[r.alias(n) for (n, *_), r in zip(RULES, rates(F.col(m)))]
     )
-    fine = sketch(ok, ["lang", "source"], {n: F.col(n) for n, _, _ in RULES})
+    fine = sketch(ok, ["lang", "source"], {n: F.col(n) for n, *_ in RULES})
     # the sketches of coarser groups are sums of the finer ones: each bucket counts for its group, its language and all
     none = F.lit(None).cast("string")
     up = F.array(
@@ -175,21 +177,22 @@ def thresholds(measured: DataFrame, m: str, lang: str, source: str, cfg: Quality
         F.struct(F.lit(1).alias("level"), none.alias("lang"), none.alias("source")),
     )
     every = merge_sketches(fine.select(F.explode(up).alias("g"), "measure", "bucket", "n").select("g.*", "measure", "bucket", "n"), ["level", "lang", "source"])
-    q = staged(quantiles(every, ["level", "lang", "source"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}), "quality-quantiles")
-    stat = F.struct("rows", "q25", "q50", "q75")
+    tails = {f"up{round(t * 100)}": t for _, t, _, _ in RULES} | {f"down{round(t * 100)}": round(1 - t, 2) for _, t, _, two in RULES if two}
+    q = staged(quantiles(every, ["level", "lang", "source"], {"q50": 0.5, **tails}), "quality-quantiles")
+    stat = F.struct("rows", "q50", *tails)
     a = q.where("level = 3").select("lang", "source", "measure", stat.alias("s"))
     b = q.where("level = 2").select(F.col("lang").alias("lang_"), F.col("measure").alias("measure_"), stat.alias("l"))
     c = q.where("level = 1").select("measure", stat.alias("a"))
     j = a.join(b, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("measure") == F.col("measure_")), "left").join(c, "measure", "left")
     best = F.when(F.col("s.rows") >= cfg.min_rows, F.col("s")).when(F.col("l.rows") >= cfg.min_rows, F.col("l")).otherwise(F.col("a"))
-    floor = F.create_map(*[x for n, f, _ in RULES for x in (F.lit(n), F.lit(f))])[F.col("measure")]
-    j = j.select("lang", "source", "measure", best.alias("q"), floor.alias("floor")).select(
-        "lang", "source", "measure",
-        (F.col("q.q50") + cfg.reach * F.greatest(F.col("q.q75") - F.col("q.q50"), "floor")).alias("hi"),
-        (F.col("q.q50") - cfg.reach * F.greatest(F.col("q.q50") - F.col("q.q25"), "floor")).alias("lo"),
-    )
-    fences = [F.max(F.when(F.col("measure") == n, F.col("hi"))).alias(f"{n}_hi") for n, _, _ in RULES]
-    fences += [F.max(F.when(F.col("measure") == n, F.col("lo"))).alias(f"{n}_lo") for n, _, two in RULES if two]
+    j = j.select("lang", "source", "measure", best.alias("q"))
+
+    def fence(tail: float, floor: int, side: int) -> Column:
+        spread = (F.col(f"q.{'up' if side > 0 else 'down'}{round(tail * 100)}") - F.col("q.q50")) * side
+        return F.col("q.q50") + side * cfg.reach * F.greatest(spread, F.lit(floor).cast("long"))
+
+    fences = [F.max(F.when(F.col("measure") == n, fence(t, f, 1))).alias(f"{n}_hi") for n, t, f, _ in RULES]
+    fences += [F.max(F.when(F.col("measure") == n, fence(t, f, -1))).alias(f"{n}_lo") for n, t, f, two in RULES if two]
     return j.groupBy("lang", "source").agg(*fences)
 
 
@@ -213,7 +216,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     )
     j = salted.join(t, same, "left")
     inside = F.lit(True)
-    for (n, _, two), r in zip(RULES, rates(F.col(m))):
+    for (n, _, _, two), r in zip(RULES, rates(F.col(m))):
         inside &= F.coalesce(r <= F.col(f"{fences_}.{n}_hi"), F.lit(True))
         if two:
             inside &= F.coalesce(r >= F.col(f"{fences_}.{n}_lo"), F.lit(True))
@@ -263,17 +266,18 @@ sk3 AS (SELECT 3 AS lvl, lang, source, measure, bucket, n FROM sk
   UNION ALL SELECT 2, lang, NULL, measure, bucket, sum(n) FROM sk GROUP BY lang, measure, bucket
   UNION ALL SELECT 1, NULL, NULL, measure, bucket, sum(n) FROM sk GROUP BY measure, bucket),
 run AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, measure ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY lvl, lang, source, measure) AS total FROM sk3),
-q AS (SELECT lvl, lang, source, measure, any_value(total) AS total, min(bucket) FILTER (seen >= greatest(ceil(total * 0.25), 1)) AS q25,
-             min(bucket) FILTER (seen >= greatest(ceil(total * 0.5), 1)) AS q50, min(bucket) FILTER (seen >= greatest(ceil(total * 0.75), 1)) AS q75
+q AS (SELECT lvl, lang, source, measure, any_value(total) AS total, min(bucket) FILTER (seen >= greatest(ceil(total * 0.5), 1)) AS q50,
+             min(bucket) FILTER (seen >= greatest(ceil(total::DOUBLE * 0.1::DOUBLE), 1)) AS q10, min(bucket) FILTER (seen >= greatest(ceil(total::DOUBLE *
+               (CASE measure WHEN 'word_length' THEN 0.9 WHEN 'symbols' THEN 0.75 ELSE 0.95 END)::DOUBLE), 1)) AS tail
       FROM run GROUP BY lvl, lang, source, measure),
 pick AS (
-  SELECT s.lang, s.source, s.measure, CASE s.measure WHEN 'symbols' THEN 50 ELSE 100 END AS floor,
-         CASE WHEN s.total >= 100 THEN s.q25 WHEN g.total >= 100 THEN g.q25 ELSE a.q25 END AS q25,
+  SELECT s.lang, s.source, s.measure, CASE s.measure WHEN 'word_length' THEN 10 WHEN 'dup_lines' THEN 45 ELSE 25 END AS floor,
+         CASE WHEN s.total >= 100 THEN s.q10 WHEN g.total >= 100 THEN g.q10 ELSE a.q10 END AS q10,
          CASE WHEN s.total >= 100 THEN s.q50 WHEN g.total >= 100 THEN g.q50 ELSE a.q50 END AS q50,
-         CASE WHEN s.total >= 100 THEN s.q75 WHEN g.total >= 100 THEN g.q75 ELSE a.q75 END AS q75
+         CASE WHEN s.total >= 100 THEN s.tail WHEN g.total >= 100 THEN g.tail ELSE a.tail END AS tail
   FROM q s LEFT JOIN q g ON g.lvl = 2 AND g.lang IS NOT DISTINCT FROM s.lang AND g.measure = s.measure
            LEFT JOIN q a ON a.lvl = 1 AND a.measure = s.measure WHERE s.lvl = 3),
-fence AS (SELECT lang, source, measure, q50 + 4 * greatest(q75 - q50, floor) AS hi, q50 - 4 * greatest(q50 - q25, floor) AS lo FROM pick),
+fence AS (SELECT lang, source, measure, q50 + 8 * greatest(tail - q50, floor) AS hi, q50 - 8 * greatest(q50 - q10, floor) AS lo FROM pick),
 wide AS (SELECT lang, source, max(hi) FILTER (measure = 'word_length') AS wl_hi, max(lo) FILTER (measure = 'word_length') AS wl_lo,
   max(hi) FILTER (measure = 'symbols') AS sy_hi, max(hi) FILTER (measure = 'dup_lines') AS du_hi, max(hi) FILTER (measure = 'repeat_words') AS re_hi
   FROM fence GROUP BY lang, source)
