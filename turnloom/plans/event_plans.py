@@ -16,6 +16,7 @@ from turnloom.operators import turns as U
 from turnloom.plans.base import O, messages, s_route_for, scratch, settings, table, tidy
 from turnloom.session import checkpointed
 from turnloom.sources import readers, retention, sinks
+from turnloom.sources.framed import write_frames
 from turnloom.streaming import events as stream_events
 
 QUERIES, ORACLES = {}, {}
@@ -620,3 +621,11 @@ def _read_session_logs(s, d):
     return tidy(x.groupBy(F.regexp_replace("session_id", "^session_id=", "").alias("session_id")).agg(F.count("*").alias("n"), F.count_if(F.col("type") == "tool/call").alias("calls")))
 
 
+@reg("read_session_frames", f"WITH {_REC} SELECT session_id, count(*) AS n, count(*) FILTER (et = 'click') AS calls, count(DISTINCT k % 4) FILTER (et = 'click') AS tools FROM rec GROUP BY 1")
+def _read_session_frames(s, d):
+    """Written as zstd logs of many frames, read back a few frames a task."""
+    path = scratch(s)
+    line = F.concat(F.lit('{"type":"'), F.col("type"), F.lit('","data":'), F.col("data"), F.lit("}"))
+    write_frames(_records(s, d).select("session_id", "line_no", line.alias("line")), path, frame_lines=100)
+    x = readers.read_session_logs(s, path, part_bytes=1 << 16)
+    return tidy(x.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "tool/call").alias("calls"), F.count_distinct(F.when(F.col("type") == "tool/call", F.get_json_object("data", "$.name"))).alias("tools")))

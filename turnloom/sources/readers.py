@@ -12,6 +12,7 @@ from turnloom.functions import fixed as V
 from turnloom.functions.text import vocabulary_terms
 from turnloom.operators.events import EVENT_SCHEMA
 from turnloom.operators.metrics import last_label
+from turnloom.sources.framed import read_lines
 
 CONVERSATION_SCHEMA = "conversation_id string, profile string, topic string, turns array<struct<role:string,content:string>>"
 RECORD_SCHEMA = (
@@ -158,36 +159,13 @@ def read_ground_truth(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{path}/{t}") for t in ("labels", "decisions", "parameter_versions")}
 
 
-def read_session_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_session_logs(spark: SparkSession, path: str, part_bytes: int = 8 << 20) -> DataFrame:
     """Session logs, one JSON record per line, plain or zstd; malformed lines are skipped.
 
-    Files are decompressed and cut into lines in a streaming way inside the
-    tasks; the parent folder names the session.
+    A file is read by parts (byte ranges, or the frames of a zstd file), so a large log is many tasks; the parent folder names the session.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-    def lines(batches):
-        import io
-
-        import pandas as pd
-        import zstandard
-
-        for pdf in batches:
-            for name, blob in zip(pdf["path"], pdf["content"]):
-                raw = io.BytesIO(blob)
-                if name.endswith((".zstd", ".zst")):
-                    raw = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
-                rows, n = [], 0
-                for line in io.TextIOWrapper(raw, encoding="utf-8", errors="replace"):
-                    if line.strip():
-                        rows.append((name.rsplit("/", 2)[-2], n, line))
-                    n += 1
-                    if len(rows) == 10000:
-                        yield pd.DataFrame(rows, columns=["session_id", "line_no", "line"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["session_id", "line_no", "line"])
-
-    d = files.mapInPandas(lines, "session_id string, line_no long, line string")
+    d = read_lines(spark, path, part_bytes).where(F.trim("line") != "")
+    d = d.select(F.element_at(F.split("path", "/"), -2).alias("session_id"), "line_no", "line")
     kind = F.get_json_object("line", "$.type")
     return d.select("session_id", "line_no", kind.alias("type"), F.get_json_object("line", "$.data").alias("data")).where(F.col("type").isNotNull())
 
