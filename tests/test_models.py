@@ -19,6 +19,7 @@ from turnloom.operators import metrics as M
 from turnloom.operators import ordered as O
 from turnloom.operators import select as S
 from turnloom.operators import turns as U
+from turnloom.operators.fifo import Stair, fifo_window
 from turnloom.operators.replay import prepare_replay, replay_turns
 
 WORDS = "alpha beta gamma delta class import rollback schema decay river stone cloud token eight seven".split()
@@ -90,11 +91,12 @@ def test_exact_quantiles_and_ordinals(hot):
     assert all(o[k, t] == t for k, t, _ in rows)
 
 
-@pytest.mark.parametrize("band", [1, 3, 40])
-def test_fifo_exact_beyond_band(hot, band):
+@pytest.mark.parametrize("block_rows, fan", [(32, 3), (7, 2), (100000, 256)])
+def test_fifo_exact_over_blocks(hot, block_rows, fan):
     rows, df = hot
-    cfg = Settings(block_rows=32)
-    got = {(r.conv_id, r.turn): (r.used_tokens, list(r.kept)) for r in S.fifo_window(df, 120, band=band, cfg=cfg).collect()}
+    out = fifo_window(df, 120, cfg=Settings(block_rows=block_rows), fan=fan)
+    got = {(r.conv_id, r.turn): (r.used_tokens, list(r.kept)) for r in out.collect()}
+    assert len(got) == len(rows)
     by = {}
     for k, t, v in sorted(rows):
         by.setdefault(k, []).append(v)
@@ -102,6 +104,39 @@ def test_fifo_exact_beyond_band(hot, band):
             assert got[k, t] == model.fifo(by[k], 120)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_stairs(seed):
+    """Every window from a stair that was merged at any place equals the walk over all messages; a stair stays small."""
+    r = random.Random(seed)
+    window = r.choice([5, 30, 200])
+    costs = [r.choice([1, 2, 3, r.randint(0, 12), r.randint(1, 60), r.randint(1, 400)]) for _ in range(400)]
+    cut = sorted(r.sample(range(400), 4))
+    parts = [Stair(window).extend(range(a, b), costs[a:b]) for a, b in zip([0, *cut], [*cut, 400])]
+    s, at = Stair(window), 0
+    for p, end in zip(parts, [*cut, 400]):
+        for pos in range(at, end):
+            total, kept = model.fifo(costs[: pos + 1], window)
+            used, older = s.fill(window - costs[pos]) if pos == at else Stair(window).extend(s.seq, s.cost).extend(range(at, pos), costs[at:pos]).fill(window - costs[pos])
+            assert (costs[pos] + used, [*older[::-1], pos]) == (total, kept)
+        s.extend(p.seq, p.cost)
+        at = end
+    assert (s.cost > 0).sum() <= sum(window // c for c in range(1, window + 1))
+
+
+def test_fifo_of_nothing_nulls_and_texts(spark):
+    schema = "conv_id string, turn long, tokens long"
+    assert fifo_window(spark.createDataFrame([], schema), 10).count() == 0
+    d = spark.createDataFrame([("a", 0, 4), ("a", 1, None), ("a", 2, 50), ("a", 3, 6), (None, 0, 3), (None, 1, 3)], schema)
+    got = {(r.conv_id, r.turn): (r.used_tokens, list(r.kept)) for r in fifo_window(d, 10, cfg=Settings(block_rows=2)).collect()}
+    assert got == {("a", 0): (4, [0]), ("a", 1): (4, [0, 1]), ("a", 2): (50, [2]), ("a", 3): (10, [0, 1, 3]), (None, 0): (3, [0]), (None, 1): (6, [0, 1])}
+
+
+def test_fifo_has_no_row_a_cost(spark):
+    """The plan meets blocks with at most one row of theirs; nothing is exploded."""
+    p = fifo_window(spark.createDataFrame([("a", 0, 4)], "conv_id string, turn long, tokens long"), 10)._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in p and "Window" not in p and p.count("FlatMapCoGroupsInPandas") == 2
+
+
 def test_lru_and_recent(spark):
     rows = [(1, s, s // 2, [5, 1, 1, 7, None, 3][s]) for s in range(6)]
     d = spark.createDataFrame(rows, "conv_id long, seq long, user_turn int, last_ref int")

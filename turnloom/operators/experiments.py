@@ -16,7 +16,8 @@ from turnloom.operators.assemble import assemble, with_content
 from turnloom.operators.candidates import candidates
 from turnloom.operators.metrics import confusion, label_metrics, one_row_join, ratio, routing_accuracy, win_buckets
 from turnloom.operators.ordered import dense_ordinal, exact_quantiles, running
-from turnloom.operators.select import fifo_window, keep_last_n
+from turnloom.operators.fifo import fifo_window
+from turnloom.operators.select import keep_last_n
 from turnloom.operators.turns import (
     answered_turns, first_seen, is_retrievable, turns_since_switch, user_turns, with_facts, with_user_turn,
 )

@@ -1,4 +1,4 @@
-"""Budgeted selection: skip-fill, FIFO window, last-N, LRU."""
+"""Budgeted selection: skip-fill, last-N, LRU."""
 
 from __future__ import annotations
 
@@ -50,67 +50,6 @@ def budget_select(df: DataFrame, group: list[str], budget: Column, score: str =
     )
 
 
-def fifo_window(
-    msgs: DataFrame, window_tokens: int = 4000, band: int = 64, order: str = "turn", cfg: Settings = CFG
-) -> DataFrame:
-    """Per message: the newest-first skip-fill over its whole history, newest always kept.
-
-    ``msgs`` has (conv_id, <order>, tokens) with a dense ``order`` per
-    conversation.  The last ``band`` messages are folded directly.  Where an
-    older message could still fit the rest, the fill goes on exactly: of the
-    older messages with cost c only the newest rest/c can be taken, because a
-    skipped cost stays too large for good.  So the search is bounded by the
-    budget, not by the length of the conversation.
-    Returns used tokens and the kept positions, oldest first.
-    """
-    m = msgs.select("conv_id", F.col(order).cast("long").alias("seq"), F.col("tokens").cast("long").alias("tokens"))
-    m = running(m, ["conv_id"], "seq", {"low": ("min", F.col("tokens"))}, **_cut(cfg))
-    item = F.struct("seq", "tokens")
-    d = framed(
-        m, ["conv_id"], "seq", band + 1,
-        {
-            "hist": lambda w: F.collect_list(item).over(w.rowsBetween(-band, 0)),
-            "older_low": lambda w: F.lag("low", band + 1).over(w),
-        },
-        **_cut(cfg),
-    )
-    d = d.withColumn("fill", skip_fill(F.reverse("hist"), F.lit(window_tokens), keep_first=True))
-    d = d.select("conv_id", "seq", "older_low", F.col("fill.used").alias("used"), F.col("fill.kept").alias("kept"))
-    rest = F.lit(window_tokens) - F.col("used")
-    if cfg.longest is not None and cfg.longest <= band:
-        return d.select("conv_id", F.col("seq").alias(order), F.col("used").alias("used_tokens"), F.reverse("kept").alias("kept"))
-    open_ = d.where(F.col("older_low") <= rest).select("conv_id", "seq", rest.alias("rest"))
-    more = _older_fill(m, open_, band)
-    out = d.join(more, ["conv_id", "seq"], "left")
-    kept = F.when(F.col("more.kept").isNull(), F.col("kept")).otherwise(F.concat("kept", "more.kept"))
-    used = F.col("used") + F.coalesce(F.col("more.used"), F.lit(0))
-    return out.select("conv_id", F.col("seq").alias(order), used.alias("used_tokens"), F.reverse(kept).alias("kept"))
-
-
-def _older_fill(m: DataFrame, probes: DataFrame, band: int) -> DataFrame:
-    """Continue the fill of ``probes`` (conv_id, seq, rest) over messages older than the band."""
-    # one probe per affordable cost, placed just before the first message inside the band
-    p = probes.withColumn("tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rest"))))
-    p = p.select("conv_id", "tokens", (F.col("seq") - band).alias("at"), F.col("seq").alias("q"), "rest", F.lit(0).alias("one"))
-    marks = m.select(
-        "conv_id", "tokens", F.col("seq").alias("at"), F.lit(None).cast("long").alias("q"),
-        F.lit(None).cast("long").alias("rest"), F.lit(1).alias("one"),
-    )
-    # rank of each message within its (conversation, cost) class; probes sort before messages at the same place
-    r = running(marks.unionByName(p), ["conv_id", "tokens"], "at", {"rank": ("sum", F.col("one"))}, tie=["one"])
-    wanted = r.where(F.col("q").isNotNull()).withColumn("take", F.least("rank", F.floor(F.col("rest") / F.col("tokens"))))
-    wanted = wanted.where(F.col("take") > 0).select(
-        "conv_id", "tokens", "q", "rest",
-        F.explode(F.sequence(F.col("rank") - F.col("take") + 1, F.col("rank"))).alias("rank"),
-    )
-    msgs = r.where(F.col("q").isNull()).select("conv_id", "tokens", "rank", F.col("at").alias("seq"))
-    hits = wanted.join(msgs, ["conv_id", "tokens", "rank"])
-    g = hits.groupBy("conv_id", F.col("q").alias("seq")).agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("seq", "tokens")))).alias("items"), F.first("rest").alias("rest")
-    )
-    return g.select("conv_id", "seq", skip_fill(F.col("items"), F.col("rest")).alias("more"))
-
-
 def rolling_window(msgs: DataFrame, cfg: Settings = CFG) -> DataFrame:
     """The unbounded window: messages and tokens in the whole history up to each message."""
     return running(

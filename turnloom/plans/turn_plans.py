@@ -11,6 +11,7 @@ from turnloom.operators import gate as G
 from turnloom.operators import labels as L
 from turnloom.operators import metrics as M
 from turnloom.operators import select as S
+from turnloom.operators.fifo import fifo_window
 from turnloom.operators import turns as U
 from turnloom.plans.base import (
     ANSWERS, CHUNKS, DEMO_TOPICS, MSGS, O, WINDOW, lit, messages, s_except, s_gate_terms, s_gate_words, s_hedge, s_route_for, s_route_score, s_set,
@@ -212,13 +213,13 @@ def _tok(s, d):
 
 @reg("fifo_window", f"WITH {_FIFO} SELECT conv_id, turn, r.u AS used_tokens, array_to_string(list_sort(r.k), ',') AS kept FROM f")
 def _fifo_window(s, d):
-    return tidy(S.fifo_window(_tok(s, d), WINDOW, cfg=settings(s, d)))
+    return tidy(fifo_window(_tok(s, d), WINDOW, cfg=settings(s, d)))
 
 
 @reg("fifo_window_long", f"WITH {_FIFO} SELECT conv_id, turn, r.u AS used_tokens, array_to_string(list_sort(r.k), ',') AS kept FROM f")
 def _fifo_window_long(s, d):
-    """The exact continuation for histories beyond the band, with a band of one message and blocks of four."""
-    return tidy(S.fifo_window(_tok(s, d), WINDOW, band=1, cfg=settings(s, d, longest=None, block_rows=4)))
+    """Histories over many blocks and groups of blocks: blocks of four messages, groups of two."""
+    return tidy(fifo_window(_tok(s, d), WINDOW, cfg=settings(s, d, block_rows=4), fan=2))
 
 
 @reg("rolling_window", f"SELECT conv_id, turn, count(*) OVER w AS n_messages, sum({s_tokens('text')}) OVER w AS prompt_tokens FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)", i="prompt_tokens")
