@@ -6,13 +6,13 @@ fit the window.  The messages within reach (the *stair*) are few, bounded by the
 messages need to know of earlier ones.  Stairs of neighbouring stretches merge into that of both.
 
 A conversation is cut into blocks.  Each block gives its stair, stairs are summed up over groups of blocks, and carried back down; then each
-block is walked once from the stair before it.  No task holds more than a block of messages or a group of stairs.
+block is walked once from the stair before it.  Rows stream through sorted; a task holds one stair.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +53,48 @@ class Stair:
         return used, kept
 
 
+def _scan(rows: DataFrame, window: int, emit: str, schema: str) -> DataFrame:
+    """Walk (conv_id, key, at, seqs, costs) in the order of ``at``, a new stair for each (conv_id, key); rows with ``at`` below 0 only start it.
+
+    ``emit``: "total" gives each key's stair, "before" the stair before each row, "fill" the window of each row's one message.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def work(batches):
+        key, s, kind = None, None, pa.null()
+        out = []
+
+        def table():
+            cols = list(zip(*out)) or [()] * 4
+            types = [kind, pa.int64(), pa.int64() if emit == "fill" else pa.list_(pa.int64()), pa.list_(pa.int64())]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for conv, part, at, seqs, costs in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (conv, part):
+                    if emit == "total" and key is not None:
+                        out.append((*key, s.seq.tolist(), s.cost.tolist()))
+                    key, s = (conv, part), Stair(window)
+                if at >= 0 and emit == "before":
+                    out.append((conv, at, s.seq.tolist(), s.cost.tolist()))
+                if at >= 0 and emit == "fill":
+                    used, kept = s.fill(window - costs[0])
+                    out.append((conv, at, costs[0] + used, [*reversed(kept), at]))
+                s.extend(seqs, costs)
+                if len(out) >= 1000:
+                    yield table()
+        if emit == "total" and key is not None:
+            out.append((*key, s.seq.tolist(), s.cost.tolist()))
+        if out:
+            yield table()
+
+    names = [f.name for f in rows.sparkSession.createDataFrame([], schema).schema]
+    d = rows.select("conv_id", "key", "at", "seqs", "costs").repartition(n, "conv_id", "key").sortWithinPartitions("conv_id", "key", "at")
+    return d.mapInArrow(work, schema)
+
+
 def fifo_window(msgs: DataFrame, window_tokens: int = 4000, order: str = "turn", cfg: Settings = CFG, fan: int = 256) -> DataFrame:
     """Per message: the newest-first skip-fill over its whole history, newest always kept whatever its size.
 
@@ -60,56 +102,16 @@ def fifo_window(msgs: DataFrame, window_tokens: int = 4000, order: str = "turn",
     counts as 0; a message that costs nothing is always kept and never leaves reach.  ``fan`` blocks make a group.
     Returns (conv_id, <order>, used_tokens, kept), the kept positions oldest first.
     """
-    m = msgs.select("conv_id", F.col(order).cast("long").alias("seq"), F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"))
-    m = m.withColumn("blk", F.floor(F.col("seq") / cfg.block_rows).cast("long"))
+    seq, cost = F.col(order).cast("long"), F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long"))
+    m = msgs.select("conv_id", F.floor(seq / cfg.block_rows).cast("long").alias("key"), seq.alias("at"), F.array(seq).alias("seqs"), F.array(cost).alias("costs"))
     kind = m.schema["conv_id"].dataType.simpleString()
-    stair = f"conv_id {kind}, blk long, seqs array<long>, costs array<long>"
-
-    def row(key, s: Stair) -> dict:
-        return {"conv_id": key[0], "blk": key[1], "seqs": s.seq.tolist(), "costs": s.cost.tolist()}
-
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["conv_id", "blk", "seqs", "costs"])
-
-    def of_block(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("seq")
-        return frame([row(key, Stair(window_tokens).extend(p["seq"], p["tokens"]))])
-
-    def of_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Stair(window_tokens)
-        for a, b in zip(*(pdf.sort_values("blk")[c] for c in ("seqs", "costs"))):
-            s.extend(a, b)
-        return frame([row(key, s)])
-
-    def before_each(key, pdf: pd.DataFrame, start: pd.DataFrame | None = None) -> pd.DataFrame:
-        s = _from(start)
-        rows = []
-        p = pdf.sort_values("blk")
-        for blk, a, b in zip(p["blk"], p["seqs"], p["costs"]):
-            rows.append(row((key[0], blk), s))
-            s.extend(a, b)
-        return frame(rows)
-
-    def _from(start: pd.DataFrame | None) -> Stair:
-        s = Stair(window_tokens)
-        return s if start is None or start.empty else s.extend(start["seqs"].iloc[0], start["costs"].iloc[0])
-
-    def walk(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        s = _from(start)
-        rows = []
-        p = pdf.sort_values("seq")
-        for seq, cost in zip(p["seq"].tolist(), p["tokens"].tolist()):
-            used, kept = s.fill(window_tokens - cost)
-            rows.append((key[0], seq, cost + used, [*reversed(kept), seq]))
-            s.push(seq, cost)
-        return pd.DataFrame(rows, columns=["conv_id", order, "used_tokens", "kept"])
-
-    group = F.floor(F.col("blk") / fan).cast("long")
+    stair = f"conv_id {kind}, key long, seqs array<long>, costs array<long>"
+    group = F.floor(F.col("key") / fan).cast("long")
+    start = F.lit(-1).cast("long").alias("at")
     # a row a block; read twice below
-    blocks = checkpointed(m.groupBy("conv_id", "blk").applyInPandas(of_block, stair))
-    groups = blocks.groupBy("conv_id", group.alias("grp")).applyInPandas(of_group, stair)
-    carried = groups.groupBy("conv_id").applyInPandas(lambda key, pdf: before_each(key, pdf), stair)
-    down = blocks.withColumn("grp", group).groupBy("conv_id", "grp").cogroup(carried.withColumnRenamed("blk", "grp").groupBy("conv_id", "grp"))
-    before = down.applyInPandas(before_each, stair)
-    out = m.groupBy("conv_id", "blk").cogroup(before.groupBy("conv_id", "blk"))
-    return out.applyInPandas(walk, f"conv_id {kind}, `{order}` long, used_tokens long, kept array<long>")
+    blocks = checkpointed(_scan(m, window_tokens, "total", stair)).withColumn("at", F.col("key")).withColumn("key", group)
+    groups = _scan(blocks, window_tokens, "total", stair)
+    # in the order of groups, one a conversation's ``block_rows * fan`` messages
+    carried = _scan(groups.select("conv_id", F.lit(0).cast("long").alias("key"), F.col("key").alias("at"), "seqs", "costs"), window_tokens, "before", stair)
+    before = _scan(carried.withColumn("at", start).unionByName(blocks), window_tokens, "before", stair)
+    return _scan(before.withColumn("at", start).unionByName(m), window_tokens, "fill", f"conv_id {kind}, `{order}` long, used_tokens long, kept array<long>")
