@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from turnloom.functions import text as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +33,11 @@ def test_scan_reads_needed_columns_only(spark):
 def test_filters_reach_the_scan(spark):
     p = plan(entry.queries()["user_queries"](spark, SF))
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in p
+
+
+def test_a_texts_terms_are_found_once_for_all_its_sentences(spark):
+    df = spark.createDataFrame([("alpha beta", "It has alpha. The with this!\nNothing here\n ", 1), ("with this", "alpha.", 2), (None, None, 3)], "q string, c string, k int")
+    got = df.select("k", T.turn_precision(F.col("q"), F.col("c")).alias("p"))
+    assert {r.k: r.p for r in got.collect()} == {1: 1 / 3, 2: None, 3: None}
+    # the query's words and a sentence's, each named once in the plan
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2
