@@ -98,3 +98,18 @@ def test_array_files_and_vocabularies(spark, tmp_path):
     assert readers.read_vocab("a", folder=str(tmp_path / "v"), spark=spark) == ["tail call", "code", "loop"]
     with pytest.raises(FileNotFoundError):
         readers.read_vocab("b", folder=str(tmp_path / "v"), spark=spark)
+
+
+def test_small_documents_share_array_files(spark, tmp_path):
+    df = spark.createDataFrame([(k, o, f"q{k}", f"c{o}", None) for k in range(200) for o in range(3)], "k long, o long, query string, chunk string, relevant boolean")
+    sinks.write_json_arrays(df.repartition(8), str(tmp_path / "p"), ["k"], "o", 2)
+    # a file a task at most, as all is small; before, a file for each key and part
+    assert 0 < len(list((tmp_path / "p").glob("*.txt"))) <= 8
+    assert sorted((r.query, r.chunk) for r in readers.read_pairs(spark, str(tmp_path / "p")).collect()) == sorted((r.query, r.chunk) for r in df.collect())
+    doc = spark.range(100).select(F.format_string('{"conversation_id":"c%d","turns":[{"role":"user","content":"a\\n[b],"}]}', "id").alias("value"))
+    sinks.write_documents(doc.coalesce(1), str(tmp_path / "c"), 1000)
+    assert 5 < len(list((tmp_path / "c").glob("*.txt"))) < 20
+    got = readers.read_conversations(spark, str(tmp_path / "c"), "*.txt").collect()
+    assert {r.conv_id for r in got} == {f"c{i}" for i in range(100)} and {(r.turn, r.text) for r in got} == {(0, "a\n[b],")} and len(got) == 100
+    sinks.write_documents(doc.limit(0), str(tmp_path / "none"))
+    assert readers.read_conversations(spark, str(tmp_path / "none"), "*.txt").count() == 0
