@@ -166,9 +166,10 @@ def _assemble_from_files(s, d):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     # the files are this query's own fixture, one document per conversation as in the product's format
     doc = m.groupBy("conv_id").agg(F.transform(turns, lambda x: F.struct(x.role.alias("role"), x.content.alias("content"))).alias("turns"))
-    doc.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("conversation_id"), "turns").write.option("maxRecordsPerFile", 1).json(path)
+    name = F.concat(F.lit("conv-"), F.col("conv_id").cast("string"))
+    sinks.write_documents(doc.select(F.to_json(F.struct(name.alias("conversation_id"), "turns")).alias("value")), path)
     cfg = settings(s, d, fixed_budget=BUDGET, max_chunks=6, drift_recent_turns=2, drift_threshold=0.2)
-    chunks = checkpointed(stored_chunks(readers.read_conversations(s, path), cfg))
+    chunks = checkpointed(stored_chunks(readers.read_conversations(s, path, "*.txt"), cfg))
     return tidy(A.assemble(chunks, cfg).select(*_CTX_COLS))
 
 
