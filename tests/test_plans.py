@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from turnloom.functions import text as T
+from turnloom.operators import labels as L
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,9 @@ def test_a_texts_terms_are_found_once_for_all_its_sentences(spark):
     assert {r.k: r.p for r in got.collect()} == {1: 1 / 3, 2: None, 3: None}
     # the query's words and a sentence's, each named once in the plan
     assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2
+
+
+def test_words_are_drawn_before_the_vocabulary_is_asked(spark):
+    d = L.mlm_mask(spark.createDataFrame([(1, "an array of code")], "k long, text string"), "k", targeted=True).select("masked")
+    p = d._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < p.index("md5(") < p.index("exists(")

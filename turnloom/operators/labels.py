@@ -151,7 +151,8 @@ def mlm_mask(texts: DataFrame, key: str, targeted: bool = False, p: float = 0.15
         domain = T.bind(F.col("word"), lambda w: F.exists(vocab, lambda t: F.contains(t, w) | F.contains(w, t)))
     else:
         domain = F.lit(True)
-    masked = domain & (draw("pick") < p)
+    # the draw first: only words it picks are held against the vocabulary
+    masked = (draw("pick") < p) & domain
     kind = draw("kind")
     action = F.when(~masked, "none").when(kind < 0.8, "mask").when(kind < 0.9, "random").otherwise("keep")
     return d.select(key, "pos", "word", masked.alias("masked"), action.alias("action"))
