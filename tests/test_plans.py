@@ -48,3 +48,8 @@ def test_words_are_drawn_before_the_vocabulary_is_asked(spark):
     d = L.mlm_mask(spark.createDataFrame([(1, "an array of code")], "k long, text string"), "k", targeted=True).select("masked")
     p = d._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < p.index("md5(") < p.index("exists(")
+
+
+def test_the_reasons_of_a_route_are_found_once(spark):
+    p = entry.queries()["router_score"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("how does [") == 1

@@ -24,20 +24,20 @@ def route(query: Column, depth: Column | None = None) -> Column:
     q = F.lower(query)
     depth = F.lit(0) if depth is None else depth
     blocks = code_blocks(query)
-    keywords = T.bind(q, lambda t: F.filter(T.string_list(V.ROUTE_KEYWORDS), lambda k: F.contains(t, k)))
-    signals = [(q.rlike(_safe(p)), 1, F.lit(f"pattern:{p}")) for p in V.ROUTE_PATTERNS]
+    # plain columns over one lower-cased text, which Spark makes once
+    signals = [(q.contains(k), 1, F.lit(f"keyword:{k}")) for k in V.ROUTE_KEYWORDS]
+    signals += [(q.rlike(_safe(p)), 1, F.lit(f"pattern:{p}")) for p in V.ROUTE_PATTERNS]
     signals += [
         (blocks >= 3, 2, F.concat(F.lit("code_density:"), blocks.cast("string"))),
         (F.length(query) > 500, 1, F.concat(F.lit("length:"), F.length(query).cast("string"))),
         (depth > 30, 1, F.concat(F.lit("depth:"), depth.cast("string"))),
     ]
-    score = sum((F.when(hit, F.lit(w)).otherwise(F.lit(0)) for hit, w, _ in signals), F.size(keywords))
-    named = F.transform(keywords, lambda k: F.concat(F.lit("keyword:"), k))
-    reasons = F.concat_ws(",", named, *[F.when(hit, why) for hit, _, why in signals])
+    score = sum((F.when(hit, F.lit(w)).otherwise(F.lit(0)) for hit, w, _ in signals), F.lit(0))
+    reasons = F.concat_ws(",", *[F.when(hit, why) for hit, _, why in signals])
     return F.struct(
         route_for(score).alias("route_to"),
         F.when(score >= 3, 0.8).when(score >= 2, 0.7).otherwise(0.9).alias("confidence"),
-        F.when(reasons == "", F.lit("default")).otherwise(reasons).alias("reason"),
+        F.coalesce(F.nullif(reasons, F.lit("")), F.lit("default")).alias("reason"),
         score.alias("score"),
     )
 
