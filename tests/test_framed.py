@@ -65,3 +65,24 @@ def test_written_frames_are_read_back(spark, tmp_path):
     assert len(files) == 9 and all(p.suffix == ".zst" for p in files)
     got = [(r.path.rsplit("/", 2)[-2], int(r.path.rsplit("/", 1)[-1].split(".")[0]) * 400 + r.line_no, r.line) for r in framed.read_lines(spark, path, 1).collect()]
     assert sorted(got) == sorted(rows)
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a/x.jsonl", "a/b/y.jsonl", "_c/z.jsonl", "a/.h.jsonl", "a/_u.jsonl", "d e/ü%20.jsonl", "top.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name + "\n")
+    want = {"a/x.jsonl", "a/b/y.jsonl", "d e/ü%20.jsonl", "top.jsonl"}
+    got = framed.read_lines(spark, str(tmp_path))
+    # before, Spark's driver held the list of files
+    assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.line for r in got.collect()} == want
+    assert {r.line for r in framed.read_lines(spark, f"{tmp_path}/a/*").collect()} == {"a/x.jsonl", "a/b/y.jsonl"}
+    assert [r.line for r in framed.read_lines(spark, f"file:{tmp_path}/top.jsonl").collect()] == ["top.jsonl"]
+
+
+def test_written_logs_are_read_back(spark, tmp_path):
+    rows = [(f"s{i % 3}", i // 3, "é" * (i % 50) + str(i)) for i in range(3000)]
+    framed.write_frames(spark.createDataFrame(rows, "session_id string, line_no long, line string").repartition(7), str(tmp_path), plain=True)
+    assert sorted(p.name for p in tmp_path.rglob("*.*")) == ["0.jsonl"] * 3
+    for part_bytes in (1 << 20, 5000):
+        assert sorted((r.path.rsplit("/", 2)[-2], r.line_no, r.line) for r in framed.read_lines(spark, str(tmp_path), part_bytes).collect()) == sorted(rows)

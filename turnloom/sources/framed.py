@@ -104,24 +104,72 @@ def _chunks(path: str, start: int, stop: int):
             yield b
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of all files below a folder, or of a file; names that begin with ``_`` or ``.`` are left out.
+
+    Folders are listed by tasks, so no list of files goes through the driver.  A pattern of folders is left to Spark.
+    """
+    if any(c in path for c in "*?[{"):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    prefix = path.split(":", 1)[0] + "://" if "://" in path and not path.startswith("file:") else ""
+
+    def below(name):
+        from pyarrow import fs
+
+        system, root = located(path)
+        i = system.get_file_info(name or root)
+        if i.type == fs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        return [i] if i.type == fs.FileType.File else system.get_file_info(fs.FileSelector(i.path))
+
+    def rows(infos):
+        out = [(i.path, i.size if i.is_file else None) for i in infos if not i.base_name.startswith(("_", "."))]
+        for k in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 10_000]), (pa.string(), pa.int64()))], ["path", "length"])
+
+    def first(batches):
+        for _ in batches:
+            yield from rows(below(None))
+
+    def rest(batches):
+        for b in batches:
+            for name, size in zip(*(c.to_pylist() for c in b.columns)):
+                todo = [(name, size)]
+                while todo:
+                    name, size = todo.pop()
+                    if size is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([prefix + name]), pa.array([size], pa.int64())], ["path", "length"])
+                        continue
+                    for t in rows(below(name)):
+                        todo += zip(*(c.to_pylist() for c in t.columns))
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = spark.range(0, 1, 1, 1).mapInArrow(first, "path string, length long")
+    return top.repartition(n, "path").mapInArrow(rest, "path string, length long")
+
+
 def file_parts(spark: SparkSession, path: str, part_bytes: int) -> DataFrame:
-    """(path, part, start, stop) of all files; contents of plain files are not read, of zstd files the headers."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    """(path, part, start, stop, alone) of all files, ``alone`` where a file is one part; contents of plain files are not read, of zstd files the headers."""
+    files = listed(spark, path)
 
     def cut(batches):
         for b in batches:
-            rows = [(p, i, a, z) for p, n in zip(*(c.to_pylist() for c in b.columns)) for i, (a, z) in enumerate(_parts(p, n, part_bytes))]
+            rows = []
+            for p, n in zip(*(c.to_pylist() for c in b.columns)):
+                parts = list(_parts(p, n, part_bytes))
+                rows += [(p, i, a, z, len(parts) == 1) for i, (a, z) in enumerate(parts)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "part", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "part", "start", "stop", "alone"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "path").mapInArrow(cut, "path string, part long, start long, stop long")
+    return files.repartition(n, "path").mapInArrow(cut, "path string, part long, start long, stop long, alone boolean")
 
 
-def line_pieces(parts: DataFrame) -> DataFrame:
+def line_pieces(parts: DataFrame, alone: bool = False) -> DataFrame:
     """(path, part, line_no, whole, raw): the lines of each part, and the pieces of lines at its ends.
 
-    ``parts`` has ``before``, the line ends of earlier parts.  Empty pieces are left out.
+    ``parts`` has ``before``, the line ends of earlier parts.  Empty pieces are left out.  With ``alone`` the parts that are whole files are
+    read, and those only; all their lines are whole.
     """
 
     def read(batches):
@@ -129,7 +177,12 @@ def line_pieces(parts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["path", "part", "line_no", "whole", "raw"])
 
         for b in batches:
-            for path, part, start, stop, line in zip(*(b.column(c).to_pylist() for c in ("path", "part", "start", "stop", "before"))):
+            names = ("path", "part", "start", "stop", "alone") if alone else ("path", "part", "start", "stop", "before")
+            for path, part, start, stop, line in zip(*(b.column(c).to_pylist() for c in names)):
+                if alone:
+                    if not line:
+                        continue
+                    line = 0
                 rows, size, rest, inside = [], 0, [], part == 0
                 for chunk in _chunks(path, start, stop):
                     *ended, tail = chunk.split(b"\n")
@@ -144,7 +197,7 @@ def line_pieces(parts: DataFrame) -> DataFrame:
                             rows, size = [], 0
                     rest.append(tail)
                 if raw := b"".join(rest):
-                    rows.append((path, part, line, False, raw))
+                    rows.append((path, part, line, alone, raw))
                 if rows:
                     yield table(rows)
 
@@ -158,28 +211,33 @@ def read_lines(spark: SparkSession, path: str, part_bytes: int = 8 << 20) -> Dat
     decompression; a zstd file of a single frame is one part, which streams.
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = file_parts(spark, path, part_bytes)
+    # a given number of partitions, as the rows are few and small but what they stand for is not
+    parts = file_parts(spark, path, part_bytes).repartition(n, "path", "part")
 
     def ends(batches):
         for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("path", "part", "start", "stop"))))
-            count = [sum(c.count(b"\n") for c in _chunks(p, a, z)) for p, _, a, z in rows]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(count, pa.int64())], [*b.schema.names, "n_ends"])
+            rows = [r for r in zip(*(b.column(c).to_pylist() for c in ("path", "part", "start", "stop", "alone"))) if not r[-1]]
+            if rows:
+                count = [sum(c.count(b"\n") for c in _chunks(p, a, z)) for p, _, a, z, _ in rows]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in list(zip(*rows))[:4]), pa.array(count, pa.int64())], ["path", "part", "start", "stop", "n_ends"])
 
-    # a given number of partitions, as the rows are few and small but what they stand for is not
-    counted = parts.repartition(n, "path", "part").mapInArrow(ends, "path string, part long, start long, stop long, n_ends long")
+    # only files of several parts are counted and put together: a file that is one part is opened once
+    counted = parts.mapInArrow(ends, "path string, part long, start long, stop long, n_ends long")
     before = running(counted, ["path"], "part", {"before": ("sum", F.col("n_ends"))}, inclusive=False)
     before = before.withColumn("before", F.coalesce("before", F.lit(0)).cast("long"))
     pieces = line_pieces(before.repartition(n, "path", "part"))
     joined = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "raw"))), F.lit(b""), lambda a, x: F.concat(a, x.raw))
     cut = pieces.where("not whole").groupBy("path", "line_no").agg(joined.alias("raw"))
     lines = pieces.where("whole").select("path", "line_no", "raw").union(cut.select("path", "line_no", "raw"))
+    lines = lines.union(line_pieces(parts, alone=True).select("path", "line_no", "raw"))
     return lines.select("path", "line_no", F.make_valid_utf8(F.col("raw").cast("string")).alias("line"))
 
 
-def write_frames(lines: DataFrame, path: str, frame_lines: int = 10_000, file_lines: int = 1 << 20) -> None:
+def write_frames(lines: DataFrame, path: str, frame_lines: int = 10_000, file_lines: int = 1 << 20, plain: bool = False) -> None:
     """Write (session_id, line_no, line) as ``<path>/<session_id>/<n>.zst``, the lines in order, a zstd frame per ``frame_lines``.
 
+    ``plain`` files have the same lines as text and end in ``.jsonl``.
+
     A session's file n has the line numbers from n * ``file_lines`` on, so a long session is many files and tasks.  A file gets its
     name when it is whole: a task that runs again replaces it with the same content.
     """
@@ -197,14 +255,15 @@ def write_frames(lines: DataFrame, path: str, frame_lines: int = 10_000, file_li
 
         def frame():
             if buffer:
-                out.write(zstandard.ZstdCompressor().compress("".join(f"{x}\n" for x in buffer).encode()))
+                raw = "".join(f"{x}\n" for x in buffer).encode()
+                out.write(raw if plain else zstandard.ZstdCompressor().compress(raw))
                 buffer.clear()
 
         def close():
             if held is not None:
                 frame()
                 out.close()
-                system.move(f"{root}/{held[0]}/_{held[1]}.{attempt}", f"{root}/{held[0]}/{held[1]}.zst")
+                system.move(f"{root}/{held[0]}/_{held[1]}.{attempt}", f"{root}/{held[0]}/{held[1]}{'.jsonl' if plain else '.zst'}")
 
         for b in batches:
             for session, part, line in zip(*(c.to_pylist() for c in b.columns)):
