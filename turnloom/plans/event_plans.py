@@ -615,10 +615,10 @@ def _read_session_logs(s, d):
     path = scratch(s)
     r = _records(s, d)
     line = F.concat(F.lit('{"type":"'), F.col("type"), F.lit('","data":'), F.col("data"), F.lit("}"))
-    lines = r.select("session_id", line.alias("value")).unionByName(r.select("session_id").distinct().withColumn("value", F.lit("{broken")))
-    lines.repartition("session_id").write.partitionBy("session_id").option("maxRecordsPerFile", 100000).text(path)
+    broken = r.groupBy("session_id").agg(F.min("line_no").alias("line_no")).withColumn("line", F.lit("{broken"))
+    write_frames(r.select("session_id", "line_no", line.alias("line")).unionByName(broken), path, plain=True)
     x = readers.read_session_logs(s, path)
-    return tidy(x.groupBy(F.regexp_replace("session_id", "^session_id=", "").alias("session_id")).agg(F.count("*").alias("n"), F.count_if(F.col("type") == "tool/call").alias("calls")))
+    return tidy(x.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "tool/call").alias("calls")))
 
 
 @reg("read_session_frames", f"WITH {_REC} SELECT session_id, count(*) AS n, count(*) FILTER (et = 'click') AS calls, count(DISTINCT k % 4) FILTER (et = 'click') AS tools FROM rec GROUP BY 1")
