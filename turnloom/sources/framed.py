@@ -111,7 +111,6 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
     """
     if any(c in path for c in "*?[{"):
         return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    prefix = path.split(":", 1)[0] + "://" if "://" in path and not path.startswith("file:") else ""
 
     def below(name):
         from pyarrow import fs
@@ -132,6 +131,9 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
             yield from rows(below(None))
 
     def rest(batches):
+        # the scheme and host, which Arrow's names lack
+        root = located(path)[1].rstrip("/")
+        prefix = path.rstrip("/").removesuffix(root)
         for b in batches:
             for name, size in zip(*(c.to_pylist() for c in b.columns)):
                 todo = [(name, size)]
