@@ -307,6 +307,53 @@ def test_lattices_made_together_equal_those_made_alone(lattices, monkeypatch):
             assert all(v.decode(ids.tolist()) == t for ids, _, _ in got)
 
 
+def test_a_word_has_its_lattice_made_once(lattices, monkeypatch):
+    v = segmentation.Vocabulary.load(segmentation.default_model(), 1.0)
+    made, make = [], v.made
+    monkeypatch.setattr(v, "made", lambda words: made.extend(words) or make(words))
+    t = prose(5, 400)
+    for lat in segmentation.text_lattices([t, t, "other", t], v):
+        segmentation.search(lat, 2, np.random.default_rng(1))
+    assert sorted(made) == sorted({"▁" + w for w in t.split(" ")} | {"▁other"})
+    # a full store keeps what came again, and gives the same lattices
+    monkeypatch.setattr(segmentation, "KEEP_CHARS", 300)
+    texts = [prose(i, 50) + f" é{i}\n" for i in range(20)]
+    for text in texts:
+        one, other = v.block(segmentation.TextLattice(text, v).blocks[0]), lattices.vocabulary.block(segmentation.TextLattice(text, v).blocks[0])
+        assert all(np.array_equal(getattr(one, c), getattr(other, c)) for c in one.__dataclass_fields__)
+    assert v.words.chars < 2000 and len(made) > 40
+
+
+def test_sets_that_part_late_follow_the_model(lattices, monkeypatch):
+    p = every(lattices.vocabulary, "▁then")
+    monkeypatch.setattr(segmentation, "NEAR", 1)
+    n, second = 6000, {}
+    for i in range(n):
+        got = segmentation.sample("then", 2, np.random.Generator(np.random.PCG64([4, i])), lattices)
+        ids = [tuple(x[0]) for x in got]
+        assert len(set(ids)) == 2 and got[0][2] >= got[1][2]
+        second[ids[1]] = second.get(ids[1], 0) + 1
+    for s, share in p.items():
+        want = n * sum(p[o] * share / (1 - p[o]) for o in p if o != s)
+        assert abs(second.get(s, 0) - want) < 5 * math.sqrt(want) + 3
+
+
+def test_paths_drawn_together_follow_the_model(lattices):
+    """Edges drawn for many texts at once, words of many characters, and words followed one by one."""
+    v, n = lattices.vocabulary, 3000
+    p, seen = every(v, "▁then"), {}
+    rngs = [np.random.Generator(np.random.PCG64([5, i])) for i in range(n)]
+    texts = ["then" if i % 3 else "x" * 300 + "é日" * 9 for i in range(n)]
+    for t, lat, rng in zip(texts, segmentation.text_lattices(texts, v, rngs, 2), rngs, strict=True):
+        got, _ = segmentation.search(lat, 2, rng)
+        assert all(v.decode_utf8(ids).decode() == v.decode(ids.tolist()) == t for ids, _, _ in got) and len({tuple(ids) for ids, _, _ in got}) == 2
+        if t == "then":
+            seen[tuple(got[0][0].tolist())] = seen.get(tuple(got[0][0].tolist()), 0) + 1
+    total = sum(seen.values())
+    for s, share in p.items():
+        assert abs(seen.get(s, 0) - total * share) < 5 * math.sqrt(total * share) + 3
+
+
 def test_rows_are_seeded_by_key(docs, none):
     short = docs.where("length(text) < 3000")
     a = segmentation.segmentations(short, ["doc_id", "text"]).withColumn("back", segmentation.decoded(F.col("ids")))

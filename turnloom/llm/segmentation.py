@@ -8,13 +8,15 @@ bounded by it.  Complete paths come out in falling order of their perturbed log-
 
 A popped set of paths runs to its end at once: at each node on the way one edge, drawn by its probability, keeps the maximum, and the paths by all other
 edges stay together as one set with one variable, which is parted further only if it is popped itself.  Of the sets on the way only the largest k + 1 can
-ever be popped; they are the new frontier.  So a sample takes one random number per character and one per node on its path.
+ever be popped; they are the new frontier.  So a sample takes one random number per character and one for each of the first nodes on its path, and one for all later ones.
 
 The inclusion score of a sample with log-probability p is 1 - exp(-exp(p - t)), t being the (k+1)-th perturbed value, or 1 if there is none.
 The random numbers of a row depend on its key and the seed alone.
 
-Words are independent parts of the lattice (no piece has a word mark inside).  A long text is searched in blocks of words of bounded size; the lattice of
-a block is made at once, by walking the pieces' trie from all its characters in step and summing from the words' ends in step.
+Words are independent parts of the lattice (no piece has a word mark inside).  A word's lattice is made once and kept in a bounded store; many words' are made
+together, by walking the pieces' trie from all their characters in step and summing from the words' ends in step.  A text's lattice is its words' side by side.
+Every node's edge is drawn at once, for many texts and all their samples, and the paths of all words are followed in step.  A long text is searched in blocks of
+words of bounded size.
 
 Defined cases: null or empty text gives no rows; a text with fewer than k segmentations gives all; characters outside of the vocabulary are their
 UTF-8 bytes; rows that repeat a key and a text give the same samples each; other columns are not read.
@@ -26,6 +28,7 @@ import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import repeat, tee
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,14 @@ from turnloom.llm.common import table, worker_cache
 from turnloom.llm.transducer import MARK, default_model, words_of
 
 BLOCK_CHARS = 100_000
-#: short texts whose lattices are made together hold this many characters
-TOGETHER_CHARS = 20_000
+#: short texts whose lattices and paths are made together hold this many characters
+TOGETHER_CHARS = 50_000
+#: new words whose lattices are made together, and words kept, hold about this many characters
+LEARN_CHARS, KEEP_CHARS = 20_000, 3_000_000
+#: words still on their way are followed one by one when they are as few as this
+FEW = 16
+#: sets of paths that part within so many nodes get their values one by one, later ones only if one of them can count
+NEAR = 64
 
 
 @dataclass(frozen=True)
@@ -51,24 +60,140 @@ class SamplingSettings:
 
 @dataclass
 class Block:
-    """Edges by start: nodes, id, conditional log-probability and probability, log mass of the node's other edges, node + probability up to here;
-    and each node's first edge and number of edges."""
+    """Edges by start, longest first: characters, id, conditional log-probability, log odds of the node's other edges against it, probability up to here (above 1
+    at a node's last edge); each node's first edge and number of edges; and whether a word begins there."""
 
-    start: np.ndarray
-    end: np.ndarray
+    size: np.ndarray
     piece: np.ndarray
     q: np.ndarray
-    p: np.ndarray
-    rest: np.ndarray
+    odds: np.ndarray
     upto: np.ndarray
     first: np.ndarray
     count: np.ndarray
+    begins: np.ndarray
+
+    @property
+    def p(self) -> np.ndarray:
+        return np.exp(self.q)
+
+    @property
+    def start(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first)), self.count)
+
+    def part(self, n0: int, n1: int) -> Block:
+        """The nodes from n0 up to n1, between which words begin and end."""
+        e0, e1 = int(self.first[n0]), int(self.first[n1 - 1] + self.count[n1 - 1])
+        own = slice(e0, e1)
+        return Block(self.size[own], self.piece[own], self.q[own], self.odds[own], self.upto[own], self.first[n0:n1] - e0, self.count[n0:n1], self.begins[n0:n1])
+
+    def draw(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of random numbers, one a node: one edge of every node, by its probability, and which nodes are on the way from the words' beginnings."""
+        k, n = u.shape
+        edge = np.tile(self.first, k)
+        u = u.reshape(-1)
+        at = np.flatnonzero(u >= np.tile(self.upto[self.first], k))
+        while len(at):
+            edge[at] += 1
+            at = at[u[at] >= self.upto[edge[at]]]
+        go = self.size[edge]
+        begins = np.append(np.tile(self.begins, k), True)
+        on = begins[:-1].copy()
+        at = np.flatnonzero(on)
+        while len(at) > FEW:
+            at += go[at]
+            at = at[~begins[at]]
+            on[at] = True
+        stops = np.flatnonzero(begins) if len(at) else None
+        for node in at.tolist():
+            stop = int(stops[np.searchsorted(stops, node, side="right")])
+            steps, i, way = go[node:stop].tolist(), 0, []
+            while i < len(steps):
+                way.append(node + i)
+                i += steps[i]
+            on[way] = True
+        return edge.reshape(k, n), on.reshape(k, n)
+
+
+class Grown:
+    """An array with room for more."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1 << 10, kind), 0
+
+    def add(self, new: np.ndarray) -> None:
+        if self.n + len(new) > len(self.room):
+            room = np.empty(max(2 * len(self.room), self.n + len(new)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(new)] = new
+        self.n += len(new)
+
+
+class Numbers(dict):
+    """Numbers of words, from 0; ``new`` are those that came last."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
+
+
+class Words:
+    """The lattices of words, one after the other: per word its characters, first node, edges and first edge; per node its edges; a block's columns per edge."""
+
+    def __init__(self):
+        self.number = Numbers()
+        self.size, self.node, self.edges, self.edge = (Grown(np.int64) for _ in range(4))
+        self.counts = Grown(np.int32)
+        #: words that came in more than one block
+        self.again = Grown(bool)
+        self.columns = [Grown(t) for t in (np.int32, np.int32, float, float, float)]
+
+    @property
+    def chars(self) -> int:
+        return self.counts.n
+
+    def add(self, words: list[str], block: Block) -> None:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.cumsum(size) - size
+        self.size.add(size)
+        self.again.add(np.zeros(len(words), bool))
+        self.node.add(at + self.counts.n)
+        self.edges.add(np.add.reduceat(block.count, at))
+        self.edge.add(block.first[at] + self.columns[0].n)
+        self.counts.add(block.count)
+        for column, new in zip(self.columns, (block.size, block.piece, block.q, block.odds, block.upto)):
+            column.add(new)
+
+    def renewed(self) -> Words:
+        """The words that came again, the first of them with at most half of the characters to keep."""
+        kept = np.flatnonzero(self.again.room[: self.again.n])
+        kept = kept[np.cumsum(self.size.room[kept]) <= KEEP_CHARS // 2]
+        out = Words()
+        if len(kept):
+            words = list(self.number)
+            words = [words[i] for i in kept.tolist()]
+            out.number.update(zip(words, range(len(words))))
+            out.add(words, self.block(kept))
+        return out
+
+    def block(self, n: np.ndarray) -> Block:
+        """The words of these numbers side by side."""
+        size = self.size.room[n]
+        count = self.counts.room[spans(self.node.room[n], size)].astype(np.int64)
+        begins = np.zeros(len(count), bool)
+        begins[np.cumsum(size) - size] = True
+        own = spans(self.edge.room[n], self.edges.room[n])
+        length, piece, *rest = (c.room[own] for c in self.columns)
+        return Block(length.astype(np.int64), piece.astype(np.int64), *rest, np.cumsum(count) - count, count, begins)
 
-    def choose(self, at: int, rng: np.random.Generator) -> np.ndarray:
-        """One edge of every node from ``at`` on, by its probability."""
-        nodes = np.arange(at, len(self.first))
-        e = np.searchsorted(self.upto, nodes + rng.random(len(nodes)), side="right")
-        return np.clip(e, self.first[at:], self.first[at:] + self.count[at:] - 1)
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one range after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class Vocabulary:
@@ -82,11 +207,15 @@ class Vocabulary:
         top = max([bytes_at + 255, *ids.values()]) + 1
         self.weight_of = np.zeros(top)
         #: UTF-8 of every id, marks as spaces
-        self.utf8 = [b""] * top
+        utf8 = [b""] * top
         for p, i in ids.items():
-            self.weight_of[i], self.utf8[i] = self.weights[p], p.replace(MARK, " ").encode("utf-8")
+            self.weight_of[i], utf8[i] = self.weights[p], p.replace(MARK, " ").encode("utf-8")
         for i in range(256):
-            self.utf8[bytes_at + i] = bytes([i])
+            utf8[bytes_at + i] = bytes([i])
+        self.utf8 = np.frombuffer(b"".join(utf8), np.uint8)
+        self.utf8_size = np.fromiter(map(len, utf8), np.int64, top)
+        self.utf8_first = np.cumsum(self.utf8_size) - self.utf8_size
+        self.words = Words()
         # a trie of the pieces: the first step by a table of code points, later ones by sorted (state, code point)
         steps: dict[tuple[int, int], int] = {}
         ends: dict[int, int] = {}
@@ -114,7 +243,7 @@ class Vocabulary:
         return cls({sp.id_to_piece(i): i for i in own}, {sp.id_to_piece(i): sp.get_score(i) for i in own}, sp.piece_to_id("<0x00>"), alpha)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """(start, end, id, log weight) of all edges of words laid side by side, and each node's end of word.  By start, then end."""
+        """(start, end, id, log weight) of all edges of words laid side by side, and each node's end of word.  By start, longest first."""
         text = "".join(words)
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n = len(chars)
@@ -140,12 +269,12 @@ class Vocabulary:
             i = np.searchsorted(self.step_keys, key)
             state = np.where(self.step_keys[i] == key, self.step_to[i], 0)
             length += 1
-        # an unknown character's id is -1 - its code point
+        # an unknown character's id is its byte's, or -1 - its code point
         odd = np.flatnonzero(~known)
         c = chars[odd]
         starts.append(odd)
         ends.append(odd + 1)
-        ids.append(-1 - c)
+        ids.append(np.where(c < 0x80, self.bytes_at + c, -1 - c))
         starts, ends, ids = [starts.pop(), *starts], [ends.pop(), *ends], [ids.pop(), *ids]
         weights = [self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)), *[self.weight_of[i] for i in ids[1:]]]
         # each length has a start once, so edges find their places by counting
@@ -155,7 +284,7 @@ class Vocabulary:
         free = np.cumsum(count) - count
         total = int(count.sum())
         a, b, piece, weight = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total)
-        for x, y, i, w in zip(starts, ends, ids, weights):
+        for x, y, i, w in zip(starts[::-1], ends[::-1], ids[::-1], weights[::-1]):
             place = free[x]
             a[place], b[place], piece[place], weight[place] = x, y, i, w
             free[x] += 1
@@ -163,11 +292,27 @@ class Vocabulary:
 
     def block(self, words: list[str]) -> Block:
         """The lattice of words laid side by side, with conditional probabilities."""
-        return self.blocks([words])[0]
-
-    def blocks(self, texts: list[list[str]]) -> list[Block]:
-        """A block for each list of words; all are made together, none depends on the others."""
-        a, b, piece, weight, stop = self.edges([w for words in texts for w in words])
+        if self.words.chars > KEEP_CHARS:
+            self.words = self.words.renewed()
+        known = self.words.number
+        before = len(known)
+        n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.words.again.room[n[n < before]] = True
+        some, size = [], 0
+        for w in known.new:
+            some.append(w)
+            size += len(w)
+            if size > LEARN_CHARS:
+                self.words.add(some, self.made(some))
+                some, size = [], 0
+        if some:
+            self.words.add(some, self.made(some))
+        known.new = []
+        return self.words.block(n)
+
+    def made(self, words: list[str]) -> Block:
+        """The lattice of words, from their pieces."""
+        a, b, piece, weight, stop = self.edges(words)
         n = len(stop)
         count = np.bincount(a, minlength=n)
         first = np.cumsum(count) - count
@@ -202,35 +347,31 @@ class Vocabulary:
         for r in range(1, int(count.max())):
             e = np.flatnonzero(rank == r)
             upto[e] += upto[e - 1]
-        out, n0 = [], 0
-        for words in texts:
-            n1 = n0 + sum(map(len, words))
-            e0, e1 = int(first[n0]), int(first[n1 - 1] + count[n1 - 1])
-            own = slice(e0, e1)
-            out.append(Block(a[own] - n0, b[own] - n0, piece[own], q[own], p[own], rest[own], a[own] - n0 + np.minimum(upto[own], 1.0), first[n0:n1] - e0, count[n0:n1]))
-            n0 = n1
-        return out
+        upto[first + count - 1] = 2.0
+        begins = np.append(True, to_go[:-1] == 1)
+        return Block(b - a, piece, q, rest - q, upto, first, count, begins)
 
     def lattice(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, id, conditional log-probability) of all edges, by start.  An unknown character's id is -1 - its code point."""
+        """(start, end, id, conditional log-probability) of all edges, by start.  An unknown character's id is its byte's, or -1 - its code point."""
         x = self.block([word])
-        return x.start, x.end, x.piece, x.q
+        return x.start, x.start + x.size, x.piece, x.q
 
     def expand(self, pieces: np.ndarray) -> np.ndarray:
         """Ids with unknown characters as bytes."""
         odd = np.flatnonzero(pieces < 0)
         if not len(odd):
             return pieces
-        raw = [chr(-1 - c).encode("utf-8", "replace") for c in pieces[odd].tolist()]
+        c = -1 - pieces[odd]
+        raw = c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
         size = np.ones(len(pieces), np.int64)
-        size[odd] = [len(x) for x in raw]
+        size[odd] += np.where((c >= 0xD800) & (c < 0xE000), 0, (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF))
         out = np.repeat(pieces, size)
-        out[out < 0] = self.bytes_at + np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        out[out < 0] = self.bytes_at + np.frombuffer(raw, np.uint8).astype(np.int64)
         return out
 
     def decode_utf8(self, ids: np.ndarray) -> bytes:
         """The text of a whole segmentation in UTF-8."""
-        return b"".join(map(self.utf8.__getitem__, ids.tolist())).removeprefix(b" ")
+        return self.utf8[spans(self.utf8_first[ids], self.utf8_size[ids])].tobytes().removeprefix(b" ")
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; byte pieces are joined, the mark that begins every text is dropped."""
@@ -259,9 +400,12 @@ class TextLattice:
 
     def __init__(self, text: str, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        words = [w for w in words_of(MARK + text.replace(" ", MARK)) if w]
+        self.chars = len(text) + 1
+        words = list(filter(None, words_of(MARK + text.replace(" ", MARK))))
         self.blocks: list[list[str]] = [[]]
         size = 0
+        if len(text) < BLOCK_CHARS:
+            self.blocks, words = [words], []
         for w in words:
             # a single giant word is a block of its own
             if size and size + len(w) > BLOCK_CHARS:
@@ -270,6 +414,8 @@ class TextLattice:
             self.blocks[-1].append(w)
             size += len(w)
         self._kept: tuple[int, Block] | None = None
+        #: per sample the edges and nodes drawn beforehand, if the text is one block
+        self.drawn: tuple[np.ndarray, np.ndarray] | None = None
 
     def block(self, n: int) -> Block:
         if self._kept is None or self._kept[0] != n:
@@ -277,37 +423,108 @@ class TextLattice:
             self._kept = n, self.vocabulary.block(self.blocks[n])
         return self._kept[1]
 
-
-def text_lattices(texts: Iterable[str | None], vocabulary: Vocabulary) -> Iterator[TextLattice | None]:
-    """A lattice per text, null for empty ones; short texts' blocks are made together, TOGETHER_CHARS characters at a time."""
-    waiting: list[TextLattice | None] = []
+    def way(self, n: int, at: int, sample: int, rng: np.random.Generator) -> np.ndarray:
+        """The edges drawn for a sample in a block, from a node to the end."""
+        x = self.block(n)
+        if self.drawn is not None:
+            edge, on = self.drawn[0][sample], self.drawn[1][sample]
+        else:
+            edge, on = (y[0] for y in x.draw(rng.random((1, len(x.first)))))
+        odd = []  # nodes of the word that ``at`` is within
+        while at < len(edge) and not x.begins[at]:
+            odd.append(at)
+            at += int(x.size[edge[at]])
+        way = edge[at:][on[at:]]
+        return np.concatenate([edge[odd], way]) if odd else way
+
+
+def text_lattices(texts: Iterable[str | None], vocabulary: Vocabulary, rngs: Iterable[np.random.Generator] | None = None,
+                  k: int = 0) -> Iterator[TextLattice | None]:
+    """A lattice per text, null for empty ones; short texts' are made together, TOGETHER_CHARS characters at a time.
+
+    With a generator for each text, the edges of k samples are drawn as well.
+    """
+    waiting: list[tuple[TextLattice | None, np.random.Generator | None]] = []
     size = 0
 
     def ready():
-        one = [x for x in waiting if x is not None and len(x.blocks) == 1]
+        one = [(x, rng) for x, rng in waiting if x is not None and len(x.blocks) == 1]
         if one:
-            for x, block in zip(one, vocabulary.blocks([x.blocks[0] for x in one])):
-                x._kept = 0, block
-        yield from waiting
-
-    for text in texts:
+            block = vocabulary.block([w for x, _ in one for w in x.blocks[0]])
+            ends = np.cumsum([x.chars for x, _ in one]).tolist()
+            u = np.empty((k, ends[-1]))
+            if k:
+                for (_, rng), n0, n1 in zip(one, [0, *ends], ends):
+                    for row in u:
+                        rng.random(out=row[n0:n1])
+                edge, on = block.draw(u)
+            for (x, _), n0, n1 in zip(one, [0, *ends], ends):
+                x._kept = 0, block.part(n0, n1)
+                if k:
+                    x.drawn = edge[:, n0:n1] - block.first[n0], on[:, n0:n1]
+        yield from (x for x, _ in waiting)
+
+    for text, rng in zip(texts, repeat(None) if rngs is None else rngs):
         if text and size + len(text) > TOGETHER_CHARS:
             yield from ready()
             waiting, size = [], 0
-        waiting.append(TextLattice(text, vocabulary) if text else None)
+        waiting.append((TextLattice(text, vocabulary) if text else None, rng))
         size += len(text or "")
     yield from ready()
 
 
 def below(mass: np.ndarray, bound: float, rng: np.random.Generator) -> np.ndarray:
     """Gumbel variables of log masses, each on condition that it is not above ``bound``."""
-    with np.errstate(divide="ignore"):
-        return mass - np.logaddexp(mass - bound, np.log(rng.standard_exponential(len(mass))))
+    return mass - np.logaddexp(mass - bound, np.log(rng.standard_exponential(len(mass))))
+
+
+def one_below(mass: float, bound: float, rng: np.random.Generator) -> float:
+    """As ``below``, of one log mass."""
+    a, b = mass - bound, math.log(max(rng.standard_exponential(), 1e-300))
+    return mass - max(a, b) - math.log1p(math.exp(-abs(a - b)))
+
+
+def parted(x: Block, tail: np.ndarray, logp: float, bound: float, k: int, rng: np.random.Generator) -> tuple[list[tuple[float, float, int]], float]:
+    """Of the sets that part from a path, those of the k largest perturbed values: value, log-probability up to there, place on the path.  And the
+    log-probability of the whole path.
+
+    Those after the first NEAR places have one maximum, which is drawn first; only if it can be one of the k does it go to one of them, and bounds the others.
+    """
+    if not len(tail):
+        return [], logp
+    way = x.q[tail]
+    way[0] += logp
+    way = way.cumsum()
+
+    def best(v: np.ndarray, first: int) -> list[tuple[float, float, int]]:
+        top = np.argpartition(v, len(v) - k)[-k:].tolist() if len(v) > k else range(len(v))
+        return [(float(v[i]), float(way[first + i - 1]) if first + i else logp, first + i) for i in top if v[i] > -math.inf]
+
+    end = float(way[-1])
+    near = best(below(way[:NEAR] + x.odds[tail[:NEAR]], bound, rng), 0)
+    if len(tail) <= NEAR:
+        return near, end
+    mass, far = None, float(way[NEAR - 1])
+    if end - far > -40:  # else the path itself is no part of the mass that can be told
+        mass = way[NEAR:] + x.odds[tail[NEAR:]]
+        top = float(mass.max())
+        if top == -math.inf:
+            return near, end
+        far = top + math.log(np.exp(mass - top).sum())
+    most = one_below(far, bound, rng)
+    if len(near) == k and most < min(near)[0]:
+        return near, end
+    if mass is None:
+        mass = way[NEAR:] + x.odds[tail[NEAR:]]
+    p = np.cumsum(np.exp(mass - mass.max()))
+    v = below(mass, most, rng)
+    v[min(int(np.searchsorted(p, rng.random() * p[-1], side="right")), len(p) - 1)] = most
+    return near + best(v, NEAR), end
 
 
 @dataclass
 class Paths:
-    """A set of paths not yet parted: those of sample ``parent`` up to a node (``kept`` edges of a block), with no edge of ``used`` there."""
+    """A set of paths not yet parted: those of sample ``parent`` up to the end of ``kept`` edges of a block, with no edge of ``used`` there."""
 
     value: float
     #: log-probability of the way to the node
@@ -315,7 +532,6 @@ class Paths:
     parent: int
     block: int
     kept: int
-    node: int
     used: tuple[int, ...]
 
 
@@ -324,50 +540,39 @@ def search(lat: TextLattice | None, k: int, rng: np.random.Generator) -> tuple[l
     if lat is None:
         return [], -math.inf
     samples: list[list[tuple[np.ndarray, np.ndarray]]] = []  # per sample and block: edges and their ids
-    frontier = [Paths(float(rng.gumbel()), 0.0, -1, 0, 0, 0, ())]
+    frontier = [Paths(float(rng.gumbel()), 0.0, -1, 0, 0, ())]
     out = []
     while frontier and len(out) < k:
-        top = frontier.pop(max(range(len(frontier)), key=lambda i: frontier[i].value))
+        top = frontier.pop(0)
         new = samples[top.parent][: top.block] if top.used else []
         logp, me = top.before, len(samples)
         for n in range(top.block, len(lat.blocks)):
             x = lat.block(n)
-            at, head = 0, np.zeros(0, np.int64)
+            at, begun = 0, 0
             if n == top.block and top.used:
                 # one of the edges left at the node keeps the value, the others stay together
-                lo = int(x.first[top.node])
-                left = np.array([e for e in range(lo, lo + int(x.count[top.node])) if e not in top.used])
-                p = x.p[left]
-                i = min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")), len(left) - 1)
-                edge, others = int(left[i]), float(np.delete(p, i).sum())
+                head = samples[top.parent][n][0][: top.kept]
+                node = int(x.size[head].sum())
+                lo = int(x.first[node])
+                left = [e for e in range(lo, lo + int(x.count[node])) if e not in top.used]
+                p = [math.exp(q) for q in x.q[left].tolist()]
+                u, i = rng.random() * sum(p), 0
+                while i < len(p) - 1 and u >= p[i]:
+                    u -= p[i]
+                    i += 1
+                edge, others = left[i], sum(p[:i]) + sum(p[i + 1 :])
                 if others > 0:
-                    v = float(below(np.array([logp + math.log(others)]), top.value, rng)[0])
-                    frontier.append(Paths(v, logp, me, n, top.kept, top.node, (*top.used, edge)))
-                head = np.append(samples[top.parent][n][0][: top.kept], edge)
-                at, logp = int(x.end[edge]), logp + float(x.q[edge])
-            tail = np.zeros(0, np.int64)
-            if at < len(x.first):
-                edges = x.choose(at, rng)
-                go, node, nodes = (x.end[edges] - at).tolist(), 0, []
-                size = len(go)
-                while node < size:
-                    nodes.append(node)
-                    node = go[node]
-                tail = edges[nodes]
-            way = logp + np.concatenate([[0.0], np.cumsum(x.q[tail])])
-            mass = way[:-1] + x.rest[tail]
-            some = np.flatnonzero(mass > -math.inf)
-            v = below(mass[some], top.value, rng)
-            best = np.argpartition(-v, k)[: k + 1] if len(v) > k + 1 else range(len(v))
-            for i in best:
-                j = int(some[i])
-                frontier.append(Paths(float(v[i]), float(way[j]), me, n, len(head) + j, int(x.start[tail[j]]), (int(tail[j]),)))
-            logp = float(way[-1])
-            edges = np.concatenate([head, tail])
+                    frontier.append(Paths(one_below(logp + math.log(others), top.value, rng), logp, me, n, top.kept, (*top.used, edge)))
+                at, logp, begun = node + int(x.size[edge]), logp + float(x.q[edge]), top.kept + 1
+            tail = lat.way(n, at, me, rng)
+            sets, logp = parted(x, tail, logp, top.value, k + 1, rng)
+            frontier += [Paths(v, before, me, n, begun + j, (int(tail[j]),)) for v, before, j in sets]
+            edges = np.concatenate([head, [edge], tail]) if begun else tail
             new.append((edges, x.piece[edges]))
         samples.append(new)
         frontier = sorted(frontier, key=lambda f: -f.value)[: k + 1]
-        out.append((lat.vocabulary.expand(np.concatenate([ids for _, ids in new])), logp, top.value))
+        ids = new[0][1] if len(new) == 1 else np.concatenate([y for _, y in new])
+        out.append((lat.vocabulary.expand(ids), logp, top.value))
     return out, max((f.value for f in frontier), default=-math.inf)
 
 
@@ -438,8 +643,8 @@ def digested(text: Column, key: Column, cfg: SamplingSettings = SamplingSettings
 
     def arrow(texts: pa.Array, keys: pa.Array) -> pa.Array:
         lat, rows = lattices(model, cfg.alpha), []
-        for x, k in zip(text_lattices((t.as_py() for t in texts), lat.vocabulary), keys):
-            rng = np.random.Generator(np.random.PCG64([cfg.seed, (k.as_py() or 0) & 0xFFFFFFFFFFFFFFFF]))
+        rngs, again = tee(np.random.Generator(np.random.PCG64([cfg.seed, (k.as_py() or 0) & 0xFFFFFFFFFFFFFFFF])) for k in keys)
+        for x, rng in zip(text_lattices((t.as_py() for t in texts), lat.vocabulary, rngs, cfg.k), again):
             row = []
             out, next_value = search(x, cfg.k, rng)
             for ids, p, g in out:
