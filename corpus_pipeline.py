@@ -13,7 +13,7 @@ from turnloom.llm.minhash import near_dedup
 from turnloom.llm.packing import pack, pieces
 from turnloom.llm.quality import quality_filter
 from turnloom.llm.secrets import redact
-from turnloom.llm.suffixes import as_text, without_repeats
+from turnloom.llm.suffixes import without_repeats
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,10 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A cut inside a character drops that character.  ``n_chars`` follows the text.
     """
-    cut, out = without_repeats(docs)
+    cut, out = without_repeats(docs, as_text=True)
     changed = F.col(f"{out}.n_removed") > 0
-    text = F.when(changed, as_text(F.col(f"{out}.kept"))).otherwise(F.col("text"))
-    gone = changed & (F.octet_length(f"{out}.kept") == 0)
+    text = F.when(changed, F.col(f"{out}.kept")).otherwise(F.col("text"))
+    gone = changed & (F.col(f"{out}.n_removed") == F.col(f"{out}.n_bytes"))
     return _with_text(cut.where(~gone), docs.columns, text)
 
 

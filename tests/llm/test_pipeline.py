@@ -8,13 +8,14 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.conftest import frame, prose
 from tests.llm.test_duplicates import plain_components
 from tests.llm.test_quality_packing_tokens import plain_measures
-from turnloom.llm import packing, secrets
+from turnloom.llm import common, packing, quality, secrets
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -106,6 +107,22 @@ def test_stage_columns(spark, docs):
         assert stage(spark, docs, "").columns == docs.columns, name
 
 
+def test_a_stage_forgets_what_the_one_before_kept(monkeypatch):
+    """One worker goes through all stages; each has words of the last one's no more, and a bounded number of its own."""
+    texts, kept = pa.array([b"one two three four", b"five six seven eight"], pa.binary()), common.worker_cache("packing")
+    kept["words"] = {str(i): i for i in range(1000)}
+    monkeypatch.setattr(quality, "MAX_WORDS", 3)
+    rows = quality._measure_arrow(texts).to_pylist()
+    assert common.worker_cache("packing") is not kept and not common.worker_cache("packing")
+    assert [r["n_words"] for r in rows] == [4, 4]
+
+
+def test_texts_are_cut_in_one_call(spark, docs):
+    """Each further one is one more Python worker for every running task, and each of them stays for the stages after."""
+    plan = corpus_pipeline.repeat_stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_rest_works_without_these_parts(tmp_path):
     """A copy without this package and the pipeline still imports and has the other queries."""
     for f in ("__spark_entry__.py", "turnloom"):

@@ -27,7 +27,7 @@ from turnloom.llm.common import fresh, staged, table, worker_cache
 
 CAPACITY = 2048
 BLOCK_ROWS = 1 << 15
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 #: Letters whose lower case is one letter and the same in all libraries, then marks that never join letters.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{0,3})")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import fresh, table
+from turnloom.llm.common import fresh, table, worker_cache
 
 KINDS = ["assign", "access", "hex", "entropy"]
 SPANS = "array<struct<kind:string,start:bigint,stop:bigint>>"
@@ -181,6 +181,7 @@ def secret_spans(text: Column, cfg: SecretSettings = SecretSettings()) -> Column
     """Array of (kind, start, stop) of a text column."""
 
     def arrow(texts: pa.Array) -> pa.Array:
+        worker_cache("secrets")
         scan = Scanner(cfg)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
         return pa.array([[{"kind": KINDS[k], "start": a, "stop": z} for a, k, z in scan.spans(t.as_py())] for t in texts], pa.list_(kind))
@@ -192,6 +193,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", cfg: Sec
     """``docs`` with every span of ``text`` replaced by ``mask``; overlapping spans become one."""
 
     def arrow(texts: pa.Array) -> pa.Array:
+        worker_cache("secrets")
         scan, out = Scanner(cfg), []
         for t in texts:
             s = t.as_py()

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import fresh, mix64, staged, table, worker_cache
@@ -304,43 +304,40 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: Suffi
     return covered.union(single).groupBy("doc").agg(F.collect_list("w").alias("ws"))
 
 
-KEPT = "struct<n_bytes:bigint,n_removed:bigint,spans:array<struct<start:bigint,stop:bigint>>,kept:binary>"
+KEPT = "struct<n_bytes:bigint,n_removed:bigint,spans:array<struct<start:bigint,stop:bigint>>,kept:{}>"
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: SuffixSettings = SuffixSettings(), kept: bool = True) -> tuple[DataFrame, str]:
-    """``docs`` and a struct column (its name is returned): bytes, bytes removed, removed runs, and the bytes left."""
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cfg: SuffixSettings = SuffixSettings(), as_text: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` and a struct column (its name is returned): bytes, bytes removed, removed runs, and the bytes left; with ``as_text`` these as text, in which
+    what a cut has left of a character is dropped.  Both come out of one call, as each further one would be a worker more for every running task.
+    """
     ws, out, doc = fresh(docs, "ws", "rest", "doc")
     per = repeats(docs, key, text, cfg).select(F.col("doc").alias(doc), F.col("ws").alias(ws))
     j = docs.join(per, F.col(f"`{key}`") == F.col(doc), "left")
 
+    left_as = (lambda raw: raw.decode("utf-8", "ignore")) if as_text else bytes
+
     def cut(texts: pa.Array, covered: pa.Array) -> pa.Array:
+        worker_cache("suffixes")
         rows = []
         for t, w in zip(texts, covered):
             raw = t.as_py() or b""
             if not w.is_valid:
-                rows.append({"n_bytes": len(raw), "n_removed": 0, "spans": [], "kept": raw})
+                rows.append({"n_bytes": len(raw), "n_removed": 0, "spans": [], "kept": left_as(raw)})
                 continue
             a, b = removed_runs(np.asarray(w.values), cfg.length)
             b = np.minimum(b, len(raw))
             a, b = a[a < b].tolist(), b[a < b].tolist()
             left = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)]))
-            rows.append({"n_bytes": len(raw), "n_removed": len(raw) - len(left), "spans": [{"start": x, "stop": y} for x, y in zip(a, b)], "kept": left})
-        kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+            rows.append({"n_bytes": len(raw), "n_removed": len(raw) - len(left), "spans": [{"start": x, "stop": y} for x, y in zip(a, b)], "kept": left_as(left)})
+        kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.string() if as_text else pa.binary())])
         return pa.array(rows, kind)
 
-    done = F.arrow_udf(cut, KEPT)(F.col(f"`{text}`").cast("binary"), F.col(ws))
+    # as if not deterministic: else a filter on the result would cut each text once more, below the others' call
+    done = F.arrow_udf(cut, KEPT.format("string" if as_text else "binary")).asNondeterministic()(F.col(f"`{text}`").cast("binary"), F.col(ws))
     return j.select(*[F.col(f"`{c}`") for c in docs.columns], done.alias(out)), out
 
 
-def as_text(kept: Column) -> Column:
-    """Bytes as text; what a cut has left of a character is dropped."""
-
-    def arrow(raws: pa.Array) -> pa.Array:
-        return pa.array([r.as_py().decode("utf-8", "ignore") if r.is_valid else None for r in raws], pa.string())
-
-    return F.arrow_udf(arrow, "string")(kept)
-
-
 def op2_suffixes(spark, d) -> DataFrame:
     r, out = without_repeats(table(spark, d, "documents").select("doc_id", "text"))
     return r.select("doc_id", f"{out}.n_bytes", f"{out}.n_removed", F.size(f"{out}.spans").cast("long").alias("n_spans"), F.sha2(f"{out}.kept", 256).alias("kept_sha256"))
