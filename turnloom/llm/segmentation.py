@@ -250,7 +250,7 @@ class Vocabulary:
         size = np.fromiter(map(len, words), np.int64, len(words))
         stop = np.repeat(np.cumsum(size), size)
         at, state, length = np.arange(n), self.root[chars].astype(np.int64), 1
-        starts, ends, ids = [], [], []
+        starts, ids = [], []
         known = np.zeros(n, bool)
         while True:
             live = state > 0
@@ -261,7 +261,6 @@ class Vocabulary:
             if length == 1:
                 known[at[hit]] = True
             starts.append(at[hit])
-            ends.append(at[hit] + length)
             ids.append(self.piece_at[state[hit]])
             more = at + length < stop[at]
             at, state = at[more], state[more]
@@ -273,22 +272,25 @@ class Vocabulary:
         odd = np.flatnonzero(~known)
         c = chars[odd]
         starts.append(odd)
-        ends.append(odd + 1)
         ids.append(np.where(c < 0x80, self.bytes_at + c, -1 - c))
-        starts, ends, ids = [starts.pop(), *starts], [ends.pop(), *ends], [ids.pop(), *ids]
-        weights = [self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)), *[self.weight_of[i] for i in ids[1:]]]
+        longest = len(starts) - 1
         # each length has a start once, so edges find their places by counting
         count = np.zeros(n, np.int64)
         for x in starts:
             count[x] += 1
         free = np.cumsum(count) - count
-        total = int(count.sum())
-        a, b, piece, weight = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total)
-        for x, y, i, w in zip(starts[::-1], ends[::-1], ids[::-1], weights[::-1]):
-            place = free[x]
-            a[place], b[place], piece[place], weight[place] = x, y, i, w
+        place = free[odd]
+        piece, length = np.empty(int(count.sum()), np.int64), np.ones(int(count.sum()), np.int64)
+        for size in range(longest, 0, -1):
+            x = starts[size - 1]
+            at = free[x]
+            piece[at], length[at] = ids[size - 1], size
             free[x] += 1
-        return a, b, piece, weight, stop
+        piece[place] = ids[-1]
+        weight = self.weight_of[np.maximum(piece, 0)]
+        weight[place] = self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        a = np.repeat(np.arange(n), count)
+        return a, a + length, piece, weight, stop
 
     def block(self, words: list[str]) -> Block:
         """The lattice of words laid side by side, with conditional probabilities."""
@@ -316,37 +318,41 @@ class Vocabulary:
         n = len(stop)
         count = np.bincount(a, minlength=n)
         first = np.cumsum(count) - count
-        inside = b < stop[a]
+        b_in = np.where(b < np.repeat(stop, count), b, n)  # the last node is that of all words' ends
         # sums from the words' ends: all nodes with as many characters to go at once
         to_go = stop - np.arange(n)
         nodes = np.argsort(to_go.astype(np.uint16) if to_go.max() < 0x10000 else to_go, kind="stable")
         sizes = count[nodes]
         offset = np.cumsum(sizes) - sizes
-        edge = np.repeat(first[nodes] - offset, sizes) + np.arange(len(a))
-        w, to, go_on = weight[edge], np.where(inside[edge], b[edge], 0), inside[edge]
+        edge = spans(first[nodes], sizes)
+        w, to = weight[edge], b_in[edge]
         bounds = np.flatnonzero(np.diff(to_go[nodes], prepend=-1, append=-1)).tolist()
-        to_end = np.zeros(n)
+        to_end = np.zeros(n + 1)
         for lo, hi in zip(bounds, bounds[1:]):
             e0, e1 = int(offset[lo]), int(offset[hi - 1] + sizes[hi - 1])
-            v = w[e0:e1] + np.where(go_on[e0:e1], to_end[to[e0:e1]], 0.0)
+            v = w[e0:e1] + to_end[to[e0:e1]]
             at = offset[lo:hi] - e0
             top = np.maximum.reduceat(v, at)
-            to_end[nodes[lo:hi]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, sizes[lo:hi])), at))
-        q = weight + np.where(inside, to_end[np.where(inside, b, 0)], 0.0) - to_end[a]
+            v -= np.repeat(top, sizes[lo:hi])
+            to_end[nodes[lo:hi]] = top + np.log(np.add.reduceat(np.exp(v, out=v), at))
+        q = weight + to_end[b_in] - np.repeat(to_end[:n], count)
         p = np.exp(q)
         total = np.add.reduceat(p, first)
+        each = np.repeat(total, count)
         # the mass of a node's other edges; beside an edge with most of the mass they are added up by themselves, as a difference would lose them
-        most = p > 0.5 * total[a]
+        most = p > 0.5 * each
         small = np.add.reduceat(np.where(most, 0.0, p), first)
         with np.errstate(divide="ignore"):
-            rest = np.log(np.where(most, small[a], total[a] - p))
-        rest[count[a] == 1] = -np.inf
+            rest = np.log(np.where(most, np.repeat(small, count), each - p))
+        rest[first[count == 1]] = -np.inf
         # probabilities added up within each node, edge after edge
-        upto = p / total[a]
-        rank = np.arange(len(a)) - first[a]
-        for r in range(1, int(count.max())):
-            e = np.flatnonzero(rank == r)
+        upto = p / each
+        several, r = np.flatnonzero(count > 1), 1
+        while len(several):
+            e = first[several] + r
             upto[e] += upto[e - 1]
+            r += 1
+            several = several[count[several] > r]
         upto[first + count - 1] = 2.0
         begins = np.append(True, to_go[:-1] == 1)
         return Block(b - a, piece, q, rest - q, upto, first, count, begins)
@@ -369,9 +375,15 @@ class Vocabulary:
         out[out < 0] = self.bytes_at + np.frombuffer(raw, np.uint8).astype(np.int64)
         return out
 
-    def decode_utf8(self, ids: np.ndarray) -> bytes:
-        """The text of a whole segmentation in UTF-8."""
-        return self.utf8[spans(self.utf8_first[ids], self.utf8_size[ids])].tobytes().removeprefix(b" ")
+    def decode_utf8(self, *ids: np.ndarray) -> bytes | list[bytes]:
+        """The text of a whole segmentation in UTF-8, or a list of several's."""
+        every = np.concatenate(ids) if len(ids) > 1 else ids[0]
+        size = self.utf8_size[every]
+        raw = self.utf8[spans(self.utf8_first[every], size)].tobytes()
+        if len(ids) == 1:
+            return raw.removeprefix(b" ")
+        cuts = [0, *np.add.reduceat(size, np.cumsum([0, *map(len, ids[:-1])])).cumsum().tolist()]
+        return [raw[a:b].removeprefix(b" ") for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; byte pieces are joined, the mark that begins every text is dropped."""
@@ -414,8 +426,8 @@ class TextLattice:
             self.blocks[-1].append(w)
             size += len(w)
         self._kept: tuple[int, Block] | None = None
-        #: per sample the edges and nodes drawn beforehand, if the text is one block
-        self.drawn: tuple[np.ndarray, np.ndarray] | None = None
+        #: the samples' paths drawn beforehand, if the text is one block
+        self.drawn: list[Way] | None = None
 
     def block(self, n: int) -> Block:
         if self._kept is None or self._kept[0] != n:
@@ -423,19 +435,35 @@ class TextLattice:
             self._kept = n, self.vocabulary.block(self.blocks[n])
         return self._kept[1]
 
-    def way(self, n: int, at: int, sample: int, rng: np.random.Generator) -> np.ndarray:
-        """The edges drawn for a sample in a block, from a node to the end."""
+    def way(self, n: int, at: int, sample: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The edges drawn for a sample in a block, from a node to the end, with their ids and log-probabilities."""
         x = self.block(n)
         if self.drawn is not None:
-            edge, on = self.drawn[0][sample], self.drawn[1][sample]
+            way = self.drawn[sample]
         else:
             edge, on = (y[0] for y in x.draw(rng.random((1, len(x.first)))))
-        odd = []  # nodes of the word that ``at`` is within
-        while at < len(edge) and not x.begins[at]:
-            odd.append(at)
-            at += int(x.size[edge[at]])
-        way = edge[at:][on[at:]]
-        return np.concatenate([edge[odd], way]) if odd else way
+            nodes = np.flatnonzero(on)
+            way = Way(edge, nodes, own := edge[nodes], x.piece[own], x.q[own])
+        if not at:
+            return way.edges, way.piece, way.q
+        odd = []  # edges of the word that ``at`` is within
+        while at < len(way.drawn) and not x.begins[at]:
+            odd.append(int(way.drawn[at]))
+            at += int(x.size[odd[-1]])
+        i = int(way.nodes.searchsorted(at))
+        tail = way.edges[i:], way.piece[i:], way.q[i:]
+        return tuple(np.concatenate([c[odd] if c is not None else odd, y]) for c, y in zip((None, x.piece, x.q), tail)) if odd else tail
+
+
+@dataclass
+class Way:
+    """A drawn edge per node; and of the nodes on the path of all words: number, edge, id, log-probability."""
+
+    drawn: np.ndarray
+    nodes: np.ndarray
+    edges: np.ndarray
+    piece: np.ndarray
+    q: np.ndarray
 
 
 def text_lattices(texts: Iterable[str | None], vocabulary: Vocabulary, rngs: Iterable[np.random.Generator] | None = None,
@@ -458,10 +486,13 @@ def text_lattices(texts: Iterable[str | None], vocabulary: Vocabulary, rngs: Ite
                     for row in u:
                         rng.random(out=row[n0:n1])
                 edge, on = block.draw(u)
-            for (x, _), n0, n1 in zip(one, [0, *ends], ends):
+                rows = [np.flatnonzero(y) for y in on]
+                ways = [(e, at, own := e[at], block.piece[own], block.q[own], at.searchsorted([0, *ends]).tolist()) for e, at in zip(edge, rows)]
+            for i, ((x, _), n0, n1) in enumerate(zip(one, [0, *ends], ends)):
                 x._kept = 0, block.part(n0, n1)
                 if k:
-                    x.drawn = edge[:, n0:n1] - block.first[n0], on[:, n0:n1]
+                    e0, part = block.first[n0], lambda c, cut: c[cut[i] : cut[i + 1]]  # noqa: B023
+                    x.drawn = [Way(e[n0:n1] - e0, part(at, cut) - n0, part(own, cut) - e0, part(y, cut), part(q, cut)) for e, at, own, y, q, cut in ways]
         yield from (x for x, _ in waiting)
 
     for text, rng in zip(texts, repeat(None) if rngs is None else rngs):
@@ -484,7 +515,7 @@ def one_below(mass: float, bound: float, rng: np.random.Generator) -> float:
     return mass - max(a, b) - math.log1p(math.exp(-abs(a - b)))
 
 
-def parted(x: Block, tail: np.ndarray, logp: float, bound: float, k: int, rng: np.random.Generator) -> tuple[list[tuple[float, float, int]], float]:
+def parted(x: Block, tail: np.ndarray, q: np.ndarray, logp: float, bound: float, k: int, rng: np.random.Generator) -> tuple[list[tuple[float, float, int]], float]:
     """Of the sets that part from a path, those of the k largest perturbed values: value, log-probability up to there, place on the path.  And the
     log-probability of the whole path.
 
@@ -492,12 +523,10 @@ def parted(x: Block, tail: np.ndarray, logp: float, bound: float, k: int, rng: n
     """
     if not len(tail):
         return [], logp
-    way = x.q[tail]
-    way[0] += logp
-    way = way.cumsum()
+    way = q.cumsum() + logp
 
     def best(v: np.ndarray, first: int) -> list[tuple[float, float, int]]:
-        top = np.argpartition(v, len(v) - k)[-k:].tolist() if len(v) > k else range(len(v))
+        top = v.argsort()[-k:].tolist()
         return [(float(v[i]), float(way[first + i - 1]) if first + i else logp, first + i) for i in top if v[i] > -math.inf]
 
     end = float(way[-1])
@@ -564,11 +593,12 @@ def search(lat: TextLattice | None, k: int, rng: np.random.Generator) -> tuple[l
                 if others > 0:
                     frontier.append(Paths(one_below(logp + math.log(others), top.value, rng), logp, me, n, top.kept, (*top.used, edge)))
                 at, logp, begun = node + int(x.size[edge]), logp + float(x.q[edge]), top.kept + 1
-            tail = lat.way(n, at, me, rng)
-            sets, logp = parted(x, tail, logp, top.value, k + 1, rng)
+            tail, ids, q = lat.way(n, at, me, rng)
+            sets, logp = parted(x, tail, q, logp, top.value, k + 1, rng)
             frontier += [Paths(v, before, me, n, begun + j, (int(tail[j]),)) for v, before, j in sets]
-            edges = np.concatenate([head, [edge], tail]) if begun else tail
-            new.append((edges, x.piece[edges]))
+            if begun:
+                tail, ids = np.concatenate([head, [edge], tail]), np.concatenate([samples[top.parent][n][1][: top.kept], x.piece[[edge]], ids])
+            new.append((tail, ids))
         samples.append(new)
         frontier = sorted(frontier, key=lambda f: -f.value)[: k + 1]
         ids = new[0][1] if len(new) == 1 else np.concatenate([y for _, y in new])
@@ -647,8 +677,8 @@ def digested(text: Column, key: Column, cfg: SamplingSettings = SamplingSettings
         for x, rng in zip(text_lattices((t.as_py() for t in texts), lat.vocabulary, rngs, cfg.k), again):
             row = []
             out, next_value = search(x, cfg.k, rng)
-            for ids, p, g in out:
-                back = lat.vocabulary.decode_utf8(ids)
+            backs = lat.vocabulary.decode_utf8(*[ids for ids, _, _ in out]) if len(out) > 1 else [lat.vocabulary.decode_utf8(ids) for ids, _, _ in out]
+            for (ids, p, g), back in zip(out, backs):
                 row.append({"n_tokens": len(ids), "ids_sha256": sha256(ids.astype("<i4").tobytes()).hexdigest(), "log_prob": p, "perturbed": g,
                             "log_inclusion": log_inclusion(p, next_value), "decoded_sha256": sha256(back).hexdigest()})
             rows.append(row)
